@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, shingle_sets, slices, stream64
-from .graph import components
+from .graph import compared_blocks, grouped_by_buckets
 
 #: Two sets of Jaccard similarity 0.8 share no band of 32 with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
@@ -136,8 +136,46 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-#: Pivots tried in each bucket before the links that are still open are enumerated.
-PIVOT_TURNS = 3
+#: Bytes of sets that are compared with as many others at a time.
+BLOCK_BYTES = 192 << 10
+
+
+def _compared(percent: int):
+    """Links between two blocks of sets: for each left set and root of right sets one, if there is any."""
+
+    def block(items: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x["members"], np.uint64) for x in items]
+        return sets, np.array([x["rep"] for x in items]), np.array([x["root"] for x in items])
+
+    def incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(common)), np.float32)
+        for i, s in enumerate(sets):
+            at = np.searchsorted(common, s)
+            at[at == len(common)] = 0
+            out[i, at[common[at] == s]] = 1
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                left, left_rep, left_root = block(one.as_py())
+                right, right_rep, right_root = block(two.as_py())
+                common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+                if not len(common):
+                    continue
+                both = np.rint(incidence(left, common) @ incidence(right, common).T).astype(np.int64)
+                sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+                linked = (100 * both >= percent * (sizes - both)) & (left_root[:, None] != right_root[None, :])
+                i, j = np.nonzero(linked)
+                if len(i):
+                    _, first = np.unique(np.stack([i, right_root[j]]), axis=1, return_index=True)
+                    a.append(left_rep[i[first]])
+                    b.append(right_rep[j[first]])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -146,16 +184,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents are linked when 100 * |intersection| >= percent * |union| of their
     shingle sets, and grouped by reachability; the smallest id of a group stays.
     Equal sets collapse to one representative before anything is compared. Each
-    bucket of a band is compared with pivots, members that collide most often
-    first; pairs of one bucket that are still in different groups after that are
-    compared one by one, so a bucket's size never squares unless its members
-    truly are apart, and no link is lost that a band has found.
+    bucket of a band is compared with pivots; what is still in different groups
+    after that is compared block by block, many sets at a time, so no link is
+    lost that a band has found and no pair of documents is a row.
 
     Null and empty texts have no shingles and are linked with nothing. Ids must
-    be unique and not null; other columns are ignored, whatever their names.
+    be unique and not null; other columns are ignored, whatever their names. An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = scratch.write(
         rows.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, digest binary, bands binary"), "signed"
@@ -167,55 +204,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "classes",
     )
     keys = classes.select("rep", "n", "bands").mapInArrow(_exploded, "key long, rep long, n long")
-    keys = scratch.write(keys, "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    buckets = scratch.write(keys.join(shared, "key"), "buckets")
-    scratch.drop("keys")
-    centre = buckets.groupBy("rep").agg(F.sum("cnt").alias("centre"))
-    buckets = scratch.write(buckets.drop("cnt").join(centre, "rep"), "members")
-    scratch.drop("buckets")
-    wanted = buckets.select("rep").distinct()
-    sets = rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.write(sets.mapInArrow(_setter(shingle), "rep long, members binary"), "sets")
+    sets: list[DataFrame] = []
+
+    def prepare(members: DataFrame) -> None:
+        wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+        texts = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+        sets.append(scratch.write(texts.mapInArrow(_setter(shingle), "rep long, members binary"), "sets"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
-        full = left.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long, linked boolean")
+        left = pairs.join(sets[0].select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
+        full = left.join(sets[0].select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+        checked = full.select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long, linked boolean")
+        return checked.where("linked").select("a", "b")
 
-    def size_fits(p: str, q: str) -> Column:
-        return 100 * F.least(p, q) >= percent * F.greatest(p, q)
+    def across(members: DataFrame) -> DataFrame:
+        return compared_blocks(members, sets[0], "members", BLOCK_BYTES, _compared(percent), scratch)
 
-    links = roots = None
-    labelled = buckets.withColumn("root", F.col("rep"))
-    tried = None
-    for turn in range(PIVOT_TURNS):
-        chosen = F.max(F.struct("centre", (-F.col("rep")).alias("less"), "n", "root"))
-        pool = labelled if turn == 0 else labelled.join(tried, ["key", "rep"], "left_anti")
-        pivots = pool.groupBy("key").agg(chosen.alias("p"))
-        pivots = pivots.select("key", (-F.col("p.less")).alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("pr"))
-        pivots = scratch.write(pivots, f"pivots-{turn}")
-        pairs = labelled.join(pivots, "key").where((F.col("root") != F.col("pr")) & size_fits("n", "m"))
-        pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
-        found = scratch.write(verified(pairs).where("linked").select("a", "b"), f"links-{turn}")
-        used = pivots.select("key", F.col("b").alias("rep"))
-        tried = used if tried is None else tried.union(used)
-        links = found if links is None else links.union(found)
-        roots = scratch.write(components(links, scratch, f"stars-{turn}"), f"roots-{turn}")
-        named = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.withColumn("root", F.coalesce("root", "rep"))
-        split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        labelled = scratch.write(named.join(split.select("key"), "key", "left_semi"), f"open-{turn}")
-        if labelled.isEmpty() or found.isEmpty():
-            break
-
-    one = labelled.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    two = labelled.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    rest = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & size_fits("n_a", "n_b"))
-    rest = scratch.write(verified(rest.select("a", "b").distinct()).where("linked").select("a", "b"), "links-rest")
-    if not rest.isEmpty():
-        roots = scratch.write(components(links.union(rest), scratch, "stars-rest"), "roots-rest")
+    def fits(p: Column, q: Column) -> Column:
+        return 100 * F.least(p, q) >= percent * F.greatest(p, q)
 
+    roots = grouped_by_buckets(keys, prepare, verified, across, fits, scratch)
     whole = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.select("digest", F.coalesce("root", "rep").alias("component_id"))
     spread = F.coalesce("digest", F.encode(F.col("doc_id").cast("string"), "utf-8"))  # rows without a set don't meet in one task

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesseral.llm import minhash
+from tesseral.llm import graph, minhash
 from tesseral.llm.common import shingle_sets
 
 
@@ -62,8 +62,9 @@ def test_empty_table(spark):
     assert minhash.drop_near_duplicates(docs).collect() == []
 
 
-def test_open_links_are_enumerated_after_the_pivots(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PIVOT_TURNS", 1)
+def test_open_buckets_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PIVOT_TURNS", 1)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
     rows = corpus(8)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(minhash.near_duplicates(docs, shingle=2)) == brute(rows)
