@@ -3,21 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesseral.llm import minhash
+from tesseral.llm import decontam, minhash, mixing, sharding, toxicity
 from tesseral.llm.common import Scratch
 
+SHARDS = 8
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labelled documents that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words to a shingle, similarity 0.8."""
     return minhash.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the mix of sources serves: a document comes as often as it is served."""
+    return mixing.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each copy with its size, shard and slot."""
+    return sharding.kd_shards(docs, shards=SHARDS).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+
+
 STAGES = [
+    ("toxicity", toxic),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
 ]
 
-#: Signatures, trained scores and shuffles by hash are beyond SQL; tests hold the stages against plain Python.
+#: Signatures and trained scores are beyond SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
