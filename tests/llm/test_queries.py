@@ -23,7 +23,7 @@ def docs(spark):
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(queries.ORACLE_SQL[name]).fetch_arrow_table().to_pandas()
+    want = con.sql(queries.ORACLE_SQL[name]).to_df()
     got = queries.QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     for c in want.columns:
