@@ -17,35 +17,82 @@ from .graph import compared_blocks, grouped_by_buckets
 BLOCKS = 8
 #: Lines are linked when their edit distance is at most this part, in percent, of the longer one.
 APART = 20
-NOT_WORD = re.compile(r"[\W_]+")
-DIGITS = re.compile(r"\d+")
+#: ASCII letters in lower case, digits as 0, line feeds as they are, all other ASCII as a space.
+PLAIN = bytes(c if c >= 128 or c == 10 or 97 <= c <= 122 else 48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+ZEROS = re.compile(rb"00+")
+
+
+def normal_lines(text: str) -> list[bytes]:
+    """The lines of a text in lower case, numbers as 0, words parted by one space, in UTF-8; empty without any word.
+
+    Words are runs of ASCII letters and digits and of all other characters beyond ASCII.
+    """
+    plain = text.lower().encode("utf-8", "surrogatepass").translate(PLAIN)
+    if b"00" in plain:
+        plain = ZEROS.sub(b"0", plain)
+    return [b" ".join(line.split()) for line in plain.split(b"\n")]
 
 
 def normal_line(line: str) -> str:
-    """A line in lower case, numbers as 0, its words parted by one space; empty without any word."""
-    return DIGITS.sub("0", NOT_WORD.sub(" ", line.lower())).strip()
+    return normal_lines(line.replace("\n", " "))[0].decode("utf-8", "surrogatepass")
+
+
+#: Lines of more distinct words than this are summed word by word and not in bit planes.
+SLICED = 255
+
+
+def _majority(words: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """For each line (words from at[i] to at[i + 1]) the bits that more than half of its words' hashes have.
+
+    Counts are kept as planes of bits, so one operation adds 64 of them: the
+    k-th words of all lines are added together.
+    """
+    sizes = np.diff(at)
+    out = np.zeros((len(sizes), len(lanes)), np.uint64)
+    order = np.argsort(-sizes, kind="stable")
+    for i in order[: int((sizes > SLICED).sum())].tolist():
+        bits = np.zeros((len(lanes) * 64), np.int64)
+        for start in range(at[i], at[i + 1], 4096):
+            own = mix64(words[start : min(start + 4096, at[i + 1])][:, None] ^ lanes)
+            bits += np.unpackbits(own.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * bits > sizes[i], bitorder="little").view(np.uint64)
+    rest = order[int((sizes > SLICED).sum()) :]
+    for block in range(0, len(rest), 4096):
+        own = rest[block : block + 4096]
+        size, start = sizes[own], at[own]
+        planes = np.zeros((max(1, int(size.max(initial=0)).bit_length()), len(own), len(lanes)), np.uint64)
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -k, side="left"))  # lines of more than k words
+            carry = mix64(words[start[:n] + k][:, None] ^ lanes)
+            for plane in planes[: (k + 1).bit_length()]:
+                plane = plane[:n]
+                over = plane & carry
+                plane ^= carry
+                carry = over
+        more, same = np.zeros_like(planes[0]), np.full_like(planes[0], ~np.uint64(0))
+        for b in range(len(planes) - 1, -1, -1):
+            half = np.where((size // 2) >> b & 1, ~np.uint64(0), np.uint64(0))[:, None]
+            more |= same & planes[b] & ~half
+            same &= ~(planes[b] ^ half)
+        out[own] = more
+    return out
 
 
 def simhash_blocks(lines: list[str]) -> np.ndarray:
-    """The blocks of each line's SimHash over its words, as one 64-bit key for each block."""
+    """The blocks of each line's SimHash over its distinct words, as one 64-bit key for each block.
+
+    A word counts once, else the few words that every line repeats would decide.
+    """
     data, offsets = raw_bytes(pa.array(lines, pa.string()))
     starts, ends, at = words_of(data, offsets)
     words = segment_hashes(data, starts, ends, seed=31)
-    lanes = stream64(BLOCKS // 2, 77)
-    out = np.zeros((len(lines), BLOCKS), np.uint64)
-    first = 0
-    while first < len(lines):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + 8192, side="right")) - 1)
-        own = words[at[first] : at[last]]
-        if len(own):
-            bits = mix64(own[:, None] ^ lanes[None, :]).view(np.uint8).reshape(len(own), BLOCKS * 4)
-            bits = np.unpackbits(bits, axis=1)
-            sizes = np.diff(at[first : last + 1])
-            full = sizes > 0
-            ones = np.add.reduceat(bits, (at[first:last] - at[first])[full], axis=0, dtype=np.int32)
-            packed = np.packbits(2 * ones > sizes[full][:, None], axis=1)
-            out[np.arange(first, last)[full]] = np.ascontiguousarray(packed).view(np.uint32)
-        first = last
+    line = np.repeat(np.arange(len(lines)), np.diff(at))
+    order = np.lexsort((words, line))
+    words, line = words[order], line[order]
+    fresh = np.concatenate([[True], (words[1:] != words[:-1]) | (line[1:] != line[:-1])])[: len(words)]
+    words, at = words[fresh], np.searchsorted(line[fresh], np.arange(len(lines) + 1))
+    bits = _majority(words, at, stream64(BLOCKS // 2, 77))
+    out = np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64)
     return mix64(out ^ (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
 
 
@@ -53,24 +100,23 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with words: its place, its normal form's hash and, at its first place here, that form."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        seen: dict[str, int] = {}
+        seen: dict[bytes, int] = {}
         doc, number, which = [], [], []
         for i, text in zip(ids, fill(batch.column(1)), strict=True):
-            for k, line in enumerate(text.as_py().split("\n")):
-                norm = normal_line(line)
+            for k, norm in enumerate(normal_lines(text.as_py())):
                 if norm:
                     doc.append(i)
                     number.append(k)
                     which.append(seen.setdefault(norm, len(seen)))
         forms = list(seen)
-        data, offsets = raw_bytes(pa.array(forms, pa.string()))
+        data, offsets = raw_bytes(pa.array(forms, pa.binary()))
         hashes = segment_hashes(data, offsets[:-1], offsets[1:], seed=13).view(np.int64)
         which = np.array(which, np.int64)
         first = np.zeros(len(which), bool)
         first[np.unique(which, return_index=True)[1]] = True
         norms = [forms[w] if f else None for w, f in zip(which.tolist(), first.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(norms, pa.string())],
+            [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(norms, pa.binary()).cast(pa.string())],
             names=["doc_id", "line_no", "line", "norm"],
         )
 

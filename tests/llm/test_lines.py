@@ -97,6 +97,20 @@ def test_near_hashes_share_a_block():
     assert found >= 25
 
 
+def test_majority_bits():
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(700)]
+    texts = [" ".join(words[:n]) for n in (0, 1, 2, 3, 50, 255, 256, 700)]
+    data, offsets = lines.raw_bytes(lines.pa.array(texts))
+    starts, ends, at = lines.words_of(data, offsets)
+    hashes = lines.segment_hashes(data, starts, ends)
+    got = lines._majority(hashes, at, lines.stream64(2, 1))
+    for i in range(len(texts)):
+        bits = np.unpackbits(lines.mix64(hashes[at[i] : at[i + 1]][:, None] ^ lines.stream64(2, 1)).view(np.uint8), axis=1, bitorder="little")
+        want = np.packbits(2 * bits.sum(axis=0) > len(bits), bitorder="little").view(np.uint64) if len(bits) else np.zeros(2, np.uint64)
+        assert (got[i] == want).all()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.summary(docs).collect() == [] and lines.drop_duplicate_lines(docs).collect() == []
