@@ -1,0 +1,266 @@
+"""Raw tensor files, manifests, containers and capture bundles."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+import re
+import shutil
+import tempfile
+from collections.abc import Iterator
+from pathlib import Path, PurePosixPath
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec
+
+SUFFIXES = {"f32le": "f32", "f16le": "f16", "bf16le": "bf16"}
+
+
+def _dtype() -> F.Column:
+    suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
+    out = F.lit(None).cast("string")
+    for name, dtype in SUFFIXES.items():
+        out = F.when(suffix == name, dtype).otherwise(out)
+    return out
+
+
+def tensor_files(spark: SparkSession, path: str, *, dtype: str | None = None, max_values: int = 1 << 32) -> DataFrame:
+    """(path, dtype, n, valid): the files at a path by their names and sizes alone; the type is that of the suffix.
+
+    valid tells whether a file holds a whole number of elements, at most max_values.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = files.withColumn("dtype", F.lit(dtype) if dtype else _dtype()).where("dtype is not null")
+    width = F.when(F.col("dtype") == "f32", 4).otherwise(2)
+    whole = F.floor(F.col("length") / width)
+    return files.select("path", "dtype", whole.alias("n"), ((F.col("length") % width == 0) & (whole <= max_values)).alias("valid"))
+
+
+def read_tensors(spark: SparkSession, path: str, *, dtype: str | None = None, chunk_values: int = 1 << 18) -> DataFrame:
+    """(tensor_id, chunk_id, dtype, payload): the tensors at a path in chunks; a file of a broken size raises."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.withColumn("dtype", F.lit(dtype) if dtype else _dtype()).where("dtype is not null")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path_, content, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if len(content) % codec.WIDTHS[kind]:
+                    raise codec.CodecError(f"{path_} holds no whole number of {kind} elements")
+                parts = codec.chunks(content, kind, chunk_values)
+                columns = [pa.array([path_] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array([kind] * len(parts)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["tensor_id", "chunk_id", "dtype", "payload"])
+
+    return files.select("path", "content", "dtype").mapInArrow(split, "tensor_id string, chunk_id long, dtype string, payload binary")
+
+
+def parse_input(spec: str) -> tuple[str, str, str]:
+    """label:dtype:path"""
+    label, dtype, path = (spec.split(":", 2) + ["", ""])[:3]
+    if not label or dtype not in codec.WIDTHS or not path:
+        raise ValueError("an input is label:dtype:path")
+    return label, dtype, path
+
+
+# Manifests: blocks of key = "value" under [fixture].
+
+KEYS = ("group", "name", "path", "shape", "notes")
+
+
+def parse_manifest(text: str, folder: str = "") -> list[dict[str, str | None]]:
+    """The blocks of a manifest; relative paths are from its folder. What is not known or missing raises."""
+    blocks: list[dict[str, str | None]] = []
+    for number, raw in enumerate(text.splitlines(), 1):
+        line = raw.strip()
+        if not line or line.startswith("#"):
+            continue
+        if line == "[fixture]":
+            blocks.append({})
+            continue
+        m = re.fullmatch(r'(\w+)\s*=\s*(?:"(.*)"|(.*))', line)
+        if not m or m[1] not in KEYS or not blocks or m[1] in blocks[-1]:
+            raise ValueError(f"line {number} of a manifest: {line}")
+        blocks[-1][m[1]] = m[2] if m[2] is not None else m[3]
+    for b in blocks:
+        if not b.get("name") or not b.get("path"):
+            raise ValueError("a fixture needs a name and a path")
+        path = PurePosixPath(b["path"])
+        b["path"] = str(path if path.is_absolute() or not folder else PurePosixPath(folder) / path)
+    return [{"group": "fixture", "shape": None, "notes": None} | b for b in blocks]
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(group, name, path, shape, notes) of a manifest."""
+    text = spark.read.text(path, wholetext=True).first()
+    blocks = parse_manifest(text.value if text else "", str(PurePosixPath(path).parent))
+    return spark.createDataFrame([tuple(b[k] for k in KEYS) for b in blocks], "`group` string, name string, path string, shape string, notes string")
+
+
+def audit_fixtures(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """manifest with each file's n and sha256; a file that is missing raises."""
+    paths = [r.path for r in manifest.select("path").collect()]  # a manifest is a small file
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", r"^file:/*", "/").alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    both = manifest.join(F.broadcast(files), F.col("path") == F.col("file"), "left")
+    there = F.assert_true(F.col("file").isNotNull(), F.concat(F.lit("missing: "), F.col("path")))
+    return both.select(*KEYS, F.coalesce(there.cast("long"), F.floor(F.col("length") / 4)).alias("n"), "sha256")
+
+
+# Single files.
+
+
+def write_atomic(path: str | Path, parts: Iterator[bytes] | list[bytes]) -> None:
+    """Writes beside the target and renames; a failure leaves what was there."""
+    target = Path(path)
+    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+    try:
+        with os.fdopen(handle, "wb") as out:
+            for part in parts:
+                out.write(part)
+        os.replace(name, target)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+
+
+def write_container(encoded: DataFrame, path: str | Path) -> None:
+    """One container file of encoded chunks (chunk_id, encoded), in their order; a few chunks are held at a time.
+
+    The checksum comes before the chunks it is of, so the file is finished by writing it last.
+    """
+    from ..functions.fnv import fnv1a64
+
+    target, many, total, state = Path(path), 0, 0, None
+    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+    try:
+        with os.fdopen(handle, "wb") as out:
+            out.write(b"\0" * 32)
+            for row in encoded.select("chunk_id", "encoded").orderBy("chunk_id").toLocalIterator():
+                payload = bytes(row.encoded)
+                part = len(payload).to_bytes(4, "big") + payload
+                state = fnv1a64(part) if state is None else fnv1a64(part, state)
+                total, many = total + codec.read_header(payload, "exact").count, many + 1
+                out.write(part)
+            if not many:
+                raise codec.CodecError("a container has a chunk at least")
+            head = codec.CONTAINER_MAGIC + bytes((codec.CONTAINER_VERSION, codec.MODES["exact"], 0, 0))
+            out.seek(0)
+            out.write(head + total.to_bytes(8, "big") + many.to_bytes(4, "big") + b"\0\0\0\0" + state.to_bytes(8, "big"))
+        os.replace(name, target)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+
+
+def container_rows(files: DataFrame, *, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(tensor_id, chunk_id, dtype, n, strategy, encoded) of container files, after each has been checked."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = codec.payloads(content)
+                told = [codec.describe(p) for p in parts]
+                columns = [[name] * len(parts), range(len(parts)), [t[2] for t in told], [t[0].count for t in told], [t[1] for t in told], parts]
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["tensor_id", "chunk_id", "dtype", "n", "strategy", "encoded"])
+
+    schema = "tensor_id string, chunk_id long, dtype string, n long, strategy string, encoded binary"
+    return files.select(F.col(id_col).cast("string"), content_col).mapInArrow(split, schema)
+
+
+def read_containers(spark: SparkSession, path: str) -> DataFrame:
+    return container_rows(spark.read.format("binaryFile").load(path))
+
+
+# Bundles: files, and a manifest of their sizes and digests.
+
+
+def write_bundle(folder: str | Path, files: dict[str, bytes]) -> None:
+    """A folder of files with manifest.json; one that is there is never overwritten."""
+    target = Path(folder)
+    if target.exists():
+        raise FileExistsError(target)
+    made = Path(tempfile.mkdtemp(dir=target.parent, prefix=f".{target.name}."))
+    try:
+        for name, data in files.items():
+            (made / name).write_bytes(data)
+        listed = [{"path": n, "bytes": len(d), "sha256": hashlib.sha256(d).hexdigest()} for n, d in sorted(files.items())]
+        (made / "manifest.json").write_text(json.dumps({"schema_version": 1, "files": listed}, indent=2) + "\n")
+        made.rename(target)
+    except BaseException:
+        shutil.rmtree(made, ignore_errors=True)
+        raise
+
+
+def verify_bundle(folder: str | Path) -> list[str]:
+    """What differs from the bundle's manifest; nothing if all is well. Paths out of the folder are refused."""
+    target, wrong = Path(folder), []
+    for entry in json.loads((target / "manifest.json").read_text())["files"]:
+        name = PurePosixPath(entry["path"])
+        if name.is_absolute() or ".." in name.parts or len(name.parts) != 1:
+            wrong.append(f"{name}: not a plain name")
+            continue
+        file = target / name
+        data = file.read_bytes() if file.is_file() else None
+        if data is None or len(data) != entry["bytes"] or hashlib.sha256(data).hexdigest() != entry["sha256"]:
+            wrong.append(f"{name}: " + ("missing" if data is None else "differs"))
+    return wrong
+
+
+# Captures: tensors at offsets of one file, described by strict JSON.
+
+CAPTURE = {"schema_version", "capture_id", "model", "model_family", "runtime", "runtime_version", "prompt_class", "prompt_sha256", "context_length", "dtype", "tensors"}
+TENSOR = {"id", "offset_bytes", "byte_length", "layer", "kind", "rope_stage", "token_start", "token_count", "heads", "dimension", "layout"}
+
+
+def check_capture(meta: dict, size: int) -> None:
+    """Raises where a capture's description is not whole or doesn't fit a file of this size."""
+    if not isinstance(meta, dict) or meta.keys() != CAPTURE or meta["schema_version"] != 1:
+        raise ValueError("a capture's fields or schema version")
+    if not all(meta[k] for k in ("capture_id", "model", "model_family", "runtime", "prompt_class", "tensors")) or meta["dtype"] not in codec.WIDTHS:
+        raise ValueError("a capture needs its identity, origin, type and tensors")
+    if not re.fullmatch("[0-9a-fA-F]{64}", meta["prompt_sha256"]):
+        raise ValueError("prompt_sha256 is 64 hexadecimal digits")
+    seen = set()
+    for t in meta["tensors"]:
+        if t.keys() != TENSOR or t["id"] in seen or t["layout"] != "token_head_dimension" or t["kind"] not in ("key", "value"):
+            raise ValueError("a tensor's fields, or its id twice")
+        seen.add(t["id"])
+        n = t["token_count"] * t["heads"] * t["dimension"]
+        if n <= 0 or n * codec.WIDTHS[meta["dtype"]] != t["byte_length"] or t["offset_bytes"] < 0 or t["offset_bytes"] + t["byte_length"] > size:
+            raise ValueError(f"tensor {t['id']} doesn't fit its shape or the file")
+
+
+def read_capture(spark: SparkSession, capture: str, metadata: str) -> DataFrame:
+    """(tensor_id, layer, kind, heads, dimension, token, vec): one row for each token of each tensor, its heads side by side."""
+    import numpy as np
+
+    text = spark.read.text(metadata, wholetext=True).first().value
+    meta = json.loads(text, object_pairs_hook=_unique)
+    files = spark.read.format("binaryFile").load(capture)
+    check_capture(meta, files.select("length").first().length)
+    tensors = spark.createDataFrame([(t["id"], t["layer"], t["kind"], t["offset_bytes"], t["byte_length"], t["heads"], t["dimension"], t["token_start"]) for t in meta["tensors"]], "tensor_id string, layer int, kind string, at long, size long, heads int, dimension int, first long")
+    dtype = meta["dtype"]
+    cut = files.select("content").join(F.broadcast(tensors)).withColumn("payload", F.expr("substring(content, int(at + 1), int(size))")).drop("content", "at", "size")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                raw = np.frombuffer(r["payload"], "<u2" if dtype != "f32" else "<f4")
+                values = raw.view("<f2").astype(np.float64) if dtype == "f16" else (raw.astype(np.uint32) << 16).view(np.float32).astype(np.float64) if dtype == "bf16" else raw.astype(np.float64)
+                tokens = values.reshape(-1, r["heads"] * r["dimension"])
+                n = len(tokens)
+                columns = [pa.array([r[k]] * n, t) for k, t in (("tensor_id", pa.string()), ("layer", pa.int32()), ("kind", pa.string()), ("heads", pa.int32()), ("dimension", pa.int32()))]
+                columns += [pa.array(range(n), pa.int64()), pa.array(tokens.tolist(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["tensor_id", "layer", "kind", "heads", "dimension", "token", "vec"])
+
+    return cut.mapInArrow(rows, "tensor_id string, layer int, kind string, heads int, dimension int, token long, vec array<double>")
+
+
+def _unique(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a field occurs twice")
+    return out
