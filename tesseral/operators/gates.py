@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import codec, research
 
 
 def baselines(tensors: DataFrame) -> DataFrame:
@@ -37,6 +38,24 @@ def baselines(tensors: DataFrame) -> DataFrame:
     return tensors.select("tensor_id", "payload").mapInArrow(measure, schema)
 
 
+def predictor_sizes(tensors: DataFrame, *, stride: int) -> DataFrame:
+    """(tensor_id, chunk_id, candidate, bytes, selected): f32 chunks as f16 words through each measured predictor; selected is the smallest."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, chunk, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with np.errstate(over="ignore"):
+                    words = np.frombuffer(raw, "<f4").astype(np.float16).view(np.uint16)
+                found = research.sizes(words, "f16", max(1, len(words)), stride)
+                best = min(found, key=found.get)
+                rows += [(name, chunk, k, n, k == best) for k, n in found.items()]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["tensor_id", "chunk_id", "candidate", "bytes", "selected"])
+
+    return tensors.select("tensor_id", "chunk_id", "payload").mapInArrow(measure, "tensor_id string, chunk_id long, candidate string, bytes long, selected boolean")
+
+
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """part / whole, 1 for nothing."""
     part, whole = (F.col(x) if isinstance(x, str) else x for x in (part, whole))

@@ -428,3 +428,8 @@ def kv_lifting_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
     lifted = tensors.xor_residuals(words, "o_custkey", "o_orderkey")
     return lifted.select("o_orderkey", F.col("residual").alias("lifted"))
 
+
+
+@query()
+def predictor_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.predictor_sizes(event_chunks(spark, sf_dir), stride=16)
