@@ -113,7 +113,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs as (doc_id, text) with the repeated chunks of each, and whether they go."""
     scratch = Scratch(docs.sparkSession, "chunks")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = scratch.write(rows.mapInArrow(_chunks, "digest long, n int, doc_id long, chunk int"), "chunks")
+    chunks = scratch.write(rows.where("doc_id is not null").mapInArrow(_chunks, "digest long, n int, doc_id long, chunk int"), "chunks")
     groups = chunks.groupBy("digest", "n").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "chunk")).alias("first"))
     groups = groups.where("many > 1").select("digest", "n", F.col("first.doc_id").alias("at"), F.col("first.chunk").alias("nth"))
     groups = scratch.write(groups, "groups")
@@ -132,7 +132,7 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     PASSAGE bytes; shorter runs are common words and stay. n_repeated counts the
     chunks of passages, n_removed those that go; spans lists start:end of what
     goes, in bytes of UTF-8, comma-joined. Null and empty texts have no chunk.
-    Ids must be unique; other columns are ignored.
+    Rows without an id share nothing with any; ids must be unique; other columns are ignored.
     """
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +174,10 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                             parts.append(raw[end:a])
                             end = b
                     texts.append(None if text is None else b"".join([*parts, raw[end:]]).decode())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["_id", "_text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["_cut_id", "_cut_text"])
 
     marked = _marked(docs, id_col, text_col).select("doc_id", "text", "marked")
-    new = marked.mapInArrow(cut, "_id long, _text string")
-    joined = docs.join(new, docs[id_col] == new["_id"])
-    return joined.select(*[F.col("_text").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    new = marked.where("marked is not null").mapInArrow(cut, "_cut_id long, _cut_text string")
+    joined = docs.join(new, docs[id_col] == new["_cut_id"], "left")
+    text = F.coalesce(new["_cut_text"], docs[text_col])
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -52,8 +52,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     seed; it counts from `least` tokens, or the item's length where that is less,
     if `agree` percent of its tokens are the same. Items of fewer than SPAN
     tokens hold no seed and are never found. Null and empty texts have no token.
-    Ids must be unique and not null; other columns are ignored. Either table may
-    be empty. The benchmark's seeds are broadcast in blocks of at most
+    Rows without an id are found too, all under the null id, and are never
+    dropped. Ids must be unique; other columns are ignored. Either table may be empty. The benchmark's seeds are broadcast in blocks of at most
     SEEDS_AT_ONCE, with a pass over docs for each block.
     """
     scratch = Scratch(docs.sparkSession, "seeds")

@@ -53,8 +53,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id",
     Texts are equal when identical after lower-casing A-Z. Of equal new texts the
     row with the largest id stays, unless the index already holds the text: then
     its keep_id is the earlier document's and none of the new rows is kept.
-    group_size counts the rows of docs. Null texts count as empty. Ids must be
-    unique and not null; other columns are ignored. An empty table adds nothing.
+    group_size counts the rows of docs. Null texts count as empty. A row
+    without an id only stays, with a null keep_id, where no row of its group has
+    one. Ids must be unique; other columns are ignored. An empty table adds nothing.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
@@ -72,7 +73,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id",
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

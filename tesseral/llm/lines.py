@@ -219,11 +219,11 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     distance is at most `apart` percent of the longer one; groups are what links
     reach. The keeper is the first occurrence, by doc_id, then line_no, in a
     form's group. Lines without words belong to no group. Null and empty texts
-    have no lines; ids must be unique.
+    have no lines; rows without an id are left as they are; ids must be unique.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = scratch.write(rows.mapInArrow(_occurrences, "doc_id long, line_no int, line long, norm string"), "found")
+    found = scratch.write(rows.where("doc_id is not null").mapInArrow(_occurrences, "doc_id long, line_no int, line long, norm string"), "found")
     at = F.struct("doc_id", "line_no")
     forms = found.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("many"))
     forms = scratch.write(forms.select("line", "first", "many"), "forms")
@@ -287,9 +287,9 @@ def summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def drop_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the lines that go, with their own columns; null texts stay null."""
     gone = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).where("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line_no").alias("_gone"))
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("line_no").alias("_gone_lines"))
+    joined = docs.join(gone, docs[id_col] == gone["_gone_id"], "left")
+    lines = F.split(docs[text_col], "\n")
+    left = F.filter(lines, lambda _, i: ~F.array_contains(gone["_gone_lines"], i))
+    text = F.when(gone["_gone_lines"].isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

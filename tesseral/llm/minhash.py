@@ -188,9 +188,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     after that is compared block by block, many sets at a time, so no link is
     lost that a band has found and no pair of documents is a row.
 
-    Null and empty texts have no shingles and are linked with nothing. Ids must
-    be unique and not null; other columns are ignored, whatever their names. An
-    empty table gives an empty result.
+    Null and empty texts have no shingles and are linked with nothing; nor are
+    rows without an id, whose component is null and which are kept. Rows of equal
+    id count as one document. Other columns are ignored, whatever their names.
+    An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, digest binary, bands binary"), "signed"
     )
     classes = scratch.write(
-        signed.where("digest is not null")
+        signed.where("digest is not null and doc_id is not null")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
@@ -226,15 +227,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = grouped_by_buckets(keys, prepare, verified, across, fits, scratch)
     whole = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.select("digest", F.coalesce("root", "rep").alias("component_id"))
-    spread = F.coalesce("digest", F.encode(F.col("doc_id").cast("string"), "utf-8"))  # rows without a set don't meet in one task
+    known = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
+    spread = F.coalesce(known, F.encode(F.col("doc_id").cast("string"), "utf-8"))  # rows without a set don't meet in one task
     out = signed.select("doc_id", "n_shingles", spread.alias("digest")).join(whole, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay, one for each group, with their own columns. Ids must be unique."""
-    found = near_duplicates(docs, id_col=id_col, **options).where("kept")
-    keep = found.select(F.col("doc_id").alias(id_col))
-    return docs.join(keep, id_col, "left_semi")
+    """The documents that stay, one for each group, with their own columns; rows without an id stay."""
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept")
+    return docs.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
 

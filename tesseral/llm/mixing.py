@@ -19,7 +19,7 @@ WEIGHTS = (1, 2, 3)
 #: No source gives more than this many times its own words.
 REPEATS = 3
 #: Documents to a chunk of a source's order, about; a chunk is summed before a source is.
-CHUNK = 4096
+CHUNK = 512
 
 
 def word_count(text: Column) -> Column:
@@ -28,7 +28,8 @@ def word_count(text: Column) -> Column:
 
 def shuffle_key(doc_id: Column) -> Column:
     """A fixed pseudo-random number of 60 bits for a document."""
-    return F.conv(F.substring(F.md5(F.encode(doc_id.cast("string"), "utf-8")), 1, 15), 16, 10).cast("long")
+    text = F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     targets, so service ends at virtual time 1; the copy in service then is cut
     there, so that each source gives its target to the word. A null source is a
     source of its own and comes last; null and empty texts have size 0 and give
-    nothing. Rows of equal id are taken one after the other. An empty table
+    nothing. Rows of equal id, or without one, are taken one after the other. An empty table
     gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -103,17 +104,18 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The copies that the mix serves, with the columns of docs, in order of virtual finish time.
 
-    A document is served whole, as often as its taken words are nearest to.
-    Ids must be unique.
+    A document is served whole, as often as its taken words are nearest to. Rows
+    without an id are served once, after all others. Ids must be unique.
     """
     plan = schedule(docs, id_col=id_col, **options).where("size > 0")
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    plan = plan.select(F.col("doc_id").alias("_id"), copies.alias("_n"), "finish", (F.col("source_size") / F.col("target")).alias("_turn"))
-    plan = plan.where("_n > 0")
-    served = plan.select("_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda e: F.col("finish") + e * F.col("_turn"))).alias("_finish"))
-    names = docs.columns
-    joined = docs.join(served, docs[id_col] == served["_id"])
-    return joined.orderBy("_finish", "_id").select(*[docs[n] for n in names])
+    turn = F.col("source_size") / F.col("target")
+    plan = plan.select(F.col("doc_id").alias("_mix_id"), copies.alias("_mix_n"), "finish", turn.alias("_mix_turn")).where("_mix_n > 0")
+    epochs = F.sequence(F.lit(0), F.col("_mix_n") - 1)
+    served = plan.select("_mix_id", F.explode(F.transform(epochs, lambda e: F.col("finish") + e * F.col("_mix_turn"))).alias("_mix_finish"))
+    joined = docs.join(served, docs[id_col] == served["_mix_id"]).select(*[docs[n] for n in docs.columns], "_mix_finish", "_mix_id")
+    rest = docs.where(docs[id_col].isNull()).select("*", F.lit(float("inf")).alias("_mix_finish"), F.lit(None).cast("long").alias("_mix_id"))
+    return joined.union(rest).orderBy("_mix_finish", "_mix_id").drop("_mix_finish", "_mix_id")
 
 
 ORACLE_SQL = r"""

@@ -109,8 +109,8 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
     needed and otherwise stays together. slot numbers a shard's rows from 0
     without gaps.
 
-    Null texts have size 1; a null language or source is a value of its own;
-    repeated rows count each. An empty table gives an empty result.
+    Null texts have size 1; a null language or source is a value of its own, and
+    rows without an id are equal in the order of ids; repeated rows count each. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")

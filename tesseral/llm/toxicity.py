@@ -394,5 +394,5 @@ def drop_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text",
 
 def held_out(doc_id) -> F.Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 0 modulo 5."""
-    return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0, F.lit(False))
 
