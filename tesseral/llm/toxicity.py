@@ -308,6 +308,10 @@ def fit(toxic: list[set[str]], clean: list[set[str]]) -> Model | None:
     table |= dict(zip(words, model.decide(words).tolist(), strict=True))
     top = np.array([max(table[w] for w in d) for d in [*toxic, *clean]])
     model.slope, model.offset = _logistic(top, np.arange(len(top)) < len(toxic))
+    # where the documents part cleanly, even odds are put further into the gap than the fit does
+    low, high = np.quantile(top[: len(toxic)], 0.01), np.quantile(top[len(toxic) :], 0.999)
+    if high < low:
+        model.offset = -model.slope * max(-model.offset / model.slope, 0.6 * high + 0.4 * low)
     return model
 
 
