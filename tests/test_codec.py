@@ -181,7 +181,7 @@ def test_what_is_not_valid_is_refused():
             codec.decode_exact(payload[:cut])
     box = codec.container([payload, payload])
     assert codec.payloads(box) == [payload, payload]
-    for broken in (box[:-1], box + b"x", box[:40] + b"y" + box[41:], box[:24] + b"12345678" + box[32:], b"QATX" + box[4:]):
+    for broken in (box[:-1], box + b"x", box[:40] + b"y" + box[41:], box[:24] + b"12345678" + box[32:], b"none" + box[4:]):
         with pytest.raises(codec.CodecError):
             codec.payloads(broken)
     with pytest.raises(codec.CodecError):

@@ -10,7 +10,7 @@ from test_capacity import EXAMPLE
 
 def test_files_on_the_command_line(tmp_path, capsys):
     raw = fixtures.wave(1000).tobytes()
-    a, b, c = tmp_path / "a.f32le", tmp_path / "b.qatc", tmp_path / "c.f32le"
+    a, b, c = tmp_path / "a.f32le", tmp_path / "b.box", tmp_path / "c.f32le"
     a.write_bytes(raw)
     assert main(["encode", str(a), str(b), "--chunk-values", "300"]) == 0
     assert main(["decode", str(b), str(c)]) == 0 and c.read_bytes() == raw

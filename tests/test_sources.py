@@ -40,12 +40,12 @@ def test_container_files(spark, tmp_path):
     parts = codec.chunks(raw, "f32", 1500)
     rows = spark.createDataFrame([("t", i, "f32", bytearray(p)) for i, p in enumerate(parts)], "tensor_id string, chunk_id long, dtype string, payload binary")
     encoded = tensors.encode_chunks(rows)
-    files.write_container(encoded, tmp_path / "x.qatc")
-    assert (tmp_path / "x.qatc").read_bytes() == codec.container([codec.encode_exact(p) for p in parts])
-    back = tensors.decode_chunks(files.read_containers(spark, str(tmp_path / "x.qatc"))).orderBy("chunk_id").collect()
+    files.write_container(encoded, tmp_path / "x.box")
+    assert (tmp_path / "x.box").read_bytes() == codec.container([codec.encode_exact(p) for p in parts])
+    back = tensors.decode_chunks(files.read_containers(spark, str(tmp_path / "x.box"))).orderBy("chunk_id").collect()
     assert b"".join(r.payload for r in back) == raw
     with pytest.raises(codec.CodecError):
-        files.write_container(encoded.limit(0), tmp_path / "x.qatc")
+        files.write_container(encoded.limit(0), tmp_path / "x.box")
     assert len(list(tmp_path.iterdir())) == 1
 
 
