@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -43,11 +43,11 @@ THREES, FOURS = CLASSES**3, 1 << 20
 WIDEST, STEP = 14, 4
 #: Rows of the labelled table used for training, at most, of each label.
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 5000
-LANDMARKS = 500
+LANDMARKS = 1000
 TURNS = 3
-RIDGE = 2e-4
+RIDGE = 5e-5
 #: The part of the positive side's weight that strings with letters put in have.
-PUT_IN = 0.3
+PUT_IN = 0.5
 #: Strings without a label of their own that train a machine, at most.
 HARD = 4000
 #: A string that only toxic documents hold is an insult where chance would do that less often than this.
@@ -226,9 +226,7 @@ def _logistic(decision: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def train(documents: list[tuple[str, bool]]) -> Model | None:
     """A model from (text, toxic) documents; None where either label is missing."""
-    clean = [_sentences(text) for text, toxic in documents if not toxic]
-    toxic = [_sentences(text) for text, toxic in documents if toxic]
-    return fit([{w for s in d for w in s} for d in toxic], [{w for s in d for w in s} for d in clean])
+    return fit([({w for s in _sentences(text) for w in s}, toxic) for text, toxic in documents])
 
 
 def _sentences(text: str) -> list[set[str]]:
@@ -237,21 +235,41 @@ def _sentences(text: str) -> list[set[str]]:
     return [*cut, {normal(m[0].lower()) for m in SPACED.finditer(text)}]
 
 
-def _without_copies(documents: list[set[str]]) -> list[set[str]]:
+def _coded(documents: Iterable[tuple[Iterable[str], bool]]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """The strings of all documents in their order, and each toxic and clean document as places in it.
+
+    Strings of one letter are left out, documents without any too.
+    """
+    places: dict[str, int] = {}
+    sides: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for words, toxic in documents:
+        own = np.array(sorted({places.setdefault(w, len(places)) for w in words if len(w) > 1}), np.int32)
+        if len(own):
+            sides[0 if toxic else 1].append(own)
+    words = sorted(places)
+    moved = np.empty(len(words), np.int32)
+    moved[np.array([places[w] for w in words], np.int64)] = np.arange(len(words))
+    del places
+    # documents come in any order
+    one, two = (sorted((np.sort(moved[d]) for d in side), key=lambda d: (len(d), d.tobytes())) for side in sides)
+    return words, one, two
+
+
+def _without_copies(documents: list[np.ndarray], words: list[str]) -> list[np.ndarray]:
     """The documents that don't share half of eight MinHash values with an earlier one."""
     salts = stream64(8, 3)
+    data, offsets = raw_bytes(pa.array(words, pa.string()))
+    hashes = segment_hashes(data, offsets[:-1], offsets[1:])
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for words in documents:
-        raw = pa.array(sorted(words), pa.string())
-        data, offsets = raw_bytes(raw)
-        low = mix64(segment_hashes(data, offsets[:-1], offsets[1:])[:, None] ^ salts).min(axis=0).tolist()
+    for own in documents:
+        low = mix64(hashes[own][:, None] ^ salts).min(axis=0).tolist()
         met = Counter(k for i, h in enumerate(low) for k in seen.get((i, h), ()))
         if met and max(met.values()) >= 4:
             continue
         for i, h in enumerate(low):
             seen.setdefault((i, h), []).append(len(kept))
-        kept.append(words)
+        kept.append(own)
     return kept
 
 
@@ -261,34 +279,37 @@ def _variants(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (extra[i], word[i])]
 
 
-def fit(toxic: list[set[str]], clean: list[set[str]]) -> Model | None:
-    """A model from the strings of toxic and of clean documents."""
-    toxic, clean = ([d for d in ({w for w in d if len(w) > 1} for d in side) if d] for side in (toxic, clean))
-    toxic, clean = _without_copies(toxic), _without_copies(clean)
+def fit(documents: Iterable[tuple[Iterable[str], bool]]) -> Model | None:
+    """A model from the strings of documents and whether each is toxic; None where either kind is missing."""
+    words, toxic, clean = _coded(documents)
     if not toxic or not clean:
         return None
-    seen, bad = Counter(w for d in clean for w in d), Counter(w for d in toxic for w in d)
+    toxic, clean = _without_copies(toxic, words), _without_copies(clean, words)
+    seen, bad = (np.bincount(np.concatenate(side), minlength=len(words)) for side in (clean, toxic))
     # strings that chance wouldn't keep out of the clean documents are insults; where a toxic document
     # has none, the string that tells it most from clean ones is taken as one
     share = len(toxic) / (len(toxic) + len(clean))
-    sure = {w for w, n in bad.items() if not seen[w] and share**n < CHANCE}
-    odds = {w: (n / len(toxic)) / ((seen[w] + 0.5) / len(clean)) for w, n in bad.items()}
-    unsure = [d for d in toxic if not d & sure]
-    chosen = [max(sorted(d), key=odds.__getitem__) for d in unsure]
-    everything = sorted(seen)
+    is_sure = (bad > 0) & (seen == 0) & (share**bad < CHANCE)
+    sure = [words[i] for i in sorted(np.flatnonzero(is_sure).tolist(), key=lambda i: (-bad[i], i))]
+    odds = (bad / len(toxic)) / ((seen + 0.5) / len(clean))
+    unsure = [d for d in toxic if not is_sure[d].any()]
+    chosen = [int(d[odds[d].argmax()]) for d in unsure]
+    everything = [words[i] for i in np.flatnonzero(seen).tolist()]
+    known = set(everything)
     rng = np.random.default_rng(0)
     hard = [everything[i] for i in rng.permutation(len(everything))[: HARD // 2]]
     model = None
     for turn in range(TURNS):
-        found = [w for w, _ in Counter(chosen).most_common() if not seen[w]] or list(dict.fromkeys(chosen))
-        insults = [*sorted(sure, key=lambda w: (-bad[w], w)), *(w for w in found if w not in sure)][:1000]
+        found = [i for i, _ in Counter(chosen).most_common()]
+        found = [i for i in found if not seen[i]] or found
+        insults = [*sure, *(words[i] for i in found if not is_sure[i])][:1000]
         plain = list(dict.fromkeys(p for w in insults for p in windows(w)))
         if model is not None:  # windows of long words that don't hold the insult aren't positive
             cut = [windows(w) for w in insults]
             value = iter(_scores(model, [p for c in cut for p in c]).tolist())
             plain = list(dict.fromkeys(max([(next(value), p) for p in c])[1] for c in cut))
         short = [w for w in insults[:80] if len(w) + 3 <= WIDEST]
-        put_in = [p for w in short for v in _variants(w, rng) if not seen[v] for p in windows(v)]
+        put_in = [p for w in short for v in _variants(w, rng) if v not in known for p in windows(v)]
         put_in = [p for p in dict.fromkeys(put_in) if p not in set(plain)]
         taken = {*plain, *put_in}
         negative = [p for p in dict.fromkeys(p for w in hard for p in windows(w)) if p not in taken]
@@ -300,13 +321,11 @@ def fit(toxic: list[set[str]], clean: list[set[str]]) -> Model | None:
         worst = [everything[i] for i in np.argsort(-value, kind="stable")[: HARD // 2]]
         hard = list(dict.fromkeys([*worst, *hard]))[:HARD]
         if turn + 1 < TURNS and unsure:
-            words = sorted({w for d in unsure for w in d})
-            decided = dict(zip(words, model.decide(words).tolist(), strict=True))
-            chosen = [max(sorted(d), key=lambda w: (min(decided[w], 1.0) if not seen[w] else -2, odds[w])) for d in unsure]
-    table = dict(zip(everything, model.decide(everything).tolist(), strict=True))
-    words = sorted(bad)
-    table |= dict(zip(words, model.decide(words).tolist(), strict=True))
-    top = np.array([max(table[w] for w in d) for d in [*toxic, *clean]])
+            decided = np.minimum(model.decide(words), 1.0)
+            decided[seen > 0] = -2
+            chosen = [int(d[np.lexsort((-odds[d], -decided[d]))[0]]) for d in unsure]
+    table = model.decide(words)
+    top = np.array([table[d].max() for d in [*toxic, *clean]])
     model.slope, model.offset = _logistic(top, np.arange(len(top)) < len(toxic))
     # where the documents part cleanly, even odds are put further into the gap than the fit does
     low, high = np.quantile(top[: len(toxic)], 0.01), np.quantile(top[len(toxic) :], 0.999)
@@ -349,14 +368,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             found = [sorted({w for s in _sentences(t) for w in s}) for t in fill(batch.column(0)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["label", "words"])
 
-    got = rows.select("_text", "_label").mapInArrow(gather, "label int, words array<string>").toArrow()
-    words = {1: [], 0: []}
-    shared: dict[str, str] = {}
-    for batch in got.to_batches(max_chunksize=200):
-        for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words[label].append({shared.setdefault(w, w) for w in found})
-    order = lambda sets: sorted(sets, key=sorted)  # noqa: E731  rows arrive in any order
-    return fit(order(words[1]), order(words[0]))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch.slice(start, 100) for batch in batches for start in range(0, len(batch), 100))
+        documents = ((words, label == 1) for p in parts for label, words in zip(*(p.column(i).to_pylist() for i in range(2)), strict=True))
+        model = fit(documents)
+        if model is not None:
+            numbers = [pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.offset)]
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *numbers], names=["weights", "bias", "slope", "offset"])
+
+    words = rows.select("_text", "_label").mapInArrow(gather, "label int, words array<string>")
+    # one task learns from the bounded sample; the driver only gets the weights
+    found = words.repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, offset double").first()
+    return found and Model(np.frombuffer(found.weights, np.float32), found.bias, found.slope, found.offset)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
