@@ -117,15 +117,30 @@ def lower_table() -> np.ndarray:
     return table
 
 
+#: Bytes that are hashed at a time; the working arrays are some fifty times as large.
+HASHED_AT_ONCE = 1 << 20
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
     """A 64-bit hash of each byte range [start, end); ranges ascend and don't overlap."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
+    until = np.cumsum(lengths)
+    table = stream64(256, seed)
+    first = 0
+    while first < len(starts):
+        done = until[first] - lengths[first]
+        last = max(first + 1, int(np.searchsorted(until, done + HASHED_AT_ONCE, side="right")))
+        out[first:last] = _sums(data, starts[first:last], lengths[first:last], table)
+        first = last
+    return mix64(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The sum of each range's bytes, by a table, times powers of their places."""
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     inner = np.arange(total) - np.repeat(first, lengths)
-    table = stream64(256, seed)
     power = np.full(int(lengths.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -134,7 +149,7 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     out = np.zeros(len(starts), np.uint64)
     if full.any():
         out[full] = np.add.reduceat(terms, first[full])
-    return mix64(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -87,12 +87,9 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return stars.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-#: Pivots tried in each bucket before what is still open is compared in full.
-PIVOT_TURNS = 2
-
-
 def grouped_by_buckets(
     keys: DataFrame,
+    sizes: Callable[[], DataFrame],
     prepare: Callable[[DataFrame], None],
     verified: Callable[[DataFrame], DataFrame],
     across: Callable[[DataFrame], DataFrame],
@@ -101,53 +98,39 @@ def grouped_by_buckets(
 ) -> DataFrame:
     """(node, root) of the groups among items that share buckets; items linked with nothing are left out.
 
-    keys holds (key, rep, n): a bucket, an item in it and the item's size.
-    Candidates are items of one bucket whose sizes fit; `verified` gives those
-    of pairs (a, b) that are links. `prepare` is told once which items have any
-    company, as `rep`.
+    keys holds (key, rep), a bucket and an item in it, and is read twice; sizes
+    gives (rep, n), an item's size, once `prepare` was called, which is told
+    which items have any company, as `rep`. Candidates are items of one bucket
+    whose sizes fit; `verified` gives those of pairs (a, b) that are links.
 
     Every member of a bucket is compared with the bucket's pivot, the member
-    that collides most often, in a few turns with another pivot each. Buckets
-    whose members are then still in different groups are open; `across` gets
-    their members as (pivot, rep, root, outside), distinct, where outside tells
-    members that aren't in the pivot's group, and gives all links (a, b) from
-    members outside to members of another root, or at least one for each such
-    pair of a member and a root. So no link between candidates is lost.
+    that collides most often. Buckets whose members are then still in different
+    groups are open; `across` gets their members as (pivot, rep, root, outside),
+    distinct, where outside tells members that aren't in the pivot's group, and
+    gives all links (a, b) from members outside to members of another root, or
+    at least one for each such pair of a member and a root. So no link between
+    candidates is lost.
     """
-    keys = scratch.write(keys, "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     buckets = scratch.write(keys.join(shared, "key"), "buckets")
-    scratch.drop("keys")
     centre = buckets.groupBy("rep").agg(F.sum("cnt").alias("centre"))
-    buckets = scratch.write(buckets.drop("cnt").join(centre, "rep"), "members")
-    scratch.drop("buckets")
     prepare(buckets)
-
-    links = tried = None
-    labelled = buckets.withColumn("root", F.col("rep"))
+    buckets = scratch.write(buckets.drop("cnt").join(centre, "rep").join(sizes(), "rep"), "members")
+    scratch.drop("buckets")
 
     def pivots_of(pool: DataFrame) -> DataFrame:
         best = F.max(F.struct("centre", (-F.col("rep")).alias("less"), "n", "root")).alias("p")
         found = pool.groupBy("key").agg(best)
         return found.select("key", (-F.col("p.less")).alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("pr"))
 
-    for turn in range(PIVOT_TURNS):
-        pool = labelled if tried is None else labelled.join(tried, ["key", "rep"], "left_anti")
-        pivots = scratch.write(pivots_of(pool), f"pivots-{turn}")
-        pairs = labelled.join(pivots, "key").where((F.col("root") != F.col("pr")) & fits(F.col("n"), F.col("m")))
-        found = scratch.write(verified(pairs.select(F.col("rep").alias("a"), "b").distinct()), f"links-{turn}")
-        used = pivots.select("key", F.col("b").alias("rep"))
-        tried = used if tried is None else tried.union(used)
-        links = found if links is None else links.union(found)
-        roots = scratch.write(components(links, scratch, f"stars-{turn}"), f"roots-{turn}")
-        named = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.withColumn("root", F.coalesce("root", "rep"))
-        split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        labelled = scratch.write(named.join(split.select("key"), "key", "left_semi"), f"open-{turn}")
-        if labelled.isEmpty() or found.isEmpty():
-            break
-
-    pivots = scratch.write(pivots_of(labelled), "pivots-open")
+    first = pivots_of(buckets.withColumn("root", F.col("rep")))
+    pairs = buckets.join(first, "key").where((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("m")))
+    links = scratch.write(verified(pairs.select(F.col("rep").alias("a"), "b").distinct()), "links")
+    roots = scratch.write(components(links, scratch, "stars"), "roots")
+    named = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    labelled = scratch.write(named.join(split.select("key"), "key", "left_semi"), "labelled")
+    pivots = scratch.write(pivots_of(labelled), "pivots")
     members = labelled.join(pivots, "key").select(F.col("b").alias("pivot"), "rep", "root", (F.col("root") != F.col("pr")).alias("outside"))
     rest = scratch.write(across(scratch.write(members.distinct(), "open")), "links-rest")
     if rest.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fill, mix64, raw_bytes, segment_hashes, stream64, words_of
+from .common import Scratch, fill, mix64, raw_bytes, segment_hashes, slices, stream64, words_of
 from .graph import compared_blocks, grouped_by_buckets
 
 #: A SimHash has BLOCKS blocks of 32 bits; lines whose hashes differ in fewer than BLOCKS bits share a block.
@@ -78,69 +79,89 @@ def _majority(words: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> np.ndarra
     return out
 
 
-def simhash_blocks(lines: list[str]) -> np.ndarray:
-    """The blocks of each line's SimHash over its distinct words, as one 64-bit key for each block.
+#: A line's number and a word's hash share 64 bits while a line's words are told apart.
+LINE_BITS = 20
+
 
-    A word counts once, else the few words that every line repeats would decide.
+def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each normal line, keys of the blocks of its SimHash over its distinct words).
+
+    A word counts once in a SimHash, else the few words that every line repeats would decide.
     """
-    data, offsets = raw_bytes(pa.array(lines, pa.string()))
+    if len(lines) >= 1 << LINE_BITS:
+        parts = [hashed_lines(lines.slice(i, 1 << (LINE_BITS - 1))) for i in range(0, len(lines), 1 << (LINE_BITS - 1))]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([k for _, k in parts])
+    data, offsets = raw_bytes(lines)
     starts, ends, at = words_of(data, offsets)
     words = segment_hashes(data, starts, ends, seed=31)
-    line = np.repeat(np.arange(len(lines)), np.diff(at))
-    order = np.lexsort((words, line))
-    words, line = words[order], line[order]
-    fresh = np.concatenate([[True], (words[1:] != words[:-1]) | (line[1:] != line[:-1])])[: len(words)]
-    words, at = words[fresh], np.searchsorted(line[fresh], np.arange(len(lines) + 1))
-    bits = _majority(words, at, stream64(BLOCKS // 2, 77))
-    out = np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64)
-    return mix64(out ^ (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
+    sizes = np.diff(at)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+    inner = np.arange(len(words)) - np.repeat(at[:-1], sizes)
+    power = np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    np.multiply.accumulate(power, out=power)
+    whole = np.zeros(len(lines), np.uint64)
+    full = sizes > 0
+    if full.any():
+        whole[full] = np.add.reduceat(words * power[inner], at[:-1][full])
+    whole = mix64(whole + sizes.astype(np.uint64))
+    low = np.uint64(64 - LINE_BITS)
+    both = line << low | words >> np.uint64(LINE_BITS)
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
+    at = np.searchsorted(both, np.arange(len(lines) + 1, dtype=np.uint64) << low)
+    bits = _majority(both & ((np.uint64(1) << low) - np.uint64(1)), at, stream64(BLOCKS // 2, 77))
+    keys = np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64)
+    return whole.view(np.int64), mix64(keys ^ (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
+
+
+def simhash_blocks(lines: list[str]) -> np.ndarray:
+    return hashed_lines(pa.array(lines, pa.string()))[1]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with words: its place, its normal form's hash and, at its first place here, that form."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        seen: dict[bytes, int] = {}
-        doc, number, which = [], [], []
-        for i, text in zip(ids, fill(batch.column(1)), strict=True):
-            for k, norm in enumerate(normal_lines(text.as_py())):
-                if norm:
-                    doc.append(i)
-                    number.append(k)
-                    which.append(seen.setdefault(norm, len(seen)))
-        forms = list(seen)
-        data, offsets = raw_bytes(pa.array(forms, pa.binary()))
-        hashes = segment_hashes(data, offsets[:-1], offsets[1:], seed=13).view(np.int64)
-        which = np.array(which, np.int64)
-        first = np.zeros(len(which), bool)
-        first[np.unique(which, return_index=True)[1]] = True
-        norms = [forms[w] if f else None for w, f in zip(which.tolist(), first.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(norms, pa.binary()).cast(pa.string())],
-            names=["doc_id", "line_no", "line", "norm"],
-        )
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, len(batch), 4096):
-            part = batch.slice(start, 4096)
-            keys = simhash_blocks(part.column(1).to_pylist())
+    """A row for each line with words: its place and its normal form's hash; at its first place here, that form's block keys and length."""
+    for whole in batches:
+        for batch in slices(whole, 1, 4 << 20):
+            seen: dict[bytes, int] = {}
+            doc, number, which = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), fill(batch.column(1)), strict=True):
+                for k, norm in enumerate(normal_lines(text.as_py())):
+                    if norm:
+                        doc.append(i)
+                        number.append(k)
+                        which.append(seen.setdefault(norm, len(seen)))
+            forms = pa.array(list(seen), pa.binary())
+            hashes, keys = hashed_lines(forms)
+            keys = keys.tobytes()
+            which = np.array(which, np.int64)
+            first = np.zeros(len(which), bool)
+            first[np.unique(which, return_index=True)[1]] = True
+            width = BLOCKS * 8
+            blocks = [keys[w * width : w * width + width] if f else None for w, f in zip(which.tolist(), first.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.reshape(-1).view(np.int64)),
-                    pa.array(np.repeat(part.column(0).to_numpy(), BLOCKS)),
-                    pa.array(np.repeat(part.column(2).to_numpy(), BLOCKS)),
-                ],
-                names=["key", "rep", "n"],
+                [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(blocks, pa.binary())],
+                names=["doc_id", "line_no", "line", "blocks"],
             )
 
 
-def similar(a: Column, b: Column, apart: int = APART) -> Column:
-    """Whether 100 * edit distance <= apart * length of the longer string."""
-    longest = F.greatest(F.length(a), F.length(b))
-    # the distance itself is only computed as far as it can still fit
-    return F.levenshtein(a, b) * 100 <= longest * apart
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BLOCKS))], names=["key", "rep"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The normal forms of those lines of a text that are asked for by number."""
+    for batch in batches:
+        lines, forms = [], []
+        for text, asked in zip(fill(batch.column(0)), batch.column(1), strict=True):
+            norms = normal_lines(text.as_py())
+            for x in asked.as_py():
+                lines.append(x["line"])
+                forms.append(norms[x["line_no"]])
+        texts = pa.array(forms, pa.binary())
+        size = pa.array([len(f) for f in texts.cast(pa.string()).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), texts.cast(pa.string()), size], names=["line", "norm", "n"])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -164,6 +185,41 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def alike(a: str, b: str, apart: int) -> bool:
+    """Whether 100 * edit distance <= apart * length of the longer string."""
+    most = apart * max(len(a), len(b)) // 100
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def distance(a: str, b: str) -> int:
+    """The edit distance; what both begin and end with is left out."""
+    lead = same_length(a, b)
+    a, b = a[lead:], b[lead:]
+    tail = same_length(a[::-1], b[::-1])
+    return edit_distance(a[: len(a) - tail], b[: len(b) - tail])
+
+
+def same_length(a: str, b: str) -> int:
+    """How many characters both begin with, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _verified(apart: int):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = [alike(x, y, apart) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return verify
+
+
 def _letter_counts(lines: list[str]) -> np.ndarray:
     """How often each class of characters occurs in each line."""
     out = np.zeros((len(lines), 64), np.int32)
@@ -176,8 +232,9 @@ def _letter_counts(lines: list[str]) -> np.ndarray:
 def _compared(apart: int):
     """Links between two blocks of lines: for each left line and root of right lines one, if there is any.
 
-    The distance is at least the number of characters that only one of two
-    lines has, so their counts settle most pairs that share a SimHash block.
+    Two bounds settle most pairs that share a SimHash block: the distance is at
+    least the number of characters that only one of two lines has, and at least
+    the difference of their distances to a third line.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +245,25 @@ def _compared(apart: int):
                 keys, counts = simhash_blocks([x["norm"] for x in right]), _letter_counts([x["norm"] for x in right])
                 sizes = counts.sum(axis=1)
                 texts = [x["norm"] for x in left]
+                third = Counter(y["root"] for y in right).most_common(1)[0][0]
+                third = next(y["norm"] for y in right if y["root"] == third)
+                far: dict[int, int] = {}
                 for x, block, own in zip(left, simhash_blocks(texts), _letter_counts(texts), strict=True):
                     near = np.flatnonzero((keys == block).any(axis=1))
                     more = np.maximum(own - counts[near], 0).sum(axis=1)
                     least = np.maximum(more, more - own.sum() + sizes[near])
                     met = {x["root"]}
+                    own_far = distance(x["norm"], third) if len(near) > 1 else 0
                     for j in near[least * 100 <= apart * np.maximum(sizes[near], own.sum())].tolist():
                         y = right[j]
                         if y["root"] in met:
                             continue
-                        if edit_distance(x["norm"], y["norm"]) * 100 <= apart * max(len(x["norm"]), len(y["norm"])):
+                        if len(near) > 1:
+                            if j not in far:
+                                far[j] = distance(y["norm"], third)
+                            if abs(own_far - far[j]) * 100 > apart * max(len(x["norm"]), len(y["norm"])):
+                                continue
+                        if alike(x["norm"], y["norm"], apart):
                             met.add(y["root"])
                             a.append(x["rep"])
                             b.append(y["rep"])
@@ -223,34 +289,39 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = scratch.write(rows.where("doc_id is not null").mapInArrow(_occurrences, "doc_id long, line_no int, line long, norm string"), "found")
-    at = F.struct("doc_id", "line_no")
-    forms = found.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("many"))
-    forms = scratch.write(forms.select("line", "first", "many"), "forms")
-    # a form is read again for each task that met it, so one copy of each is left
-    texts = found.where("norm is not null").select("line", "norm").dropDuplicates(["line"])
-    texts = scratch.write(texts, "texts")
-    blocks = texts.select("line", "norm", F.length("norm").cast("long").alias("n")).mapInArrow(_blocks, "key long, rep long, n long")
+    found = rows.where("doc_id is not null").mapInArrow(_occurrences, "doc_id long, line_no int, line long, blocks binary")
+    found = scratch.write(found, "found")
+    forms = found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many"), F.max("blocks").alias("blocks"))
+    forms = scratch.write(forms, "forms")
+    found = scratch.write(found.select("doc_id", "line_no", "line"), "places")
+    scratch.drop("found")
+    blocks = forms.select("line", "blocks").mapInArrow(_keys, "key long, rep long")
     wanted: list[DataFrame] = []
 
     def prepare(members: DataFrame) -> None:
-        ids = members.select(F.col("rep").alias("line")).distinct()
-        wanted.append(scratch.write(texts.join(ids, "line", "left_semi"), "wanted"))
+        """Only lines with company are read again, from the text of their first place."""
+        asked = members.select(F.col("rep").alias("line")).distinct().join(forms, "line")
+        asked = asked.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("line", F.col("first.line_no").alias("line_no"))).alias("asked"))
+        read = rows.join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "line long, norm string, n long")
+        wanted.append(scratch.write(read, "wanted"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         own = wanted[0]
         left = pairs.join(own.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a")
         full = left.join(own.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
-        return full.where(similar(F.col("x"), F.col("y"), apart)).select("a", "b")
+        return full.select("a", "b", "x", "y").mapInArrow(_verified(apart), "a long, b long")
 
     def across(members: DataFrame) -> DataFrame:
         own = wanted[0].withColumnRenamed("line", "rep")
         return compared_blocks(members, own, "norm", BLOCK_BYTES, _compared(apart), scratch)
 
-    def size_fits(p: Column, q: Column) -> Column:
+    def fits(p: Column, q: Column) -> Column:
         return (F.greatest(p, q) - F.least(p, q)) * 100 <= F.greatest(p, q) * apart
 
-    roots = grouped_by_buckets(blocks, prepare, verified, across, size_fits, scratch)
+    def sizes() -> DataFrame:
+        return wanted[0].select(F.col("line").alias("rep"), "n")
+
+    roots = grouped_by_buckets(blocks, sizes, prepare, verified, across, fits, scratch)
     grouped = forms.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     groups = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("many").alias("total")).where("total > 1")
     keepers = grouped.join(groups, "root").select("line", F.col("keep.doc_id").alias("doc_id"), F.col("keep.line_no").alias("line_no"), "root", "total")
@@ -274,7 +345,8 @@ def summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     0, of those that go.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    many = F.when(F.length(text) == 0, 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    many = F.when(text == "", 0).otherwise(feeds + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), many.cast("long").alias("n_lines"))
     gone = F.collect_list(F.when(~F.col("kept"), F.col("line_no")))
     per = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id")

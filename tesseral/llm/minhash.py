@@ -124,15 +124,14 @@ def _verifier(percent: int):
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [x.as_py() for x in batch.column(2)]
+        packed = [x.as_py() for x in batch.column(1)]
         keys = np.frombuffer(b"".join(packed), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(keys),
                 pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)),
-                pa.array(np.repeat(batch.column(1).to_numpy(), BANDS)),
             ],
-            names=["key", "rep", "n"],
+            names=["key", "rep"],
         )
 
 
@@ -204,7 +203,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
-    keys = classes.select("rep", "n", "bands").mapInArrow(_exploded, "key long, rep long, n long")
+    keys = classes.select("rep", "bands").mapInArrow(_exploded, "key long, rep long")
     sets: list[DataFrame] = []
 
     def prepare(members: DataFrame) -> None:
@@ -224,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def fits(p: Column, q: Column) -> Column:
         return 100 * F.least(p, q) >= percent * F.greatest(p, q)
 
-    roots = grouped_by_buckets(keys, prepare, verified, across, fits, scratch)
+    roots = grouped_by_buckets(keys, lambda: classes.select("rep", "n"), prepare, verified, across, fits, scratch)
     whole = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.select("digest", F.coalesce("root", "rep").alias("component_id"))
     known = F.when(F.col("doc_id").isNotNull(), F.col("digest"))

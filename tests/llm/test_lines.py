@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tesseral.llm import graph, lines
+from tesseral.llm import lines
 
 
 def distance(a, b):
@@ -62,15 +62,19 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b) == distance(a, b)
 
 
+@given(st.text("ab", max_size=14), st.text("abc", max_size=14), st.integers(0, 100))
+@settings(max_examples=300, deadline=None)
+def test_alike(a, b, apart):
+    assert lines.alike(a, b, apart) == (distance(a, b) * 100 <= apart * max(len(a), len(b)))
+
+
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK_BYTES", 400)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash")).withColumn("root", F.lit(1))
     want = brute(rows)
-    for turns in (1, 2):
-        monkeypatch.setattr(graph, "PIVOT_TURNS", turns)
-        got = {(r.doc_id, r.line_no): (True, r.kept) for r in lines.duplicate_lines(docs).collect()}
-        assert got == {p: x for p, x in want.items() if x[0]}
+    got = {(r.doc_id, r.line_no): (True, r.kept) for r in lines.duplicate_lines(docs).collect()}
+    assert got == {p: x for p, x in want.items() if x[0]}
     summary = {r.doc_id: r for r in lines.summary(docs).collect()}
     assert summary.keys() == {i for i, _ in rows}
     for i, text in rows:
