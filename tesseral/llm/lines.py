@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence of each group."""
+"""Fuzzy line deduplication: SimHash blocks and MinHash bands, edit similarity, one occurrence of each group."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ from .graph import compared_blocks, grouped_by_buckets
 
 #: A SimHash has BLOCKS blocks of 32 bits; lines whose hashes differ in fewer than BLOCKS bits share a block.
 BLOCKS = 8
+#: A line has as many MinHash bands beside them, each of ROWS minima over its runs of GRAM bytes. SimHash alone leaves
+#: most lines that differ in more than one word of fifty without a common block.
+BANDS, ROWS, GRAM = 24, 3, 6
+KEYS = BLOCKS + BANDS
 #: Lines are linked when their edit distance is at most this part, in percent, of the longer one.
 APART = 20
 #: ASCII letters in lower case, digits as 0, line feeds as they are, all other ASCII as a space.
@@ -79,12 +83,65 @@ def _majority(words: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> np.ndarra
     return out
 
 
+#: Bytes of lines whose minima are found at a time.
+MINIMA_AT_ONCE = 1 << 20
+EMPTY = np.uint64((1 << 64) - 1)
+
+
+def _minima(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minima of each line's hashed grams: one hash a gram, which falls in one bin (one-permutation MinHash).
+
+    A gram begins at every byte of a line; those at its end are filled up with
+    zeros. An empty bin takes the minimum of the first full one in an order that
+    is the same for all lines, so like lines still agree in it as often.
+    """
+    bins = BANDS * ROWS
+    sizes = np.diff(offsets)
+    out = np.full((len(sizes), bins), EMPTY, np.uint64)
+    flat = out.reshape(-1)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + MINIMA_AT_ONCE, side="right")) - 1)
+        own = data[offsets[first] : offsets[last]]
+        left = np.repeat(offsets[first + 1 : last + 1] - offsets[first], sizes[first:last]) - np.arange(len(own))
+        grams = np.zeros(len(own), np.uint64)
+        for k in range(GRAM):
+            byte = np.zeros(len(own), np.uint64)
+            byte[: max(0, len(own) - k)] = own[k:]
+            grams = grams << np.uint64(8) | np.where(left > k, byte, np.uint64(0))
+        grams = mix64(grams ^ np.uint64(0x5851F42D4C957F2D))
+        line = np.repeat(np.arange(first, last), sizes[first:last])
+        np.minimum.at(flat, line * bins + ((grams >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), grams & np.uint64(0xFFFFFFFF))
+        first = last
+    row, column = np.nonzero(out == EMPTY)
+    keep = sizes[row] > 0
+    row, column = row[keep], column[keep]
+    full = out != EMPTY
+    turn = 0
+    while len(row):
+        turn += 1
+        other = (mix64(column.astype(np.uint64) << np.uint64(32) | np.uint64(turn)) % np.uint64(bins)).astype(np.int64)
+        found = full[row, other]
+        out[row[found], column[found]] = out[row[found], other[found]]
+        row, column = row[~found], column[~found]
+    return out
+
+
+def _bands(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """32 bits of each band of each line's minima."""
+    minima = _minima(data, offsets).reshape(-1, BANDS, ROWS)
+    out = np.zeros(minima.shape[:2], np.uint64)
+    for k in range(ROWS):
+        out = mix64(out + minima[:, :, k] + np.uint64(k + 1))
+    return out >> np.uint64(32)
+
+
 #: A line's number and a word's hash share 64 bits while a line's words are told apart.
 LINE_BITS = 20
 
 
 def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each normal line, keys of the blocks of its SimHash over its distinct words).
+    """(hash of each normal line, keys of the blocks of its SimHash over its distinct words and of its MinHash bands).
 
     A word counts once in a SimHash, else the few words that every line repeats would decide.
     """
@@ -110,8 +167,8 @@ def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
     at = np.searchsorted(both, np.arange(len(lines) + 1, dtype=np.uint64) << low)
     bits = _majority(both & ((np.uint64(1) << low) - np.uint64(1)), at, stream64(BLOCKS // 2, 77))
-    keys = np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64)
-    return whole.view(np.int64), mix64(keys ^ (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
+    keys = np.hstack([np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64), _bands(data, offsets)])
+    return whole.view(np.int64), mix64(keys ^ (np.arange(1, KEYS + 1, dtype=np.uint64) << np.uint64(32)))
 
 
 def simhash_blocks(lines: list[str]) -> np.ndarray:
@@ -119,7 +176,7 @@ def simhash_blocks(lines: list[str]) -> np.ndarray:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with words: its place and its normal form's hash; at its first place here, that form's block keys and length."""
+    """A row for each line with words: its place and its normal form's hash; at its first place here, that form's keys."""
     for whole in batches:
         for batch in slices(whole, 1, 4 << 20):
             seen: dict[bytes, int] = {}
@@ -136,7 +193,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = np.array(which, np.int64)
             first = np.zeros(len(which), bool)
             first[np.unique(which, return_index=True)[1]] = True
-            width = BLOCKS * 8
+            width = KEYS * 8
             blocks = [keys[w * width : w * width + width] if f else None for w, f in zip(which.tolist(), first.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(blocks, pa.binary())],
@@ -147,7 +204,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BLOCKS))], names=["key", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), KEYS))], names=["key", "rep"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +289,7 @@ def _letter_counts(lines: list[str]) -> np.ndarray:
 def _compared(apart: int):
     """Links between two blocks of lines: for each left line and root of right lines one, if there is any.
 
-    Two bounds settle most pairs that share a SimHash block: the distance is at
+    Two bounds settle most pairs that share a key: the distance is at
     least the number of characters that only one of two lines has, and at least
     the difference of their distances to a third line.
     """
@@ -281,9 +338,9 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines are parted by line feeds and equal when their normal forms are: lower
     case, every number as 0, everything between words as one space. Different
-    forms are linked when they share a block of their SimHashes and their edit
-    distance is at most `apart` percent of the longer one; groups are what links
-    reach. The keeper is the first occurrence, by doc_id, then line_no, in a
+    forms are linked when they share a block of their SimHashes or a MinHash
+    band and their edit distance is at most `apart` percent of the longer one;
+    groups are what links reach. The keeper is the first occurrence, by doc_id, then line_no, in a
     form's group. Lines without words belong to no group. Null and empty texts
     have no lines; rows without an id are left as they are; ids must be unique.
     """

@@ -118,3 +118,38 @@ def test_majority_bits():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.summary(docs).collect() == [] and lines.drop_duplicate_lines(docs).collect() == []
+
+
+def edited(seed, share, many):
+    """Pairs of lines: the second with words replaced at random, as many as stay within `share` percent of edits."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 11)))
+    out = []
+    while len(out) < many:
+        line = [word() for _ in range(rng.choice((10, 15, 20, 30, 50)))]
+        other = list(line)
+        for k in rng.sample(range(len(line)), len(line)):
+            more = [*other[:k], word(), *other[k + 1 :]]
+            if distance(" ".join(line), " ".join(more)) * 100 > share * max(len(" ".join(line)), len(" ".join(more))):
+                break
+            other = more
+        if other != line:
+            out.append((" ".join(line), " ".join(other)))
+    return out
+
+
+def test_recall_against_edit_distance_alone(spark):
+    """Lines within the threshold by edit distance, whatever keys they share."""
+    for share, least in ((10, 0.98), (20, 0.95)):
+        pairs = edited(share, share, 60)
+        rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+        got = {r.doc_id for r in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").collect()}
+        assert got <= {2 * i + 1 for i in range(len(pairs))} and len(got) >= least * len(pairs)
+
+
+def test_keys_do_not_depend_on_the_other_lines():
+    texts = ["", "a", "abcd", "é" * 9, "one two three", "word " * 3000, "the last line of all"]
+    whole = lines.simhash_blocks(texts)
+    assert whole.shape == (len(texts), lines.KEYS)
+    for i, text in enumerate(texts):
+        assert (lines.simhash_blocks([text])[0] == whole[i]).all()
