@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Fixed masks: 1 looks at a token, 0 ignores it.
-MASKS = ("111010011", "110010111")
+#: Fixed masks: 1 looks at a token, 0 ignores it. In every way that 80 % of 13 or more tokens, or of an item of 9 to 12,
+#: can agree, one of them hits (a longer window that agrees so holds one of at most 25 tokens that does).
+MASKS = ("110001001", "001100101", "101011000")
 SPAN = len(MASKS[0])
 #: An overlap is at least so many tokens long, or as long as its item, and so much of it, in percent, agrees.
 LEAST, AGREE = 13, 80

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -90,3 +91,11 @@ def test_no_python_on_the_executors(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontam.contamination(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_masks_hit_whatever_fifth_is_substituted():
+    looked = [[k for k, bit in enumerate(m) if bit == "1"] for m in decontam.MASKS]
+    # other lengths up to 25 hold one of these with no more substitutions; longer ones fall in two halves
+    for length in (9, 10, 11, 12, 13, 15, 20, 25):
+        for gone in map(set, itertools.combinations(range(length), length * (100 - decontam.AGREE) // 100)):
+            assert any(all(p + k not in gone for k in m) for m in looked for p in range(length - decontam.SPAN + 1))
