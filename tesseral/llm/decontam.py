@@ -46,12 +46,15 @@ def _with_seeds(rows: DataFrame) -> DataFrame:
     return found.select(*keep, "seed", (F.col("at") % F.col("many")).alias("place"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, agree: int = AGREE) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, agree: int = AGREE, windows: bool = False) -> DataFrame:
     """(doc_id, item_id, start, length, agreeing): where documents overlap with benchmark items, in tokens.
 
     An overlap is the stretch of one diagonal from its first to its last hit of a
     seed; it counts from `least` tokens, or the item's length where that is less,
-    if `agree` percent of its tokens are the same. Items of fewer than SPAN
+    if `agree` percent of its tokens are the same. With `windows` any such window
+    of the diagonal counts, whatever the tokens around it: where the stretch
+    itself doesn't, the row gives the longest window, then the first, of less than
+    twice the tokens asked for (each longer one holds one of these). Items of fewer than SPAN
     tokens hold no seed and are never found. Null and empty texts have no token.
     Rows without an id are found too, all under the null id, and are never
     dropped. Ids must be unique; other columns are ignored. Either table may be empty. The benchmark's seeds are broadcast in blocks of at most
@@ -75,16 +78,35 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
         hits = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     hits = scratch.write(hits.withColumn("length", F.col("last") - F.col("first") + SPAN), "hits")
     items = items.select("item_id", F.col("words").alias("item_words"))
-    hits = hits.join(items, "item_id").where(F.col("length") >= F.least(F.lit(least), F.size("item_words")))
+    need, low = F.least(F.lit(least), F.size("item_words")), F.greatest(F.lit(0), -F.col("diagonal"))
+    hits = hits.join(items, "item_id").withColumn("need", need)
+    if not windows:
+        hits = hits.where("length >= need")
     # documents without a hit are left out before their texts are split again
     own = rows.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("words"))
     own = scratch.write(own, "texts")
-    both = hits.join(own, "doc_id")
-    theirs = F.slice("item_words", F.col("first") + 1, F.col("length"))
-    ours = F.slice("words", F.col("diagonal") + F.col("first") + 1, F.col("length"))
-    same = F.size(F.filter(F.zip_with(ours, theirs, lambda a, b: a == b), lambda x: x))
-    out = both.withColumn("agreeing", same).where(F.col("agreeing") * 100 >= F.col("length") * agree)
-    return out.select("doc_id", "item_id", (F.col("diagonal") + F.col("first")).alias("start"), "length", "agreeing")
+    both = hits.join(own, "doc_id").withColumn("low", low)
+    both = both.withColumn("n", F.least(F.size("item_words"), F.size("words") - F.col("diagonal")) - F.col("low")).where("n >= need")
+    theirs = F.slice("item_words", F.col("low") + 1, F.col("n"))
+    ours = F.slice("words", F.col("diagonal") + F.col("low") + 1, F.col("n"))
+    sums = F.aggregate(F.zip_with(ours, theirs, lambda a, b: (a == b).cast("int")), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    both = both.select("doc_id", "item_id", "diagonal", "low", "n", "need", "length", (F.col("first") - F.col("low")).alias("first"), sums.alias("sums"))
+
+    def agreeing(start: Column, length: Column) -> Column:
+        return F.col("sums")[start + length] - F.col("sums")[start]
+
+    def longest(start: Column) -> Column:
+        lengths = F.sequence("need", F.least(F.col("need") * 2 - 1, F.col("n") - start))
+        return F.array_max(F.filter(lengths, lambda k: agreeing(start, k) * 100 >= k * agree))
+
+    whole = (F.col("length") >= F.col("need")) & (agreeing(F.col("first"), F.col("length")) * 100 >= F.col("length") * agree)
+    starts = F.sequence(F.lit(0), F.col("n") - F.col("need"))
+    best = F.array_max(F.transform(starts, lambda i: F.struct(longest(i).alias("length"), (-i).alias("back"))))
+    stretch = F.struct(F.col("length").alias("length"), (-F.col("first")).alias("back"))
+    both = both.withColumn("best", F.when(whole, stretch).otherwise(best)) if windows else both.where(whole).withColumn("best", stretch)
+    out = both.where("best.length is not null")
+    start, length = -F.col("best.back"), F.col("best.length")
+    return out.select("doc_id", "item_id", (F.col("diagonal") + F.col("low") + start).alias("start"), length.alias("length"), agreeing(start, length).alias("agreeing"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -41,7 +41,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), windows=True)
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,25 @@ def test_masks_hit_whatever_fifth_is_substituted():
     for length in (9, 10, 11, 12, 13, 15, 20, 25):
         for gone in map(set, itertools.combinations(range(length), length * (100 - decontam.AGREE) // 100)):
             assert any(all(p + k not in gone for k in m) for m in looked for p in range(length - decontam.SPAN + 1))
+
+
+def test_substitutions_up_to_the_limit_are_found(spark):
+    rows, items = [], []
+    for i, gone in enumerate(itertools.combinations(range(13), 2)):
+        own = [f"i{i}w{k}" for k in range(13)]
+        items.append((i, " ".join(own)))
+        rows.append((i, " ".join(["before"] * 20 + ["other" if k in gone else w for k, w in enumerate(own)] + ["after"] * 20)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id for r in decontam.contamination(docs, benchmark, windows=True).where("contaminated").collect()}
+    assert got == {i for i, _ in rows}
+
+
+def test_runs_parted_by_a_replaced_middle_are_found(spark):
+    cuts = ((59, 19, 39), (40, 14, 26), (30, 13, 30), (60, 0, 47))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, (n, _, _) in enumerate(cuts)]
+    rows = [(i, " ".join(["x"] * 7 + [f"y{k}" if a <= k < b else f"i{i}w{k}" for k in range(n)] + ["z"] * 7)) for i, (n, a, b) in enumerate(cuts)]
+    rows += [(10, " ".join([f"i0w{k}" if k < 10 or k >= 49 else f"y{k}" for k in range(59)]))]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.overlaps(docs, benchmark, windows=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(4)}
+    assert all(r.length >= 13 and r.agreeing * 100 >= 80 * r.length for r in got)
