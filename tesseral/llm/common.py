@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -63,6 +64,16 @@ class Scratch:
             pass
 
 
+#: Rows of a few numbers that a join may send to all tasks.
+SMALL_ROWS = 250_000
+
+
+def small(df: DataFrame, most: int = 0) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (SMALL_ROWS unless told), which is counted; else it is left to a shuffle."""
+    most = most or SMALL_ROWS
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fill(column: pa.Array) -> pa.Array:
     """A string column with null as empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,23 +12,26 @@ def split(text):
 
 
 def brute(docs, items):
-    """All (doc_id, item_id, start, length, agreeing) by trying each diagonal."""
+    """All (doc_id, item_id, start, length, agreeing) by trying each window of each diagonal, without any seeds."""
     out = set()
     for d, text in docs:
         ours = split(text)
         for i, item in items:
             theirs = split(item)
-            for diagonal in range(-len(theirs), len(ours)):
-                hit = [
-                    p
-                    for p in range(max(0, -diagonal), min(len(theirs), len(ours) - diagonal) - decontam.SPAN + 1)
-                    if any(all(ours[diagonal + p + k] == theirs[p + k] for k, b in enumerate(m) if b == "1") for m in decontam.MASKS)
+            need = min(decontam.LEAST, len(theirs))
+            percent = decontam.AGREE if len(theirs) >= decontam.SPAN else 100
+            for diagonal in range(-len(theirs), len(ours)) if theirs else ():
+                low, high = max(0, -diagonal), min(len(theirs), len(ours) - diagonal)
+                same = [ours[diagonal + p] == theirs[p] for p in range(low, high)]
+                found = [
+                    (s, s + n)
+                    for s in range(len(same))
+                    for n in range(need, min(2 * need - 1, len(same) - s) + 1)
+                    if 100 * sum(same[s : s + n]) >= percent * n
                 ]
-                if hit:
-                    first, length = hit[0], hit[-1] - hit[0] + decontam.SPAN
-                    same = sum(ours[diagonal + first + k] == theirs[first + k] for k in range(length))
-                    if length >= min(decontam.LEAST, len(theirs)) and 100 * same >= decontam.AGREE * length:
-                        out.add((d, i, diagonal + first, length, same))
+                if found:
+                    start, end = min(s for s, _ in found), max(e for _, e in found)
+                    out.add((d, i, diagonal + low + start, end - start, sum(same[start:end])))
     return out
 
 
@@ -48,7 +51,7 @@ def corpus(seed=1):
                 part = part[: len(part) // 2]
             text[len(text) // 2 : len(text) // 2] = part
         docs.append((d, rng.choice([" ", ", ", "\n"]).join(text)))
-    items = [(k, " ".join(w).upper()) for k, w in items] + [(100, None), (101, ""), (102, "too short an item"), (5000, " ".join(items[2][1]))]
+    items = [(k, " ".join(w).upper()) for k, w in items] + [(100, None), (101, ""), (102, "w3 w4"), (103, "Not, there."), (104, "W7"), (5000, " ".join(items[2][1]))]
     return docs, items
 
 
@@ -60,6 +63,7 @@ def test_matches_brute_force(spark, monkeypatch):
     assert len(want) > 20 and any(x[3] != x[4] for x in want)
     for at_once in (200_000, 37):
         monkeypatch.setattr(decontam, "SEEDS_AT_ONCE", at_once)
+        monkeypatch.setattr(decontam, "BITMAP_WORDS", 64)
         assert {tuple(r) for r in decontam.overlaps(docs, benchmark).collect()} == want
     bad = {x[0] for x in want}
     got = {r.doc_id: r for r in decontam.contamination(docs, benchmark).collect()}
@@ -108,7 +112,7 @@ def test_substitutions_up_to_the_limit_are_found(spark):
         items.append((i, " ".join(own)))
         rows.append((i, " ".join(["before"] * 20 + ["other" if k in gone else w for k, w in enumerate(own)] + ["after"] * 20)))
     docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id for r in decontam.contamination(docs, benchmark, windows=True).where("contaminated").collect()}
+    got = {r.doc_id for r in decontam.contamination(docs, benchmark).where("contaminated").collect()}
     assert got == {i for i, _ in rows}
 
 
@@ -118,6 +122,38 @@ def test_runs_parted_by_a_replaced_middle_are_found(spark):
     rows = [(i, " ".join(["x"] * 7 + [f"y{k}" if a <= k < b else f"i{i}w{k}" for k in range(n)] + ["z"] * 7)) for i, (n, a, b) in enumerate(cuts)]
     rows += [(10, " ".join([f"i0w{k}" if k < 10 or k >= 49 else f"y{k}" for k in range(59)]))]
     docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.overlaps(docs, benchmark, windows=True).collect()
+    got = decontam.overlaps(docs, benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(4)}
-    assert all(r.length >= 13 and r.agreeing * 100 >= 80 * r.length for r in got)
+    # a row goes from its diagonal's first window to its last; the items are found with what was replaced in between
+    assert {r.doc_id: (r.start - 7, r.length, r.agreeing) for r in got} == {0: (0, 59, 39), 1: (0, 40, 28), 2: (0, 16, 13), 3: (44, 16, 13)}
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Seven little words that nobody else has"), (2, "One more item of eight tokens in all")]
+    rows = [(1, "x y seven little words, that nobody else has z"), (2, "seven little words that someone else has"), (3, "One more item of eight tokens in all"), (4, "one more item of eight")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in decontam.overlaps(docs, benchmark).collect()} == {(1, 1, 2, 7, 7), (3, 2, 0, 8, 8)}
+
+
+def test_rows_that_repeat_and_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage), (1, "clean text"), (1, passage), (None, passage), (None, "clean"), (2, None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, passage), (None, passage), (7, passage)], "item_id long, text string")
+    got = sorted((r.doc_id or -1, r.contaminated, r.n_items, r.items) for r in decontam.contamination(docs, benchmark).collect())
+    assert got == [(-1, False, 0, ""), (-1, True, 1, "7"), (1, False, 0, ""), (1, True, 1, "7"), (1, True, 1, "7"), (2, False, 0, "")]
+    assert sorted((r.doc_id or -1, r.text) for r in decontam.drop_contaminated(docs, benchmark).collect() if r.text) == [(-1, "clean"), (1, "clean text")]
+
+
+def test_recall_of_random_windows(spark):
+    """Windows of 13 to 40 tokens with up to a fifth substituted, anywhere in an item and a document."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(60))) for i in range(120)]
+    rows = []
+    for i in range(120):
+        n = rng.randrange(13, 41)
+        at = rng.randrange(0, 60 - n)
+        gone = set(rng.sample(range(n), n // 5))
+        part = ["other" if k in gone else f"i{i}w{at + k}" for k in range(n)]
+        rows.append((i, " ".join(["filler"] * rng.randrange(0, 30) + part + ["after"] * rng.randrange(0, 30))))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in decontam.contamination(docs, benchmark).where("contaminated").collect()} == set(range(120))
