@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, row_key, small
 
 #: Fixed masks: 1 looks at a token, 0 ignores it. In every way that 80 % of 13 or more tokens, or of an item of 9 to 12,
 #: can agree, one of them hits (a longer window that agrees so holds one of at most 25 tokens that does).
@@ -31,11 +31,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def row_key(text: Column) -> Column:
-    """Beside its id, what tells a row from another of the same id: a hash of its text."""
-    return F.xxhash64(text)
-
-
 def _with_seeds(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """A row (seed, place) for each mask and place of `words`, and for each run of one of `lengths` tokens, beside the other columns.
 

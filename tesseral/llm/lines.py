@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fill, mix64, raw_bytes, segment_hashes, slices, stream64, words_of
-from .graph import compared_blocks, grouped_by_buckets
+from .common import Scratch, fill, mix64, raw_bytes, row_key, segment_hashes, slices, stream64, words_of
+from .edits import within
+from .graph import compared_blocks, components
 
 #: A SimHash has BLOCKS blocks of 32 bits; lines whose hashes differ in fewer than BLOCKS bits share a block.
-BLOCKS = 8
-#: A line has as many MinHash bands beside them, each of ROWS minima over its runs of GRAM bytes. SimHash alone leaves
-#: most lines that differ in more than one word of fifty without a common block.
-BANDS, ROWS, GRAM = 24, 3, 6
+BLOCKS = 4
+#: A line has as many MinHash bands beside them, each of ROWS minima over its pairs of neighbouring words. SimHash alone
+#: leaves most lines that differ in more than one word of fifty without a common block.
+BANDS, ROWS = 12, 2
 KEYS = BLOCKS + BANDS
+#: Bytes that are kept of a key.
+KEY_BYTES = 6
 #: Lines are linked when their edit distance is at most this part, in percent, of the longer one.
 APART = 20
 #: ASCII letters in lower case, digits as 0, line feeds as they are, all other ASCII as a space.
@@ -83,56 +85,37 @@ def _majority(words: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> np.ndarra
     return out
 
 
-#: Bytes of lines whose minima are found at a time.
-MINIMA_AT_ONCE = 1 << 20
-EMPTY = np.uint64((1 << 64) - 1)
+#: Word pairs whose minima are found at a time.
+MINIMA_AT_ONCE = 1 << 16
 
 
-def _minima(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of each line's hashed grams: one hash a gram, which falls in one bin (one-permutation MinHash).
+def _bands(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """32 bits of each of BANDS bands of the minima of each line's word pairs (words from at[i] to at[i + 1]); the ends count as words.
 
-    A gram begins at every byte of a line; those at its end are filled up with
-    zeros. An empty bin takes the minimum of the first full one in an order that
-    is the same for all lines, so like lines still agree in it as often.
+    A lane orders the pairs by their hash times an odd number of its own.
     """
-    bins = BANDS * ROWS
-    sizes = np.diff(offsets)
-    out = np.full((len(sizes), bins), EMPTY, np.uint64)
-    flat = out.reshape(-1)
+    sizes = np.diff(at)
+    lanes = stream64(BANDS * ROWS, 5) | np.uint64(1)
+    edge = np.uint64(0x2545F4914F6CDD1D)
+    # a pair begins at each word and at the line's start
+    before = np.full(len(words) + len(sizes), edge)
+    after = np.full(len(words) + len(sizes), edge)
+    starts = at[:-1] + np.arange(len(sizes))
+    inner = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
+    after[inner], before[inner + 1] = words, words
+    pairs = mix64(mix64(before) * np.uint64(3) + after)
+    out = np.zeros((len(sizes), BANDS), np.uint64)
+    ends = starts + sizes + 1
     first = 0
     while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + MINIMA_AT_ONCE, side="right")) - 1)
-        own = data[offsets[first] : offsets[last]]
-        left = np.repeat(offsets[first + 1 : last + 1] - offsets[first], sizes[first:last]) - np.arange(len(own))
-        grams = np.zeros(len(own), np.uint64)
-        for k in range(GRAM):
-            byte = np.zeros(len(own), np.uint64)
-            byte[: max(0, len(own) - k)] = own[k:]
-            grams = grams << np.uint64(8) | np.where(left > k, byte, np.uint64(0))
-        grams = mix64(grams ^ np.uint64(0x5851F42D4C957F2D))
-        line = np.repeat(np.arange(first, last), sizes[first:last])
-        np.minimum.at(flat, line * bins + ((grams >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), grams & np.uint64(0xFFFFFFFF))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + MINIMA_AT_ONCE, side="right")))
+        own = pairs[starts[first] : ends[last - 1]]
+        least = np.empty((last - first, BANDS * ROWS), np.uint64)
+        for k, lane in enumerate(lanes):
+            least[:, k] = np.minimum.reduceat(own * lane, starts[first:last] - starts[first])
+        for k in range(ROWS):
+            out[first:last] = mix64(out[first:last] + least[:, k::ROWS] + np.uint64(k + 1))
         first = last
-    row, column = np.nonzero(out == EMPTY)
-    keep = sizes[row] > 0
-    row, column = row[keep], column[keep]
-    full = out != EMPTY
-    turn = 0
-    while len(row):
-        turn += 1
-        other = (mix64(column.astype(np.uint64) << np.uint64(32) | np.uint64(turn)) % np.uint64(bins)).astype(np.int64)
-        found = full[row, other]
-        out[row[found], column[found]] = out[row[found], other[found]]
-        row, column = row[~found], column[~found]
-    return out
-
-
-def _bands(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of each band of each line's minima."""
-    minima = _minima(data, offsets).reshape(-1, BANDS, ROWS)
-    out = np.zeros(minima.shape[:2], np.uint64)
-    for k in range(ROWS):
-        out = mix64(out + minima[:, :, k] + np.uint64(k + 1))
     return out >> np.uint64(32)
 
 
@@ -149,8 +132,9 @@ def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = [hashed_lines(lines.slice(i, 1 << (LINE_BITS - 1))) for i in range(0, len(lines), 1 << (LINE_BITS - 1))]
         return np.concatenate([h for h, _ in parts]), np.concatenate([k for _, k in parts])
     data, offsets = raw_bytes(lines)
-    starts, ends, at = words_of(data, offsets)
+    starts, ends, starts_of = words_of(data, offsets)
     words = segment_hashes(data, starts, ends, seed=31)
+    at = starts_of
     sizes = np.diff(at)
     line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
     inner = np.arange(len(words)) - np.repeat(at[:-1], sizes)
@@ -167,8 +151,8 @@ def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
     at = np.searchsorted(both, np.arange(len(lines) + 1, dtype=np.uint64) << low)
     bits = _majority(both & ((np.uint64(1) << low) - np.uint64(1)), at, stream64(BLOCKS // 2, 77))
-    keys = np.hstack([np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64), _bands(data, offsets)])
-    return whole.view(np.int64), mix64(keys ^ (np.arange(1, KEYS + 1, dtype=np.uint64) << np.uint64(32)))
+    keys = np.hstack([np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64), _bands(words, starts_of)])
+    return whole.view(np.int64), mix64(keys ^ (np.arange(1, KEYS + 1, dtype=np.uint64) << np.uint64(32))) >> np.uint64(64 - 8 * KEY_BYTES)
 
 
 def simhash_blocks(lines: list[str]) -> np.ndarray:
@@ -178,33 +162,64 @@ def simhash_blocks(lines: list[str]) -> np.ndarray:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with words: its place and its normal form's hash; at its first place here, that form's keys."""
     for whole in batches:
-        for batch in slices(whole, 1, 4 << 20):
+        for batch in slices(whole, 2, 4 << 20):
             seen: dict[bytes, int] = {}
-            doc, number, which = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), fill(batch.column(1)), strict=True):
+            row, number, which = [], [], []
+            for i, text in enumerate(fill(batch.column(2))):
                 for k, norm in enumerate(normal_lines(text.as_py())):
                     if norm:
-                        doc.append(i)
+                        row.append(i)
                         number.append(k)
                         which.append(seen.setdefault(norm, len(seen)))
-            forms = pa.array(list(seen), pa.binary())
-            hashes, keys = hashed_lines(forms)
-            keys = keys.tobytes()
-            which = np.array(which, np.int64)
+            hashes, keys = hashed_lines(pa.array(list(seen), pa.binary()))
+            packed = np.ascontiguousarray(keys).view(np.uint8).reshape(len(seen), KEYS, 8)[:, :, :KEY_BYTES].tobytes()
+            which, row = np.array(which, np.int64), np.array(row, np.int64)
             first = np.zeros(len(which), bool)
             first[np.unique(which, return_index=True)[1]] = True
-            width = KEYS * 8
-            blocks = [keys[w * width : w * width + width] if f else None for w, f in zip(which.tolist(), first.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(blocks, pa.binary())],
-                names=["doc_id", "line_no", "line", "blocks"],
-            )
+            width = KEYS * KEY_BYTES
+            blocks = [packed[w * width : w * width + width] if f else None for w, f in zip(which.tolist(), first.tolist(), strict=True)]
+            places = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(blocks, pa.binary())], names=["doc_id", "row", "line_no", "line", "blocks"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), KEYS))], names=["key", "rep"])
+        packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+        keys = np.zeros((len(packed), 8), np.uint8)
+        keys[:, :KEY_BYTES] = packed
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), KEYS))], names=["key", "rep"])
+
+
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, rep) in order, those whose key has another rep, each once, with the key's first rep as pivot.
+
+    One row is held at a time beside the batch, however many share a key.
+    """
+    held: tuple[int, int, int] | None = None  # the last row seen, and its key's first rep
+    for batch in batches:
+        keys, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(keys):
+            continue
+        pivot_before = None
+        if held:
+            keys, reps = np.concatenate([[held[0]], keys]), np.concatenate([[held[1]], reps])
+            pivot_before = held[2]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (reps[1:] != reps[:-1])
+        keys, reps = keys[fresh], reps[fresh]
+        start = np.ones(len(keys), bool)
+        start[1:] = keys[1:] != keys[:-1]
+        pivots = reps[start][np.cumsum(start) - 1]
+        if pivot_before is not None:
+            pivots[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(pivots)] = pivot_before
+        follows = np.zeros(len(keys), bool)
+        follows[:-1] = ~start[1:]
+        company = (pivots != reps) | follows
+        held = (int(keys[-1]), int(reps[-1]), int(pivots[-1]))
+        company[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[company]) for x in (keys, reps, pivots)], names=["key", "rep", "pivot"])
+    if held and held[1] != held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], names=["key", "rep", "pivot"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,57 +236,32 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), texts.cast(pa.string()), size], names=["line", "norm", "n"])
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein's distance, a column of the table at a time as bits (Myers 1999, Hyyro 2003)."""
-    if not a or not b:
-        return max(len(a), len(b))
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for c in b:
-        same = places.get(c, 0)
-        diagonal = (((same & up) + up) ^ up) | same | down
-        right = down | ~(diagonal | up) & full
-        left = up & diagonal
-        score += bool(right & top) - bool(left & top)
-        right = (right << 1 | 1) & full
-        up = (left << 1 | ~(diagonal | right)) & full
-        down = right & diagonal
-    return score
-
-
-def alike(a: str, b: str, apart: int) -> bool:
-    """Whether 100 * edit distance <= apart * length of the longer string."""
-    most = apart * max(len(a), len(b)) // 100
-    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
-
-
-def distance(a: str, b: str) -> int:
-    """The edit distance; what both begin and end with is left out."""
-    lead = same_length(a, b)
-    a, b = a[lead:], b[lead:]
-    tail = same_length(a[::-1], b[::-1])
-    return edit_distance(a[: len(a) - tail], b[: len(b) - tail])
-
-
-def same_length(a: str, b: str) -> int:
-    """How many characters both begin with, by halving."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+def alike(pairs: list[tuple[str, str]], apart: int) -> np.ndarray:
+    """Whether 100 * edit distance <= apart * length of the longer string, for each pair.
+
+    The distance is at least the number of characters that only one of two has.
+    """
+    if not pairs:
+        return np.zeros(0, bool)
+    most = np.array([apart * max(len(a), len(b)) // 100 for a, b in pairs])
+    linked = np.zeros(len(pairs), bool)
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = slice(start, start + PAIRS_AT_ONCE)
+        one, two = (_letter_counts([p[k] for p in pairs[part]]) for k in (0, 1))
+        least = np.maximum(np.maximum(one - two, 0).sum(axis=1), np.maximum(two - one, 0).sum(axis=1))
+        near = np.flatnonzero(least <= most[part]) + start
+        linked[near] = within([pairs[i] for i in near.tolist()], most[near].tolist())
+    return linked
+
+
+#: Pairs that are looked at together.
+PAIRS_AT_ONCE = 8192
 
 
 def _verified(apart: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [alike(x, y, apart) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            linked = alike(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), apart)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return verify
@@ -289,9 +279,8 @@ def _letter_counts(lines: list[str]) -> np.ndarray:
 def _compared(apart: int):
     """Links between two blocks of lines: for each left line and root of right lines one, if there is any.
 
-    Two bounds settle most pairs that share a key: the distance is at
-    least the number of characters that only one of two lines has, and at least
-    the difference of their distances to a third line.
+    Lines that share no key are no candidates. Of each left line and root the
+    first candidate is tried, then, where it isn't alike, some more at a time.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,31 +288,34 @@ def _compared(apart: int):
             a, b = [], []
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
                 left, right = one.as_py(), two.as_py()
-                keys, counts = simhash_blocks([x["norm"] for x in right]), _letter_counts([x["norm"] for x in right])
-                sizes = counts.sum(axis=1)
-                texts = [x["norm"] for x in left]
-                third = Counter(y["root"] for y in right).most_common(1)[0][0]
-                third = next(y["norm"] for y in right if y["root"] == third)
-                far: dict[int, int] = {}
-                for x, block, own in zip(left, simhash_blocks(texts), _letter_counts(texts), strict=True):
-                    near = np.flatnonzero((keys == block).any(axis=1))
-                    more = np.maximum(own - counts[near], 0).sum(axis=1)
-                    least = np.maximum(more, more - own.sum() + sizes[near])
-                    met = {x["root"]}
-                    own_far = distance(x["norm"], third) if len(near) > 1 else 0
-                    for j in near[least * 100 <= apart * np.maximum(sizes[near], own.sum())].tolist():
-                        y = right[j]
-                        if y["root"] in met:
-                            continue
-                        if len(near) > 1:
-                            if j not in far:
-                                far[j] = distance(y["norm"], third)
-                            if abs(own_far - far[j]) * 100 > apart * max(len(x["norm"]), len(y["norm"])):
-                                continue
-                        if alike(x["norm"], y["norm"], apart):
-                            met.add(y["root"])
-                            a.append(x["rep"])
-                            b.append(y["rep"])
+                x, y = ([r["norm"] for r in rows] for rows in (left, right))
+                near = np.zeros((len(x), len(y)), bool)
+                for own, other in zip(simhash_blocks(x).T, simhash_blocks(y).T, strict=True):
+                    near |= own[:, None] == other[None, :]
+                roots = np.array([r["root"] for r in right])
+                near &= np.array([r["root"] for r in left])[:, None] != roots[None, :]
+                n, m = (np.array([len(t) for t in texts]) for texts in (x, y))
+                near &= np.abs(n[:, None] - m[None, :]) * 100 <= apart * np.maximum(n[:, None], m[None, :])
+                i, j = np.nonzero(near)
+                order = np.lexsort((j, roots[j], i))
+                i, j = i[order], j[order]
+                start = np.ones(len(i), bool)
+                start[1:] = (i[1:] != i[:-1]) | (roots[j[1:]] != roots[j[:-1]])
+                group = np.cumsum(start) - 1
+                done = np.zeros(int(start.sum()), bool)
+                turn, at_once = np.arange(len(i)) - np.flatnonzero(start)[group] if len(i) else group, 1
+                while len(i):
+                    now = turn < at_once
+                    linked = alike([(x[p], y[q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], apart)
+                    won = np.flatnonzero(now)[linked]
+                    _, first = np.unique(group[won], return_index=True)
+                    for k in won[first].tolist():
+                        a.append(left[i[k]]["rep"])
+                        b.append(right[j[k]]["rep"])
+                    done[group[won]] = True
+                    rest = ~now & ~done[group]
+                    i, j, group, turn = i[rest], j[rest], group[rest], turn[rest] - at_once
+                    at_once *= 4
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return compare
@@ -334,64 +326,79 @@ BLOCK_BYTES = 128 << 10
 
 
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", apart: int = APART) -> tuple[DataFrame, DataFrame]:
-    """Lines of all docs: occurrences (doc_id, line_no, line) and keepers (line, doc_id, line_no) of repeated ones.
+    """Lines of all docs: occurrences (doc_id, row, line_no, line) and keepers (line, doc_id, row, line_no, root, total) of repeated ones.
 
     Lines are parted by line feeds and equal when their normal forms are: lower
     case, every number as 0, everything between words as one space. Different
     forms are linked when they share a block of their SimHashes or a MinHash
     band and their edit distance is at most `apart` percent of the longer one;
-    groups are what links reach. The keeper is the first occurrence, by doc_id, then line_no, in a
-    form's group. Lines without words belong to no group. Null and empty texts
-    have no lines; rows without an id are left as they are; ids must be unique.
+    groups are what links reach. Every member of a bucket is compared with the
+    bucket's first; where members are then still apart, they are compared block by
+    block, so no link between candidates is lost and no pair of lines is a row. The keeper
+    is the first occurrence, by doc_id, row, then line_no, in a form's group; row is a hash
+    of the text and tells rows of one id apart (rows alike in both count as one place).
+    Lines without words belong to no group. Null and empty texts have no lines;
+    rows without an id are left as they are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.where("doc_id is not null").mapInArrow(_occurrences, "doc_id long, line_no int, line long, blocks binary")
-    found = scratch.write(found, "found")
-    forms = found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("many"), F.max("blocks").alias("blocks"))
+    rows = rows.where("doc_id is not null and text <> ''").select("doc_id", row_key(F.col("text")).alias("row"), "text")
+    found = scratch.write(rows.mapInArrow(_occurrences, "doc_id long, row long, line_no int, line long, blocks binary"), "found")
+    forms = found.groupBy("line").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("many"))
     forms = scratch.write(forms, "forms")
-    found = scratch.write(found.select("doc_id", "line_no", "line"), "places")
-    scratch.drop("found")
-    blocks = forms.select("line", "blocks").mapInArrow(_keys, "key long, rep long")
-    wanted: list[DataFrame] = []
-
-    def prepare(members: DataFrame) -> None:
-        """Only lines with company are read again, from the text of their first place."""
-        asked = members.select(F.col("rep").alias("line")).distinct().join(forms, "line")
-        asked = asked.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("line", F.col("first.line_no").alias("line_no"))).alias("asked"))
-        read = rows.join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "line long, norm string, n long")
-        wanted.append(scratch.write(read, "wanted"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        own = wanted[0]
-        left = pairs.join(own.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a")
-        full = left.join(own.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_verified(apart), "a long, b long")
-
-    def across(members: DataFrame) -> DataFrame:
-        own = wanted[0].withColumnRenamed("line", "rep")
-        return compared_blocks(members, own, "norm", BLOCK_BYTES, _compared(apart), scratch)
-
-    def fits(p: Column, q: Column) -> Column:
-        return (F.greatest(p, q) - F.least(p, q)) * 100 <= F.greatest(p, q) * apart
-
-    def sizes() -> DataFrame:
-        return wanted[0].select(F.col("line").alias("rep"), "n")
-
-    roots = grouped_by_buckets(blocks, sizes, prepare, verified, across, fits, scratch)
+    keys = found.where("blocks is not null").select("line", "blocks").mapInArrow(_keys, "key long, rep long")
+    ordered = keys.repartition("key").sortWithinPartitions("key", "rep")
+    members = scratch.write(ordered.mapInArrow(_company, "key long, rep long, pivot long"), "members")
+
+    # only lines with company are read again, from the text of their first place
+    asked = members.select(F.col("rep").alias("line")).distinct().join(forms, "line")
+    asked = asked.groupBy("first.doc_id", "first.row").agg(F.collect_list(F.struct("line", F.col("first.line_no").alias("line_no"))).alias("asked"))
+    read = rows.join(asked, ["doc_id", "row"]).select("text", "asked").mapInArrow(_texts, "line long, norm string, n long")
+    wanted = scratch.write(read.dropDuplicates(["line"]), "wanted")  # rows may repeat
+
+    sizes = wanted.select("line", "n")
+    pairs = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = pairs.join(sizes.withColumnsRenamed({"line": "a", "n": "p"}), "a").join(sizes.withColumnsRenamed({"line": "b", "n": "q"}), "b")
+    pairs = pairs.where((F.greatest("p", "q") - F.least("p", "q")) * 100 <= F.greatest("p", "q") * apart).select("a", "b")
+    full = pairs.join(wanted.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a")
+    full = full.join(wanted.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
+    links = scratch.write(full.select("a", "b", "x", "y").mapInArrow(_verified(apart), "a long, b long"), "links")
+    roots = scratch.write(components(links, scratch, "stars"), "roots")
+
+    named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = scratch.write(named, "named")
+    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_ = named.join(split, "key", "left_semi").select("pivot", "rep", "root").distinct()
+    centre = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pr"))
+    open_ = open_.join(centre, "pivot", "left").select("pivot", "rep", "root", (F.col("root") != F.coalesce("pr", "pivot")).alias("outside"))
+    own = wanted.select(F.col("line").alias("rep"), "norm")
+    rest = scratch.write(compared_blocks(scratch.write(open_, "open"), own, "norm", BLOCK_BYTES, _compared(apart), scratch), "links-rest")
+    if not rest.isEmpty():
+        roots = scratch.write(components(links.union(rest), scratch, "stars-rest"), "roots-rest")
+
     grouped = forms.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     groups = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("many").alias("total")).where("total > 1")
-    keepers = grouped.join(groups, "root").select("line", F.col("keep.doc_id").alias("doc_id"), F.col("keep.line_no").alias("line_no"), "root", "total")
-    return found.select("doc_id", "line_no", "line"), scratch.write(keepers, "keepers")
+    keepers = grouped.join(groups, "root").select("line", "keep.doc_id", "keep.row", "keep.line_no", "root", "total")
+    return found.select("doc_id", "row", "line_no", "line"), scratch.write(keepers, "keepers")
+
+
+def _marked(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `duplicate_lines` with the document row's key."""
+    found, keepers = line_groups(docs, **options)
+    keepers = keepers.select("line", "root", F.col("doc_id").alias("keep_doc"), F.col("row").alias("keep_row"), F.col("line_no").alias("keep_line"))
+    kept = (F.col("doc_id") == F.col("keep_doc")) & (F.col("row") == F.col("keep_row")) & (F.col("line_no") == F.col("keep_line"))
+    return found.join(keepers, "line").select("doc_id", "row", "line_no", "root", kept.alias("kept"))
 
 
 def duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, line_no, root, kept) of every line that has a like one; kept for the one occurrence that stays."""
-    found, keepers = line_groups(docs, **options)
-    keepers = keepers.select("line", "root", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
-    out = found.join(keepers, "line")
-    kept = (F.col("doc_id") == F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))
-    return out.select("doc_id", "line_no", "root", kept.alias("kept"))
+    return _marked(docs, **options).drop("row")
+
+
+def _per_row(marked: DataFrame) -> DataFrame:
+    """(_id, _row, _lines, _gone): the numbers of each row's repeated lines and of those that go."""
+    gone = F.collect_set(F.when(~F.col("kept"), F.col("line_no")))
+    return marked.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.size(F.collect_set("line_no")).alias("_lines"), F.sort_array(gone).alias("_gone"))
 
 
 def summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -399,26 +406,24 @@ def summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     n_lines counts the pieces between line feeds, 0 for an empty text;
     n_repeated those with a like line anywhere; dropped lists the numbers, from
-    0, of those that go.
+    0, of those that go. Rows of one id with different texts have their own counts;
+    of rows alike in id and text the same lines stay.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     many = F.when(text == "", 0).otherwise(feeds + 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), many.cast("long").alias("n_lines"))
-    gone = F.collect_list(F.when(~F.col("kept"), F.col("line_no")))
-    per = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id")
-    per = per.agg(F.count("*").alias("n_repeated"), F.array_join(F.transform(F.sort_array(gone), lambda x: x.cast("string")), ",").alias("dropped"), F.size(gone).alias("n_dropped"))
-    out = rows.join(per, "doc_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_lines", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce(F.col("n_dropped").cast("long"), zero).alias("n_dropped"), F.coalesce("dropped", F.lit("")).alias("dropped"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(text).alias("row"), many.cast("long").alias("n_lines"))
+    per = _per_row(_marked(docs, id_col=id_col, text_col=text_col, **options))
+    out = rows.join(per, (rows["doc_id"] == per["_id"]) & (rows["row"] == per["_row"]), "left")
+    number = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
+    dropped = F.array_join(F.col("_gone").cast("array<string>"), ",")
+    return out.select("doc_id", "n_lines", number(F.col("_lines")).alias("n_repeated"), number(F.size("_gone")).alias("n_dropped"), F.coalesce(dropped, F.lit("")).alias("dropped"))
 
 
 def drop_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the lines that go, with their own columns; null texts stay null."""
-    gone = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).where("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("line_no").alias("_gone_lines"))
-    joined = docs.join(gone, docs[id_col] == gone["_gone_id"], "left")
-    lines = F.split(docs[text_col], "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(gone["_gone_lines"], i))
-    text = F.when(gone["_gone_lines"].isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
+    per = _per_row(_marked(docs, id_col=id_col, text_col=text_col, **options)).where("size(_gone) > 0")
+    joined = docs.join(per, (docs[id_col].cast("long") == per["_id"]) & (row_key(docs[text_col].cast("string")) == per["_row"]), "left")
+    left = F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(per["_gone"], i))
+    text = F.when(per["_gone"].isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tesseral.llm import lines
+from tesseral.llm import edits, lines
 
 
 def distance(a, b):
@@ -59,13 +59,40 @@ def corpus(seed=1):
 @given(st.text("abc", max_size=12), st.text("abcd", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_edit_distance(a, b):
-    assert lines.edit_distance(a, b) == distance(a, b)
-
-
-@given(st.text("ab", max_size=14), st.text("abc", max_size=14), st.integers(0, 100))
-@settings(max_examples=300, deadline=None)
-def test_alike(a, b, apart):
-    assert lines.alike(a, b, apart) == (distance(a, b) * 100 <= apart * max(len(a), len(b)))
+    assert edits.edit_distance(a, b) == distance(a, b)
+
+
+@given(st.lists(st.tuples(st.text("ab", max_size=14), st.text("abc", max_size=14)), max_size=30), st.integers(0, 100))
+@settings(max_examples=100, deadline=None)
+def test_alike(pairs, apart):
+    assert lines.alike(pairs, apart).tolist() == [distance(a, b) * 100 <= apart * max(len(a), len(b)) for a, b in pairs]
+
+
+def test_many_pairs_together():
+    rng = random.Random(1)
+    pairs = []
+    for n in (1, 5, 63, 64, 65, 130, 200, 400, 1000) * 30:
+        a = "".join(rng.choice("abcdé ") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randrange(0, max(2, n // 2))):
+            p, what = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[p : p + (what > 0)] = [rng.choice("abcz")] if what < 2 else []
+        pairs.append((a, "".join(b)))
+    most = [rng.randrange(0, 1 + len(a) // 3) for a, _ in pairs]
+    assert edits.within(pairs, most).tolist() == [edits.edit_distance(a, b) <= k for (a, b), k in zip(pairs, most, strict=True)]
+
+
+def test_company_of_ordered_rows():
+    rng = random.Random(3)
+    rows = sorted((rng.choice((1, 1, 2, 3, rng.randrange(1000))), rng.randrange(12)) for _ in range(400))
+    by = {}
+    for key, rep in rows:
+        by.setdefault(key, set()).add(rep)
+    want = [(k, r, min(v)) for k, v in sorted(by.items()) if len(v) > 1 for r in sorted(v)]
+    for size in (1, 2, 7, 400):
+        batches = [lines.pa.RecordBatch.from_arrays([lines.pa.array([x[k] for x in rows[i : i + size]], lines.pa.int64()) for k in (0, 1)], names=["key", "rep"]) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in lines._company(iter(batches)) for r in b.to_pylist()]
+        assert got == want
 
 
 def test_matches_brute_force(spark, monkeypatch):
@@ -153,3 +180,11 @@ def test_keys_do_not_depend_on_the_other_lines():
     assert whole.shape == (len(texts), lines.KEYS)
     for i, text in enumerate(texts):
         assert (lines.simhash_blocks([text])[0] == whole[i]).all()
+
+
+def test_rows_that_repeat(spark):
+    rows = [(1, "one line of text here\nanother"), (1, "short"), (1, "one line of text here\nanother"), (2, "one line of text here"), (None, "short"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_lines, r.n_repeated, r.dropped) for r in lines.summary(docs).collect())
+    assert got == [(-1, 1, 0, ""), (1, 1, 0, ""), (1, 2, 2, ""), (1, 2, 2, ""), (2, 1, 1, "0"), (3, 0, 0, "")]
+    assert sorted((r.doc_id or -1, r.text or "") for r in lines.drop_duplicate_lines(docs).collect()) == sorted((i or -1, "" if i == 2 else t or "") for i, t in rows)
