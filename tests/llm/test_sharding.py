@@ -56,3 +56,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert len(got) == 50
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert sharding.kd_shards(empty, shards=4).collect() == []
+
+
+def test_equal_texts_stay_together(spark):
+    """Copies under any language and source share a shard where they hold less than the slack; larger groups are cut."""
+    rows = [(i, f"text {i % 1500} " * (1 + i % 1500 % 23), ("en", "de", None)[i % 3], f"s{i % 7}") for i in range(4000)]
+    rows += [(9000 + i, "a large group", "en", f"s{i % 4}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    text = {i: t for i, t, *_ in rows}
+    shards, held = {}, Counter()
+    for r in sharding.kd_shards(docs, shards=8).collect():
+        shards.setdefault(text[r.doc_id], set()).add(r.shard)
+        held[r.shard] += r.size
+    split = [t for t, s in shards.items() if len(s) > 1]
+    assert split == ["a large group"]
+    assert max(held.values()) - min(held.values()) <= 0.05 * sum(held.values()) / 8
