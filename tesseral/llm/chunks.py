@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, raw_bytes, segment_hashes, slices, stream64
+from .common import Scratch, raw_bytes, row_key, segment_hashes, slices, stream64
 
 #: Bytes that a cut depends on; a power of 2.
 WINDOW = 16
@@ -82,57 +82,67 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc.append(np.full(len(cut), ids[i]))
                 number.append(np.arange(len(cut)))
             starts, ends = np.concatenate(starts), np.concatenate(ends)
-            digest = segment_hashes(data, starts, ends, seed=41).view(np.int64)
+            check = (segment_hashes(data, starts, ends, seed=43) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest), pa.array((ends - starts).astype(np.int32)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(number).astype(np.int32))],
-                names=["digest", "n", "doc_id", "chunk"],
+                [pa.array(_digests(data, starts, ends)), pa.array(check), pa.array(np.concatenate(doc)), pa.array(np.concatenate(number).astype(np.int32))],
+                names=["digest", "check", "doc_id", "chunk"],
             )
 
 
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return segment_hashes(data, starts, ends, seed=41).view(np.int64)
+
+
 def _spans(text: pa.Array, marked: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, bool]]]]:
     """For each text its number of chunks and its passages (start, end, chunks, goes) in bytes.
 
-    marked: (chunk, goes) of the text's repeated chunks; a passage is a run of
-    them that all go or all stay.
+    marked: (digest, nth) of the id's repeated chunks, nth the chunk that stays
+    if it is this id's; a passage is a run of repeated chunks that all go or all stay.
     """
     data, offsets = raw_bytes(text)
     for i, own in enumerate(marked.to_pylist()):
         ends = chunk_bounds(data[offsets[i] : offsets[i + 1]])
         found: list[list] = []
-        for x in sorted(own or (), key=lambda x: x["chunk"]):
-            k, goes = x["chunk"], x["goes"]
-            start = ends[k - 1] if k else 0
-            if found and found[-1][1] == start and found[-1][3] == goes:
-                found[-1][1], found[-1][2] = ends[k], found[-1][2] + 1
-            else:
-                found.append([start, ends[k], 1, goes])
+        if own:
+            stays = {x["digest"]: x["nth"] for x in own}
+            cut = np.array([0, *ends], np.int64) + offsets[i]
+            digests = _digests(data, cut[:-1], cut[1:])
+            again = np.isin(digests, np.fromiter(stays, np.int64, len(stays)))
+            for k in np.flatnonzero(again).tolist():
+                start, goes = ends[k - 1] if k else 0, stays[int(digests[k])] != k
+                if found and found[-1][1] == start and found[-1][3] == goes:
+                    found[-1][1], found[-1][2] = ends[k], found[-1][2] + 1
+                else:
+                    found.append([start, ends[k], 1, goes])
         yield len(ends), [tuple(x) for x in found if x[1] - x[0] >= PASSAGE]
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs as (doc_id, text) with the repeated chunks of each, and whether they go."""
+    """docs as (doc_id, text) with the digests of the repeated chunks of each id, and which of them stay where."""
     scratch = Scratch(docs.sparkSession, "chunks")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = scratch.write(rows.where("doc_id is not null").mapInArrow(_chunks, "digest long, n int, doc_id long, chunk int"), "chunks")
-    groups = chunks.groupBy("digest", "n").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "chunk")).alias("first"))
-    groups = groups.where("many > 1").select("digest", "n", F.col("first.doc_id").alias("at"), F.col("first.chunk").alias("nth"))
+    chunks = scratch.write(rows.where("doc_id is not null").mapInArrow(_chunks, "digest long, check int, doc_id long, chunk int"), "chunks")
+    groups = chunks.groupBy("digest", "check").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "chunk")).alias("first"))
+    groups = groups.where("many > 1").select("digest", "check", F.col("first.doc_id").alias("at"), F.col("first.chunk").alias("nth"))
     groups = scratch.write(groups, "groups")
-    goes = (F.col("doc_id") != F.col("at")) | (F.col("chunk") != F.col("nth"))
-    repeated = chunks.join(groups, ["digest", "n"]).select("doc_id", "chunk", goes.alias("goes"))
-    repeated = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "goes")).alias("marked"))
+    nth = F.when(F.col("doc_id") == F.col("at"), F.col("nth")).otherwise(-1)
+    repeated = chunks.join(groups, ["digest", "check"]).select("doc_id", "digest", nth.alias("nth"))
+    repeated = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "nth")).alias("marked"))
     return rows.join(repeated, "doc_id", "left")
 
 
 def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chunks, n_bytes, n_repeated, n_removed, removed_bytes, spans) for each row of docs.
 
-    A chunk is repeated when another of the same digest and length occurs
+    A chunk is repeated when another of the same digest (96 bits) occurs
     anywhere in docs; the first, by doc_id, then place, stays and the others go.
     A passage is a run of repeated chunks, all going or all staying, of at least
     PASSAGE bytes; shorter runs are common words and stay. n_repeated counts the
     chunks of passages, n_removed those that go; spans lists start:end of what
     goes, in bytes of UTF-8, comma-joined. Null and empty texts have no chunk.
-    Rows without an id share nothing with any; ids must be unique; other columns are ignored.
+    Rows without an id share nothing with any. Rows of one id are met each by its
+    own text; where several of them hold the first place of a chunk, it stays in each.
+    Other columns are ignored.
     """
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +184,12 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                             parts.append(raw[end:a])
                             end = b
                     texts.append(None if text is None else b"".join([*parts, raw[end:]]).decode())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["_cut_id", "_cut_text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(texts, pa.string())], names=["_cut_id", "_cut_row", "_cut_text"])
 
     marked = _marked(docs, id_col, text_col).select("doc_id", "text", "marked")
-    new = marked.where("marked is not null").mapInArrow(cut, "_cut_id long, _cut_text string")
-    joined = docs.join(new, docs[id_col] == new["_cut_id"], "left")
+    new = marked.where("marked is not null").withColumn("row", row_key(F.col("text"))).select("doc_id", "text", "marked", "row")
+    new = new.dropDuplicates(["doc_id", "row"]).mapInArrow(cut, "_cut_id long, _cut_row long, _cut_text string")
+    same = (docs[id_col].cast("long") == new["_cut_id"]) & (row_key(docs[text_col].cast("string")) == new["_cut_row"])
+    joined = docs.join(new, same, "left")
     text = F.coalesce(new["_cut_text"], docs[text_col])
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

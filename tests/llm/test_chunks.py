@@ -103,3 +103,15 @@ def test_matches_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert chunks.passages(docs).collect() == [] and chunks.drop_repeated_passages(docs).collect() == []
+
+
+def test_rows_that_repeat(spark):
+    rng = random.Random(7)
+    passage, other = prose(rng, 80), prose(rng, 80)
+    rows = [(1, passage), (1, "short"), (1, passage), (2, f"{prose(rng, 30)} {passage}"), (2, other), (3, other), (None, passage), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed > 0) for r in chunks.passages(docs).collect())
+    size = lambda t: len((t or "").encode())
+    assert got == sorted((i or -1, size(t), (i == 2 and t != other) or i == 3) for i, t in rows)
+    left = chunks.drop_repeated_passages(docs).collect()
+    assert len(left) == len(rows) and sum(r.text == passage for r in left) == 3
