@@ -59,7 +59,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fit_formats(docs))
     digest = F.sha2(F.encode("base_spans", "utf-8"), 256).alias("base_sha256")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_learned")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_learned", "odds")
 
 
 def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

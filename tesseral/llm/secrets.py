@@ -6,8 +6,8 @@ and states whose futures are statistically alike (Hoeffding's bound on the
 share of endings and of each symbol) are merged, as in ALERGIA (Carrasco and
 Oncina 1994), into a probabilistic automaton. A candidate's format likelihood
 is its mean log-probability in the best of these automata less that in an automaton
-of ordinary long tokens; candidates above a threshold, set by the sample's
-ordinary tokens, are secrets too.
+of ordinary long tokens; every candidate is scored, and those above a threshold
+are secrets too. Ordinary tokens that are kept from the fit set the threshold.
 """
 
 from __future__ import annotations
@@ -40,8 +40,14 @@ SAMPLE_TEXTS, SAMPLE_VALUES = 4000, 2000
 ORDINARY_EACH = 20
 #: How sure a difference between two states must be to keep them apart.
 ALPHA = 0.05
-#: Log-odds for each character above the most that an ordinary token of the sample reaches.
-MARGIN = 0.25
+#: The share of ordinary tokens, kept from the fit, that may reach the threshold, and the least threshold: mean log-odds
+#: for each character.
+FALSE_RATE, LEAST_ODDS = 0.001, 0.25
+#: Ordinary tokens are fitted without those as likely in an automaton of credentials as all but this share of its own:
+#: they are credentials that nothing assigns.
+ATYPICAL = 0.05
+#: One ordinary token in so many, by a hash, is kept from the fit and sets the threshold.
+KEPT_BACK = 4
 
 
 def symbol(char: str) -> int:
@@ -183,7 +189,7 @@ class Formats:
 
     def is_secret(self, word: str) -> bool:
         """Whether a token has a credential's format; tokens of letters alone never have."""
-        return any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and self.odds(word) >= self.threshold
+        return _mixed(word) and self.odds(word) >= self.threshold
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -218,18 +224,24 @@ def text_of(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def labelled_values(text: str) -> list[tuple[str, str]]:
+def value_of(text: str, span: tuple[int, int, int]) -> str:
+    """The credential in a span: what is assigned, or all of it."""
+    start, kind, end = span
+    return ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
+
+
+def labelled_values(text: str, ordinary_each: int = ORDINARY_EACH) -> list[tuple[str, str]]:
     """(kind, token) of a text: credentials by the pattern that found them, and ordinary long tokens."""
     base = base_spans(text)
     out = []
-    for a, k, b in base:
-        value = ASSIGN.match(text, a)[2] if k == 0 else text[a:b]
+    for span in base:
+        k, value = span[1], value_of(text, span)
         if k == 0 and len(value) < 12:
             continue  # short values have no format
         out.append((KINDS[k], value))
     n = 0
     for m in CANDIDATE.finditer(text):
-        if n == ORDINARY_EACH:
+        if n == ordinary_each:
             break
         if not any(s < m.end() and e > m.start() for s, _, e in base):
             out.append(("ordinary", m[0]))
@@ -237,24 +249,39 @@ def labelled_values(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def infer(labelled: Iterable[tuple[str, str]]) -> Formats | None:
-    """Formats from (kind, token) pairs; None where there is no credential or no ordinary token."""
+def _mixed(word: str) -> bool:
+    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
+def infer(labelled: Iterable[tuple[str, str]], *, values: int = SAMPLE_VALUES, false_rate: float = FALSE_RATE) -> Formats | None:
+    """Formats from (kind, token) pairs, of each kind at most `values`, chosen by a hash; None where there is no credential or no ordinary token.
+
+    Tokens that no pattern covers may still be credentials: those of letters and
+    digits that are as likely in an automaton of credentials as its own are left out of the
+    ordinary ones. The threshold is what a share `false_rate` of the ordinary
+    tokens of letters and digits that are kept from the fit would reach.
+    """
     by: dict[str, set[str]] = defaultdict(set)
     for kind, word in labelled:
         by[kind].add(word)
-    # an assigned value that is a plain hexadecimal token or access key is one of that kind as well
-    ordinary = sorted(by.pop("ordinary", ()), key=lambda w: hashlib.md5(w.encode()).digest())[:SAMPLE_VALUES]
-    kinds = {k: sorted(v, key=lambda w: hashlib.md5(w.encode()).digest())[:SAMPLE_VALUES] for k, v in sorted(by.items())}
+    shuffled = lambda words: sorted(words, key=lambda w: hashlib.md5(w.encode()).digest())[:values]
+    ordinary = shuffled(by.pop("ordinary", ()))
+    kinds = {k: shuffled(v) for k, v in sorted(by.items())}
     if not kinds or not ordinary:
         return None
-    formats = Formats([Automaton(v) for v in kinds.values()], Automaton(ordinary), -math.inf)
-    mixed = [w for w in ordinary if any(c.isdigit() for c in w) and any(c.isalpha() for c in w)]
-    formats.threshold = max([0.0, *(formats.odds(w) for w in mixed)]) + MARGIN
+    automata = [Automaton(v) for v in kinds.values()]
+    typical = [sorted(map(a.likelihood, v))[int(len(v) * ATYPICAL)] for a, v in zip(automata, kinds.values(), strict=True)]
+    foreign = lambda w: _mixed(w) and any(a.likelihood(w) >= t for a, t in zip(automata, typical, strict=True))
+    own = [w for w in ordinary if not foreign(w)] or ordinary
+    formats = Formats(automata, Automaton([w for i, w in enumerate(own) if i % KEPT_BACK] or own), -math.inf)
+    odds = sorted(formats.odds(w) for w in own[::KEPT_BACK] if _mixed(w))
+    reached = odds[max(0, math.ceil(len(odds) * (1 - false_rate)) - 1)] if odds else 0.0
+    formats.threshold = max(LEAST_ODDS, reached + 1e-9)
     return formats
 
 
-def fit_formats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS) -> Formats | None:
-    """Formats from the base matches and ordinary tokens of at most `texts` documents.
+def fit_formats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS, values: int = SAMPLE_VALUES, ordinary_each: int = ORDINARY_EACH) -> Formats | None:
+    """Formats from the base matches and ordinary tokens of at most `texts` documents, `values` of a kind and ordinary_each of a text.
 
     Half of them are chosen among those with a likely match and half among all, by a hash of the id.
     """
@@ -269,15 +296,18 @@ def fit_formats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p for t in batch.column(0).to_pylist() for p in sorted(set(labelled_values(t)))]
+            found = [p for t in batch.column(0).to_pylist() for p in sorted(set(labelled_values(t, ordinary_each)))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["kind", "word"])
 
     got = both.select("_text").mapInArrow(gather, "kind string, word string").distinct()
-    return infer((r.kind, r.word) for r in got.toLocalIterator())
+    return infer(((r.kind, r.word) for r in got.toLocalIterator()), values=values)
 
 
 def scan(docs: DataFrame, formats: Formats | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_learned, base_spans, spans) for each row of docs.
+    """(doc_id, n_assign, n_access, n_hex, n_learned, base_spans, spans, odds) for each row of docs.
+
+    Every candidate is scored, those of the fixed patterns too: odds lists, span
+    by span, the format's mean log-odds for each character (nothing without formats).
 
     Spans are kind:start:end of whole matches in code points, end exclusive,
     by start, then kind, joined by commas. Null texts count as empty and have
@@ -287,7 +317,7 @@ def scan(docs: DataFrame, formats: Formats | None, *, id_col: str = "doc_id", te
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            base_text, all_text = [], []
+            base_text, all_text, odds = [], [], []
             for text in fill(batch.column(1)):
                 text = text.as_py()
                 base = base_spans(text)
@@ -296,12 +326,13 @@ def scan(docs: DataFrame, formats: Formats | None, *, id_col: str = "doc_id", te
                     counts[k].append(sum(1 for x in every if x[1] == k))
                 base_text.append(text_of(base))
                 all_text.append(text_of(every))
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_text), pa.array(all_text)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "n_learned", "base_spans", "spans"])
+                odds.append(",".join(f"{formats.odds(value_of(text, x)):.3f}" for x in every) if formats else "")
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (base_text, all_text, odds))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "n_learned", "base_spans", "spans", "odds"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(
-        find, "doc_id long, n_assign long, n_access long, n_hex long, n_learned long, base_spans string, spans string"
+        find, "doc_id long, n_assign long, n_access long, n_hex long, n_learned long, base_spans string, spans string, odds string"
     )
 
 

@@ -104,3 +104,35 @@ def test_query_digest(spark, tmp_path):
     for r in queries.op9_secrets(spark, str(tmp_path)).collect():
         want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute(TEXTS[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def table_like(seed, n, planted):
+    """Texts of the given table, each with a line put in."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    return [f"{t}\n{p}" for t, p in zip(random.Random(seed).sample(texts, n), planted, strict=True)]
+
+
+def test_held_out_recall_of_formats_that_no_pattern_covers():
+    """Bare keys, some of them also among the texts that the formats are learned from, and ordinary ids beside them."""
+    rng = random.Random(11)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    plain = lambda: rng.choice(["release-2024-final-build", "internationalisation2", "https-www-example-org-path1", "Donaudampfschifffahrt3"])
+    learn = [f'token = "{hexa(40)}" AKIA{upper(16)} password={hexa(18)} {plain()} note' + (f" ref {hexa(20)}" if i % 20 == 0 else "") for i in range(300)]
+    formats = secrets.infer(p for t in table_like(1, 300, learn) for p in secrets.labelled_values(t))
+    kinds = {"hex": lambda: hexa(20), "key": lambda: f"ASIA{upper(16)}"}
+    for name, make in kinds.items():
+        held = [make() for _ in range(200)]
+        texts = table_like(2, 200, [f"ref {k} {plain()}" for k in held])
+        found = [[t[a:b] for a, _, b in secrets.learned_spans(t, formats, secrets.base_spans(t))] for t in texts]
+        recall = sum(k in f for k, f in zip(held, found, strict=True)) / len(held)
+        false = sum(x not in held for f in found for x in f)
+        assert recall >= 0.9 and false <= 2, (name, recall, false)
+
+
+def test_every_span_has_odds(spark, formats):
+    rows = [(i, t) for i, t in enumerate([*corpus(5, 20), "ref 0a1b2c3d4e5f60718293", None])]
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), formats).collect():
+        assert len(r.odds.split(",")) == len(r.spans.split(",")) and bool(r.odds) == bool(r.spans)
