@@ -116,18 +116,18 @@ def _together(rows: list[np.ndarray], columns: list[np.ndarray], most: np.ndarra
     text += np.arange(many) * kinds
     up, down = np.full((words, many), ONES), np.zeros((words, many), np.uint64)
     one, high = np.uint64(1), np.uint64(63)
-    ends: dict[int, np.ndarray] = {int(j): np.flatnonzero(n == j) for j in np.unique(n)}
     rows_in = np.clip(m[None, :] - 64 * np.arange(words)[:, None], 0, 64)
     valid = np.where(rows_in == 64, ONES, (one << (rows_in & 63).astype(np.uint64)) - one)
-    first, base, out = 0, np.zeros(many, np.int64), np.zeros(many, np.int64)
+    ends = set(n.tolist())
+    first, base, out, who = 0, np.zeros(many, np.int64), np.zeros(many, bool), np.arange(many)
     for j in range(1, len(text) + 1):
         while first + 1 < words and 64 * first + 64 < j - limit:
-            base += np.bitwise_count(up[first]).astype(np.int64) - np.bitwise_count(down[first])
+            base += _heights(up[first], down[first])
             first += 1
         last = min(words - 1, (j + limit - 1) // 64)
         column = text[j - 1]
         # the row above the first word grows by 1 with each column
-        right, left = np.full(many, one), np.zeros(many, np.uint64)
+        right, left = np.full(len(who), one), np.zeros(len(who), np.uint64)
         for w in range(first, last + 1):
             own, under = up[w], down[w]
             same = places[w][column]
@@ -141,7 +141,21 @@ def _together(rows: list[np.ndarray], columns: list[np.ndarray], most: np.ndarra
             down[w] = more & vertical
             right, left = next_right, next_left
         if j in ends:
-            p = ends[j]
-            rest = np.bitwise_count(up[first:, p] & valid[first:, p]).astype(np.int64) - np.bitwise_count(down[first:, p] & valid[first:, p])
-            out[p] = base[p] + j + rest.sum(axis=0)
-    return out <= most
+            p = np.flatnonzero(n == j)
+            out[who[p]] = base[p] + j + _heights(up[first:, p] & valid[first:, p], down[first:, p] & valid[first:, p]).sum(axis=0) <= most[p]
+        if j % 64 == 0:
+            # within a word a column falls at most 32 below the mean of its ends; pairs whose column is above their limit go
+            bottoms = base + j + np.cumsum(_heights(up[first : last + 1], down[first : last + 1]), axis=0)
+            tops = np.concatenate([(base + j)[None, :], bottoms[:-1]])
+            rest = np.flatnonzero((((tops + bottoms - 64) / 2).min(axis=0) <= most) & (n > j))
+            if not len(rest):
+                break
+            if 4 * len(rest) < 3 * len(who):
+                up, down, valid, text = up[:, rest], down[:, rest], valid[:, rest], text[:, rest]
+                n, most, base, who = n[rest], most[rest], base[rest], who[rest]
+    return out
+
+
+def _heights(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """The difference between a word's last row and the one above it."""
+    return np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down)

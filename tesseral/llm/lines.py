@@ -16,10 +16,12 @@ from .graph import compared_blocks, components
 
 #: A SimHash has BLOCKS blocks of 32 bits; lines whose hashes differ in fewer than BLOCKS bits share a block.
 BLOCKS = 4
-#: A line has as many MinHash bands beside them, each of ROWS minima over its pairs of neighbouring words. SimHash alone
-#: leaves most lines that differ in more than one word of fifty without a common block.
-BANDS, ROWS = 12, 2
-KEYS = BLOCKS + BANDS
+#: SimHash alone leaves most lines that differ in more than one word of fifty without a common block. So a line has
+#: MinHash keys beside them, over its pairs of neighbouring words: for each of ANCHORS a minimum with the words at two
+#: places (from 0, or from the end), and FREE bands of ROWS minima wherever words stand.
+ANCHORS = ((0, 1), (2, 3), (0, 2), (1, 3), (-1, -2), (-3, -4), (-1, -3), (-2, -4))
+FREE, ROWS = 4, 3
+KEYS = BLOCKS + len(ANCHORS) + FREE
 #: Bytes that are kept of a key.
 KEY_BYTES = 6
 #: Lines are linked when their edit distance is at most this part, in percent, of the longer one.
@@ -90,12 +92,12 @@ MINIMA_AT_ONCE = 1 << 16
 
 
 def _bands(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32 bits of each of BANDS bands of the minima of each line's word pairs (words from at[i] to at[i + 1]); the ends count as words.
+    """32 bits of each MinHash key of each line (words from at[i] to at[i + 1]); both ends of a line count as words.
 
-    A lane orders the pairs by their hash times an odd number of its own.
+    A lane orders the pairs of words by their hash times an odd number of its own.
     """
     sizes = np.diff(at)
-    lanes = stream64(BANDS * ROWS, 5) | np.uint64(1)
+    lanes = stream64(len(ANCHORS) + FREE * ROWS, 5) | np.uint64(1)
     edge = np.uint64(0x2545F4914F6CDD1D)
     # a pair begins at each word and at the line's start
     before = np.full(len(words) + len(sizes), edge)
@@ -104,18 +106,24 @@ def _bands(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     inner = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
     after[inner], before[inner + 1] = words, words
     pairs = mix64(mix64(before) * np.uint64(3) + after)
-    out = np.zeros((len(sizes), BANDS), np.uint64)
+    least = np.empty((len(sizes), len(lanes)), np.uint64)
     ends = starts + sizes + 1
     first = 0
     while first < len(sizes):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + MINIMA_AT_ONCE, side="right")))
         own = pairs[starts[first] : ends[last - 1]]
-        least = np.empty((last - first, BANDS * ROWS), np.uint64)
         for k, lane in enumerate(lanes):
-            least[:, k] = np.minimum.reduceat(own * lane, starts[first:last] - starts[first])
-        for k in range(ROWS):
-            out[first:last] = mix64(out[first:last] + least[:, k::ROWS] + np.uint64(k + 1))
+            least[first:last, k] = np.minimum.reduceat(own * lane, starts[first:last] - starts[first])
         first = last
+    out = np.zeros((len(sizes), len(ANCHORS) + FREE), np.uint64)
+    words = np.append(words, edge)
+    for k, places in enumerate(ANCHORS):
+        out[:, k] = least[:, k]
+        for place in places:
+            near = np.clip(place if place >= 0 else sizes + place, 0, np.maximum(sizes - 1, 0))
+            out[:, k] = mix64(out[:, k] * np.uint64(5) + words[np.where(sizes > 0, at[:-1] + near, -1)])
+    for k in range(ROWS):
+        out[:, len(ANCHORS) :] = mix64(out[:, len(ANCHORS) :] + least[:, len(ANCHORS) + k :: ROWS] + np.uint64(k + 1))
     return out >> np.uint64(32)
 
 
@@ -241,19 +249,20 @@ def alike(pairs: list[tuple[str, str]], apart: int) -> np.ndarray:
 
     The distance is at least the number of characters that only one of two has.
     """
-    if not pairs:
-        return np.zeros(0, bool)
-    most = np.array([apart * max(len(a), len(b)) // 100 for a, b in pairs])
     linked = np.zeros(len(pairs), bool)
     for start in range(0, len(pairs), PAIRS_AT_ONCE):
-        part = slice(start, start + PAIRS_AT_ONCE)
-        one, two = (_letter_counts([p[k] for p in pairs[part]]) for k in (0, 1))
-        least = np.maximum(np.maximum(one - two, 0).sum(axis=1), np.maximum(two - one, 0).sum(axis=1))
-        near = np.flatnonzero(least <= most[part]) + start
-        linked[near] = within([pairs[i] for i in near.tolist()], most[near].tolist())
+        part = pairs[start : start + PAIRS_AT_ONCE]
+        most = np.array([apart * max(len(a), len(b)) // 100 for a, b in part])
+        near = np.flatnonzero(_unlike(*(_letter_counts([p[k] for p in part]) for k in (0, 1))) <= most)
+        linked[near + start] = within([part[i] for i in near.tolist()], most[near].tolist())
     return linked
 
 
+def _unlike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The least distance that rows of letter counts leave."""
+    return np.maximum(np.maximum(one - two, 0).sum(axis=1), np.maximum(two - one, 0).sum(axis=1))
+
+
 #: Pairs that are looked at together.
 PAIRS_AT_ONCE = 8192
 
@@ -297,8 +306,14 @@ def _compared(apart: int):
                 n, m = (np.array([len(t) for t in texts]) for texts in (x, y))
                 near &= np.abs(n[:, None] - m[None, :]) * 100 <= apart * np.maximum(n[:, None], m[None, :])
                 i, j = np.nonzero(near)
+                # a candidate whose letters alone are too far apart goes before any turn
+                most = apart * np.maximum(n[i], m[j]) // 100
+                one, two = _letter_counts(x), _letter_counts(y)
+                kept = [k + np.flatnonzero(_unlike(one[i[k : k + PAIRS_AT_ONCE]], two[j[k : k + PAIRS_AT_ONCE]]) <= most[k : k + PAIRS_AT_ONCE]) for k in range(0, len(i), PAIRS_AT_ONCE)]
+                kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+                i, j, most = i[kept], j[kept], most[kept]
                 order = np.lexsort((j, roots[j], i))
-                i, j = i[order], j[order]
+                i, j, most = i[order], j[order], most[order]
                 start = np.ones(len(i), bool)
                 start[1:] = (i[1:] != i[:-1]) | (roots[j[1:]] != roots[j[:-1]])
                 group = np.cumsum(start) - 1
@@ -306,7 +321,7 @@ def _compared(apart: int):
                 turn, at_once = np.arange(len(i)) - np.flatnonzero(start)[group] if len(i) else group, 1
                 while len(i):
                     now = turn < at_once
-                    linked = alike([(x[p], y[q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], apart)
+                    linked = within([(x[p], y[q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], most[now].tolist())
                     won = np.flatnonzero(now)[linked]
                     _, first = np.unique(group[won], return_index=True)
                     for k in won[first].tolist():
@@ -314,7 +329,7 @@ def _compared(apart: int):
                         b.append(right[j[k]]["rep"])
                     done[group[won]] = True
                     rest = ~now & ~done[group]
-                    i, j, group, turn = i[rest], j[rest], group[rest], turn[rest] - at_once
+                    i, j, most, group, turn = i[rest], j[rest], most[rest], group[rest], turn[rest] - at_once
                     at_once *= 4
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
