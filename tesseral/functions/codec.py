@@ -247,10 +247,10 @@ def big_endian(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, width)[:, ::-1]).reshape(-1)
 
 
-def candidates(data: bytes, dtype: str = "f32", stride: int | None = None) -> list[tuple[int, bytes]]:
-    """(strategy, body) in the order that settles ties, the raw bits first."""
+def candidates(data: bytes, dtype: str = "f32", stride: int | None = None, every: bool = False) -> list[tuple[int, bytes]]:
+    """(strategy, body) in the order that settles ties, the raw bits first; with `every`, forms longer than the data too."""
     big = big_endian(data, dtype)
-    width, most = WIDTHS[dtype], len(big)
+    width, most = WIDTHS[dtype], len(big) if not every else 8 * len(big) + 64
     flat = planes(big, width)
     found: list[tuple[int, bytes | None]] = [
         (1, big.tobytes()),
@@ -280,7 +280,7 @@ def candidates(data: bytes, dtype: str = "f32", stride: int | None = None) -> li
         # nothing predicted is shorter than its own nibbles and signs
         lanes = -(-len(values) // 4) * 4
         best = min(len(b) for _, b in found if b is not None)
-        if 12 + -(-lanes // 2) + -(-lanes // 8) < best:
+        if every or 12 + -(-lanes // 2) + -(-lanes // 8) < best:
             found.append((0, _predicted(values)[1]))
     return [(s, b) for s, b in found if b is not None]
 
@@ -301,13 +301,25 @@ def encode_exact(data: bytes, dtype: str = "f32", stride: int | None = None, che
     """The smallest exact payload of little-endian data; `check` is its checksum where that is known."""
     if stride is not None and (dtype == "f32" or not 0 < stride < 1 << 32):
         raise CodecError("a stride is for 16-bit types, and positive")
-    found = candidates(data, dtype, stride)
-    strategy, body = min(found, key=lambda x: len(x[1]))  # the first of the smallest
+    strategy, body = min(candidates(data, dtype, stride), key=lambda x: len(x[1]))  # the first of the smallest
+    return _payload(data, dtype, strategy, body, checksum(data, dtype) if check is None else check)
+
+
+#: The selector has always tried every form; the name is kept for those who ask for that.
+encode_exhaustive = encode_exact
+
+
+def _payload(data: bytes, dtype: str, strategy: int, body: bytes, check: int) -> bytes:
     scale = _predicted(words(big_endian(data, dtype), 4))[0] if strategy == 0 else 1.0
-    check = checksum(data, dtype) if check is None else check
     return write_header("exact", len(data) // WIDTHS[dtype], scale, check) + EXACT_MAGIC + bytes([strategy]) + PREFIXES[dtype] + body
 
 
+def encode_each(data: bytes, dtype: str = "f32", stride: int | None = None) -> list[bytes]:
+    """An exact payload of each form that there is for the data, however long."""
+    check = checksum(data, dtype)
+    return [_payload(data, dtype, strategy, body, check) for strategy, body in candidates(data, dtype, stride, every=True)]
+
+
 def describe(payload: bytes) -> tuple[Header, str, str]:
     """(header, strategy, dtype) of an exact payload, without decoding it."""
     header = read_header(payload, "exact")

@@ -91,3 +91,28 @@ def limited(results: DataFrame, *, max_ratio: float | None = None, max_encode_us
         results = results.where("external")
     return results.withColumn("passed", F.col("exact_bits") & ((F.col("strategy") == "raw-bits") | fits))
 
+
+def coverage(wanted: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(wanted, found, missing, extra, equal): two tables as sets of keys; nulls are a key like any."""
+    left = wanted.select(*keys).distinct().withColumn("_w", F.lit(1))
+    right = found.select(*keys).distinct().withColumn("_f", F.lit(1))
+    both = left.unionByName(right, allowMissingColumns=True).groupBy(*keys).agg(F.max("_w").alias("w"), F.max("_f").alias("f"))
+    here, there = F.col("w").isNotNull(), F.col("f").isNotNull()
+    counted = both.agg(F.count_if(here).alias("wanted"), F.count_if(there).alias("found"), F.count_if(here & ~there).alias("missing"), F.count_if(there & ~here).alias("extra"))
+    return counted.withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0))
+
+
+def payload_sizes(tensors: DataFrame, modes: list[str]) -> DataFrame:
+    """(dataset, codec, bytes) of each f32 chunk (dataset, payload) through each mode."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, m, len(codec.encode(np.frombuffer(raw, "<f4"), m))) for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in modes]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))], names=["dataset", "codec", "bytes"])
+
+    return tensors.select("dataset", "payload").mapInArrow(measure, "dataset string, codec string, bytes long")
+
+
+def size_pivot(sizes: DataFrame, modes: list[str]) -> DataFrame:
+    """One row for each dataset, with the bytes of each codec in a column of its name."""
+    return sizes.groupBy("dataset").pivot("codec", modes).agg(F.sum("bytes"))

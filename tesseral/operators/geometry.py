@@ -71,26 +71,56 @@ def blocks(unit: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt.groupBy("group_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("items"))
 
 
+def block_pairs(unit: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(group_id, left, right, same): each pair of blocks of a group once, dealt to tasks by group and both blocks."""
+    dealt = blocks(unit, size)
+    many = dealt.groupBy("group_id").agg(F.max("block").alias("_last"))
+    dealt = dealt.join(many, "group_id")
+    left = dealt.select("group_id", F.col("block").alias("bl"), F.explode(F.sequence("block", "_last")).alias("br"), F.col("items").alias("left"))
+    right = dealt.select("group_id", F.explode(F.sequence(F.lit(0), "block")).alias("bl"), F.col("block").alias("br"), F.col("items").alias("right"))
+    return left.join(right, ["group_id", "bl", "br"]).select("group_id", "left", "right", (F.col("bl") == F.col("br")).alias("same"))
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, left places, right places, cosines, which of them are pairs) of rows of block_pairs."""
+    for batch in batches:
+        for i in range(len(batch)):
+            (lp, lv), (rp, rv) = _matrix(batch.column(1), i), _matrix(batch.column(2), i)
+            cosine = np.clip(lv @ rv.T, -1, 1)
+            pairs = lp[:, None] < rp[None, :] if batch.column(3)[i].as_py() else np.ones(cosine.shape, bool)
+            yield batch.column(0)[i], lp, rp, cosine, pairs
+
+
 def all_pairs(unit: DataFrame, size: int = BLOCK) -> DataFrame:
     """(group_id, l, r, cosine) for all pairs l < r of a group's unit vectors."""
-    dealt = blocks(unit, size)
-    left = dealt.select("group_id", F.col("block").alias("bl"), F.col("items").alias("left"))
-    right = dealt.select("group_id", F.col("block").alias("br"), F.col("items").alias("right"))
     kind = unit.schema["group_id"].dataType.simpleString()
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                (lp, lv), (rp, rv) = _matrix(batch.column(1), i), _matrix(batch.column(2), i)
-                same = batch.column(3)[i].as_py()
-                cosine = np.clip(lv @ rv.T, -1, 1)
-                a, b = np.nonzero(lp[:, None] < rp[None, :]) if same else np.nonzero(np.ones(cosine.shape, bool))
-                l, r = np.minimum(lp[a], rp[b]), np.maximum(lp[a], rp[b])
-                group = pa.array([batch.column(0)[i].as_py()] * len(l), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([group, pa.array(l), pa.array(r), pa.array(cosine[a, b])], names=["group_id", "l", "r", "cosine"])
+        for key, lp, rp, cosine, pairs in _products(batches):
+            a, b = np.nonzero(pairs)
+            l, r = np.minimum(lp[a], rp[b]), np.maximum(lp[a], rp[b])
+            group = pa.array([key.as_py()] * len(l), key.type)
+            yield pa.RecordBatch.from_arrays([group, pa.array(l), pa.array(r), pa.array(cosine[a, b])], names=["group_id", "l", "r", "cosine"])
+
+    return block_pairs(unit, size).mapInArrow(multiply, f"group_id {kind}, l long, r long, cosine double")
 
-    met = left.join(right, "group_id").where("bl <= br").select("group_id", "left", "right", F.col("bl") == F.col("br"))
-    return met.mapInArrow(multiply, f"group_id {kind}, l long, r long, cosine double")
+
+def nearest_of_all(unit: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(group_id, pos, cosine): each vector's largest cosine to another of its group.
+
+    Each product of two blocks gives one value for each of its rows and columns, so no pair is a row.
+    """
+    kind = unit.schema["group_id"].dataType.simpleString()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, lp, rp, cosine, pairs in _products(batches):
+            seen = np.where(pairs, cosine, -2.0)
+            pos, most = np.concatenate([lp, rp]), np.concatenate([seen.max(axis=1, initial=-2), seen.max(axis=0, initial=-2)])
+            pos, most = pos[most > -2], most[most > -2]
+            yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(pos), key.type), pa.array(pos), pa.array(most)], names=["group_id", "pos", "cosine"])
+
+    found = block_pairs(unit, size).mapInArrow(best, f"group_id {kind}, pos long, cosine double")
+    return found.groupBy("group_id", "pos").agg(F.max("cosine").alias("cosine"))
 
 
 def splitmix64(state: int) -> tuple[int, int]:
@@ -151,6 +181,23 @@ def sampled_pairs(unit: DataFrame, most: int = MOST_PAIRS, seed: int = SEED) ->
     return both.select("group_id", "l", "r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)).alias("cosine"))
 
 
+def within_policy(unit: DataFrame, exact_vectors: int = EXACT_VECTORS, most_pairs: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """The vectors of groups that are compared in full, and those of the groups that are too large for that."""
+    sizes = unit.groupBy("group_id").agg(F.count("*").alias("_n"))
+    full = compared_in_full(F.col("_n"), exact_vectors, most_pairs)
+    return unit.join(sizes.where(full), "group_id", "left_semi"), unit.join(sizes.where(~full), "group_id", "left_semi")
+
+
+def compared_in_full(n: Column, exact_vectors: int, most_pairs: int) -> Column:
+    return (n <= exact_vectors) & (n * (n - 1) / 2 <= most_pairs)
+
+
+def policy_pairs(unit: DataFrame, exact_vectors: int = EXACT_VECTORS, most_pairs: int = MOST_PAIRS, seed: int = SEED) -> DataFrame:
+    """(group_id, l, r, cosine): all pairs of small groups, a fixed sample of at most most_pairs of each larger one."""
+    small, large = within_policy(unit, exact_vectors, most_pairs)
+    return all_pairs(small).union(sampled_pairs(large, most_pairs, seed))
+
+
 def pair_metrics(pairs: DataFrame, near: float = NEAR_DUPLICATE) -> DataFrame:
     """(group_id, evaluated_pairs, near_duplicate_pairs, near_duplicate_rate, distribution of the cosine)."""
     rate = F.count_if(F.col("cosine") >= near)
@@ -163,6 +210,12 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("group_id", "pos").agg(F.max("cosine").alias("cosine"))
 
 
+def nearest_in_policy(unit: DataFrame, exact_vectors: int = EXACT_VECTORS, most_pairs: int = MOST_PAIRS, seed: int = SEED) -> DataFrame:
+    """(group_id, pos, cosine): the largest cosine over all pairs of small groups, over the sample's pairs of larger ones."""
+    small, large = within_policy(unit, exact_vectors, most_pairs)
+    return nearest_of_all(small).union(nearest(sampled_pairs(large, most_pairs, seed)))
+
+
 def standard_error(pairs: DataFrame, populations: DataFrame) -> DataFrame:
     """(group_id, standard_error) of the mean cosine, with the correction for a finite population (group_id, population)."""
     got = pairs.groupBy("group_id").agg(F.count("*").alias("n"), F.stddev_samp("cosine").alias("s")).join(populations, "group_id")
@@ -186,35 +239,61 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     return same.groupBy("group_id").agg(F.count_if(F.col("n") > 1).alias("classes"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("members"))
 
 
+#: Partial moments that one task merges.
+MERGED = 32
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Scalar, int, np.ndarray, np.ndarray]:
+    """The group, count, mean and centred products of partial moments (group_id, part, n, mean, products), one after the other."""
+    n, mean, products, group = 0, np.zeros(0), np.zeros(0), None
+    for batch in batches:
+        for i in range(len(batch)):
+            group, m = batch.column(0)[i], batch.column(2)[i].as_py()
+            own, p = batch.column(3)[i].values.to_numpy(), batch.column(4)[i].values.to_numpy()
+            if not n:
+                n, mean, products = m, own, p
+                continue
+            apart = own - mean
+            if len(p):
+                products = products + p + np.outer(apart, apart).reshape(-1) * (n * m / (n + m))
+            mean, n = mean + apart * (m / (n + m)), n + m
+    return group, n, mean, products
+
+
 def spectrum(unit: DataFrame, most_dimension: int = SPECTRAL_DIMENSION) -> DataFrame:
     """(group_id, n, trace, participation, top_fraction) of the centred covariance.
 
-    Each block gives the sums of its vectors and of their products; a group's
-    last step adds a few of those. Groups of one vector, or of a dimension above
-    the policy's, have nulls.
+    Each block gives its mean and the products of its centred vectors; these
+    are merged MERGED at a time, then in one step for a group. Groups of one
+    vector, or of a dimension above the policy's, have nulls.
     """
     kind = unit.schema["group_id"].dataType.simpleString()
+    schema = f"group_id {kind}, part long, n long, mean array<double>, products array<double>"
+    names = ["group_id", "part", "n", "mean", "products"]
+
+    def row(group: pa.Scalar, part: int, n: int, mean: np.ndarray, products: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.array([x], pa.list_(pa.float64())) for x in (mean, products)]
+        return pa.RecordBatch.from_arrays([pa.array([group.as_py()], group.type), pa.array([part], pa.int64()), pa.array([n], pa.int64()), *lists], names=names)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 pos, x = _matrix(batch.column(1), i)
-                small = x.shape[1] <= most_dimension
-                product = (x.T @ x).reshape(-1) if small else np.zeros(0)
-                columns = [batch.column(0).slice(i, 1), pa.array([len(pos)], pa.int64()), pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64())), pa.array([product.tolist()], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["group_id", "n", "s", "p"])
+                mean = x.mean(axis=0)
+                apart = x - mean
+                products = (apart.T @ apart).reshape(-1) if x.shape[1] <= most_dimension else np.zeros(0)
+                yield row(batch.column(0)[i], batch.column(2)[i].as_py(), len(pos), mean, products)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, mean, products = _merged(batches)
+        yield row(group, 0, n, mean, products)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, p, group = 0, 0.0, 0.0, None
-        for batch in batches:
-            for i in range(len(batch)):
-                group = batch.column(0)[i]
-                n += batch.column(1)[i].as_py()
-                s, p = s + batch.column(2)[i].values.to_numpy(), p + batch.column(3)[i].values.to_numpy()
+        group, n, mean, products = _merged(batches)
         trace = participation = top = None
-        if n >= 2 and np.size(p):
-            d = len(s)
-            cov = p.reshape(d, d) / n - np.outer(s / n, s / n)
+        if n >= 2 and len(products):
+            d = len(mean)
+            cov = products.reshape(d, d) / n
             trace, square = float(np.trace(cov)), float((cov * cov).sum())
             participation = trace * trace / square if square > 0 else None
             v = np.full(d, 1 / np.sqrt(d))
@@ -228,8 +307,9 @@ def spectrum(unit: DataFrame, most_dimension: int = SPECTRAL_DIMENSION) -> DataF
         values = [pa.array([x], pa.float64()) for x in (trace, participation, top)]
         yield pa.RecordBatch.from_arrays([pa.array([group.as_py()], group.type), pa.array([n], pa.int64()), *values], names=["group_id", "n", "trace", "participation", "top_fraction"])
 
-    sums = blocks(unit).select("group_id", "items").mapInArrow(partial, f"group_id {kind}, n long, s array<double>, p array<double>")
-    return sums.groupBy("group_id").applyInArrow(finish, f"group_id {kind}, n long, trace double, participation double, top_fraction double")
+    parts = blocks(unit).select("group_id", "items", F.floor(F.col("block") / MERGED).cast("long").alias("part")).mapInArrow(partial, schema)
+    parts = parts.groupBy("group_id", "part").applyInArrow(combine, schema)
+    return parts.groupBy("group_id").applyInArrow(finish, f"group_id {kind}, n long, trace double, participation double, top_fraction double")
 
 
 def segment_norms(vectors: DataFrame) -> DataFrame:
@@ -268,18 +348,15 @@ def profile(vectors: DataFrame, *, exact_vectors: int = EXACT_VECTORS, most_pair
     full; of larger ones a fixed sample of pairs is.
     """
     unit = normalized(vectors)
-    sizes = unit.groupBy("group_id").agg(F.count("*").alias("_n"))
-    full = (F.col("_n") <= exact_vectors) & (F.col("_n") * (F.col("_n") - 1) / 2 <= most_pairs)
-    small = unit.join(sizes.where(full), "group_id", "left_semi")
-    large = unit.join(sizes.where(~full), "group_id", "left_semi")
-    pairs = all_pairs(small).union(sampled_pairs(large, most_pairs, seed))
+    pairs = policy_pairs(unit, exact_vectors, most_pairs, seed)
     out = counts(vectors)
     out = out.join(classes(unit.withColumn("key", F.to_json("vec")), "key").withColumnsRenamed({"classes": "exact_duplicate_classes", "members": "exact_duplicate_vectors"}), "group_id", "left")
     out = out.join(pair_metrics(pairs, near).select("group_id", "evaluated_pairs", "near_duplicate_pairs", "near_duplicate_rate", F.col("mean").alias("mean_cosine"), F.col("max").alias("max_cosine")), "group_id", "left")
-    out = out.join(nearest(pairs).groupBy("group_id").agg(F.avg("cosine").alias("mean_nearest_cosine")), "group_id", "left")
+    out = out.join(nearest_in_policy(unit, exact_vectors, most_pairs, seed).groupBy("group_id").agg(F.avg("cosine").alias("mean_nearest_cosine")), "group_id", "left")
     out = out.join(spectrum(unit).drop("n"), "group_id", "left")
     for name, threshold in (("sign", None), *((f"threshold_{t:g}", t) for t in thresholds)):
         found = classes(unit.withColumn("key", binary_code(F.col("vec"), threshold)), "key")
         out = out.join(found.withColumnsRenamed({"classes": f"{name}_collision_classes", "members": f"{name}_colliding_vectors"}), "group_id", "left")
-    status = F.when(F.col("trace").isNotNull(), "APPROXIMATE").when(F.col("finite_vector_count") > exact_vectors, "DETERMINISTIC_SAMPLE").otherwise("EXACT")
+    full = compared_in_full(F.col("finite_vector_count"), exact_vectors, most_pairs)
+    status = F.when(F.col("trace").isNotNull(), "APPROXIMATE").when(~full, "DETERMINISTIC_SAMPLE").otherwise("EXACT")
     return out.withColumn("status", status)

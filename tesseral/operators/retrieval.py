@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from . import geometry
 
 
 def packed_signs(vec: Column) -> Column:
@@ -24,13 +25,28 @@ def packed_signs(vec: Column) -> Column:
     return F.transform(words, word)
 
 
-def hamming_pairs(unit: DataFrame) -> DataFrame:
-    """(group_id, l, r, hamming): the number of sign bits in which each pair of a group's vectors differs."""
-    coded = unit.select("group_id", "pos", packed_signs(F.col("vec")).alias("bits"))
-    left = coded.select("group_id", F.col("pos").alias("l"), F.col("bits").alias("x"))
-    right = coded.select("group_id", F.col("pos").alias("r"), F.col("bits").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda s, n: s + n)
-    return left.join(right, "group_id").where("l < r").select("group_id", "l", "r", apart.alias("hamming"))
+def hamming_blocks(unit: DataFrame) -> DataFrame:
+    """(group_id, pairs, least, most, total) of the sign bits in which pairs of vectors differ, a row for each pair of blocks of a group."""
+    coded = unit.select("group_id", "pos", packed_signs(F.col("vec")).alias("vec"))
+    kind = unit.schema["group_id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                (lp, lv), (rp, rv) = geometry._matrix(batch.column(1), i), geometry._matrix(batch.column(2), i)
+                apart = sum(np.bitwise_count(lv[:, None, k] ^ rv[None, :, k]).astype(np.int64) for k in range(lv.shape[1]))
+                found = apart[lp[:, None] < rp[None, :]] if batch.column(3)[i].as_py() else apart.reshape(-1)
+                if len(found):
+                    numbers = [pa.array([int(x)], pa.int64()) for x in (len(found), found.min(), found.max(), found.sum())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *numbers], names=["group_id", "pairs", "least", "most", "total"])
+
+    return geometry.block_pairs(coded).mapInArrow(compare, f"group_id {kind}, pairs long, least long, most long, total long")
+
+
+def hamming_summary(unit: DataFrame) -> DataFrame:
+    """(group_id, pairs, least, most, mean) of the Hamming distances of sign bits between all pairs of a group; no pair is a row."""
+    found = hamming_blocks(unit).groupBy("group_id")
+    return found.agg(F.sum("pairs").alias("pairs"), F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("total") / F.sum("pairs")).alias("mean"))
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -40,22 +56,53 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(x, y) / F.sqrt(size))
 
 
-#: Queries that one search may have; they are broadcast against all records.
-MOST_QUERIES = 10_000
+#: Queries that are searched for together; each lot reads the records once.
+QUERIES_AT_ONCE = 10_000
 
 
 def top1(queries: DataFrame, records: DataFrame, skip_same: bool = False) -> DataFrame:
     """(query_id, vec_id, score): for each query (query_id, q) the record (vec_id, vec) of the largest cosine, the first of equals.
 
-    The queries are a stated set of at most MOST_QUERIES, which is checked, and
-    are compared with every record; each task keeps its best one for each query.
+    The queries are a stated set and are compared with every record, QUERIES_AT_ONCE
+    at a time: a lot's vectors go to every task, which multiplies them with its
+    records and keeps its best one for each query. Cosines count as equal to 12 places.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"a search has at most {MOST_QUERIES} queries")
-    met = records.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id") if skip_same else F.lit(True))
-    scored = met.select("query_id", "vec_id", cosine(F.col("vec"), F.col("q")).alias("score"))
-    best = F.max(F.struct("score", (-F.col("vec_id")).alias("less"))).alias("b")
-    return scored.groupBy("query_id").agg(best).select("query_id", (-F.col("b.less")).alias("vec_id"), F.col("b.score").alias("score"))
+    many = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    out = None
+    for lot in range(many):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == lot).select("query_id", "q").collect()  # QUERIES_AT_ONCE of them, about
+        found = records.select("vec_id", "vec").mapInArrow(_best_of(rows, skip_same), "query_id long, vec_id long, score double")
+        out = found if out is None else out.union(found)
+    best = F.max(F.struct(F.round("score", 12).alias("score"), (-F.col("vec_id")).alias("less"))).alias("b")
+    return out.groupBy("query_id").agg(best).select("query_id", (-F.col("b.less")).alias("vec_id"), F.col("b.score").alias("score"))
+
+
+def _best_of(rows: list, skip_same: bool):
+    ids = np.array([r.query_id for r in rows], np.int64)
+    q = np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
+    own = np.sqrt((q * q).sum(axis=1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, where = np.full(len(ids), -2.0), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            places, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(np.float64)
+            if not len(places) or not len(ids):
+                continue
+            x = x.reshape(len(places), -1)
+            for start in range(0, len(places), 1024):
+                part, at = x[start : start + 1024], places[start : start + 1024]
+                size = own[:, None] * np.sqrt((part * part).sum(axis=1))[None, :]
+                score = np.round(np.divide(q @ part.T, size, out=np.zeros(size.shape), where=size > 0), 12)
+                if skip_same:
+                    score[ids[:, None] == at[None, :]] = -2.0
+                top = score.max(axis=1)
+                first = np.where(score == top[:, None], at[None, :], np.iinfo(np.int64).max).min(axis=1)
+                wins = (top > best) | ((top == best) & (first < where))
+                best, where = np.where(wins, top, best), np.where(wins, first, where)
+        seen = best > -2
+        yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(where[seen]), pa.array(best[seen])], names=["query_id", "vec_id", "score"])
+
+    return search
 
 
 def through(records: DataFrame, mode: str) -> DataFrame:
@@ -74,10 +121,24 @@ def query_places(n: int) -> list[int]:
     return list(dict.fromkeys([0, min(1, n - 1), n // 4, n // 2, 3 * n // 4, max(0, n - 2), n - 1])) if n else []
 
 
+def _at_places(records: DataFrame, places: list[int]) -> list[int]:
+    """The ids at some places of the order of ids: one range sort, whose partitions are numbered on."""
+    wanted = set(places)
+    ordered = records.select("vec_id").orderBy("vec_id").rdd.zipWithIndex()
+    return sorted(r.vec_id for r, i in ordered.filter(lambda x: x[1] in wanted).collect())
+
+
+def record_slices(vectors: DataFrame, dimension: int = 16) -> DataFrame:
+    """(vec_id, slice, vec): each vector cut into records of `dimension` elements; what is left over at the end is no record."""
+    starts = F.sequence(F.lit(0), F.floor(F.size("vec") / dimension).cast("int") - 1)
+    cut = F.transform(starts, lambda i: F.slice("vec", i * dimension + 1, F.lit(dimension)))
+    return vectors.where(F.size("vec") >= dimension).select("vec_id", F.posexplode(cut).alias("slice", "vec"))
+
+
 def agreement(records: DataFrame, modes: list[str]) -> DataFrame:
     """(codec, queries, top1_matches, mean_score_delta, max_score_delta) of seven records as queries, against decoded records."""
     n = records.count()
-    at = [records.select("vec_id").orderBy("vec_id").offset(i).limit(1).first().vec_id for i in query_places(n)]
+    at = _at_places(records, query_places(n))
     queries = records.where(F.col("vec_id").isin(at)).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     exact = top1(queries, records).select("query_id", F.col("vec_id").alias("best"), F.col("score").alias("exact"))
     out = None

@@ -105,13 +105,13 @@ def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT label AS group_id, {spread_sql('cosine')} FROM pairs GROUP BY label")
 def pair_cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = geometry.all_pairs(unit(spark, sf_dir))
+    pairs = geometry.policy_pairs(unit(spark, sf_dir))
     return rounded(pairs.groupBy("group_id").agg(*geometry.distribution("cosine")), *SPREAD)
 
 
 @query(f"WITH {PAIRS}, angles AS (SELECT label, acos(cosine) AS angle FROM pairs) SELECT label AS group_id, {spread_sql('angle')} FROM angles GROUP BY label")
 def angular_distance_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = geometry.all_pairs(unit(spark, sf_dir)).withColumn("angle", F.acos("cosine"))
+    pairs = geometry.policy_pairs(unit(spark, sf_dir)).withColumn("angle", F.acos("cosine"))
     return rounded(pairs.groupBy("group_id").agg(*geometry.distribution("angle")), *SPREAD)
 
 
@@ -120,7 +120,7 @@ def angular_distance_distribution(spark: SparkSession, sf_dir: str) -> DataFrame
     " (SELECT label, l AS pos, cosine FROM pairs UNION ALL SELECT label, r, cosine FROM pairs) GROUP BY label, pos"
 )
 def nearest_neighbor_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(geometry.nearest(geometry.all_pairs(unit(spark, sf_dir))), "cosine")
+    return rounded(geometry.nearest_in_policy(unit(spark, sf_dir)), "cosine")
 
 
 @query(
@@ -128,7 +128,7 @@ def nearest_neighbor_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     " round(count(*) FILTER (WHERE cosine >= 0.25) / count(*), 6) AS near_duplicate_rate FROM pairs GROUP BY label"
 )
 def near_duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = geometry.pair_metrics(geometry.all_pairs(unit(spark, sf_dir)), near=0.25)
+    found = geometry.pair_metrics(geometry.policy_pairs(unit(spark, sf_dir)), near=0.25)
     return rounded(found.select("group_id", "evaluated_pairs", "near_duplicate_pairs", "near_duplicate_rate"), "near_duplicate_rate")
 
 
@@ -148,16 +148,14 @@ def exact_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     " (SELECT label, list_sum(list_transform(list_zip(x, y), lambda p: ((p[1] < 0) <> (p[2] < 0))::BIGINT))::BIGINT AS h FROM pairs) GROUP BY label"
 )
 def sign_binary_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = retrieval.hamming_pairs(unit(spark, sf_dir))
-    spread = [F.count("*").alias("pairs"), F.min("hamming").alias("least"), F.max("hamming").alias("most"), F.round(F.avg("hamming"), 6).alias("mean")]
-    return pairs.groupBy("group_id").agg(*spread)
+    return rounded(retrieval.hamming_summary(unit(spark, sf_dir)), "mean")
 
 
 @query(
-    f"WITH {UNITS}, same AS (SELECT label AS group_id, list_transform(v[1:6], lambda x: x >= 0.0) AS k, count(*) AS n FROM units GROUP BY 1, 2) {DUPLICATES}"
+    f"WITH {UNITS}, same AS (SELECT label AS group_id, list_transform(v, lambda x: x >= 0.0) AS k, count(*) AS n FROM units GROUP BY 1, 2) {DUPLICATES}"
 )
 def threshold_binary_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = unit(spark, sf_dir).withColumn("k", geometry.binary_code(F.slice("vec", 1, 6), 0.0))
+    codes = unit(spark, sf_dir).withColumn("k", geometry.binary_code(F.col("vec"), 0.0))
     return geometry.classes(codes, "k")
 
 
@@ -197,7 +195,8 @@ def sampled_pairs_mean_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def geometry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.profile(vectors(spark, sf_dir))
+    found = rounded(geometry.profile(vectors(spark, sf_dir)), "near_duplicate_rate", "mean_cosine", "max_cosine", "mean_nearest_cosine", "trace", "top_fraction")
+    return found.withColumn("participation", F.round("participation", 4))
 
 
 @query(
@@ -356,14 +355,14 @@ def competitive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 7),"
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),"
     " s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))) AS score"
     " FROM embeddings, q WHERE vec_id <> query_id)"
     " SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1"
 )
 def top1_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    queries = rows.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     return rounded(retrieval.top1(queries, rows, skip_same=True), "score")
 
 
@@ -433,3 +432,8 @@ def kv_lifting_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def predictor_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.predictor_sizes(event_chunks(spark, sf_dir), stride=16)
+
+
+from . import proofs  # noqa: E402  registers its queries beside these
+
+ORACLE_SQL |= {"top_eigen_fraction": proofs.TOP_EIGEN, "sampled_pairs_mean_se": proofs.SAMPLED_MEAN, "geometry_profile": proofs.PROFILE}

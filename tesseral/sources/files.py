@@ -170,6 +170,18 @@ def container_rows(files: DataFrame, *, id_col: str = "path", content_col: str =
     return files.select(F.col(id_col).cast("string"), content_col).mapInArrow(split, schema)
 
 
+def big_endian_number(data: F.Column, at: int, size: int) -> F.Column:
+    """The unsigned number of `size` bytes at a place of a binary column, by Spark's own functions."""
+    return F.conv(F.hex(F.substring(data, at + 1, size)), 16, 10).cast("long")
+
+
+def container_header(content: F.Column) -> list[F.Column]:
+    """version, mode, n and chunks of a container, from its first 20 bytes; what is no container raises."""
+    magic = F.assert_true(F.substring(content, 1, 4) == F.lit(codec.CONTAINER_MAGIC), "not a container")
+    version = F.coalesce(magic.cast("int"), big_endian_number(content, 4, 1).cast("int"))
+    return [version.alias("version"), big_endian_number(content, 5, 1).cast("int").alias("mode"), big_endian_number(content, 8, 8).alias("n"), big_endian_number(content, 16, 4).alias("chunks")]
+
+
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     return container_rows(spark.read.format("binaryFile").load(path))
 

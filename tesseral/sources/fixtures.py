@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 F32 = np.float32
 #: Words of the stress fixture (fixed values): signed zeros, infinities, two NaN payloads, ones.
@@ -101,3 +102,56 @@ def fixtures(spark: SparkSession) -> DataFrame:
 
     names = spark.createDataFrame([(k,) for k in TENSORS], "tensor_id string").repartition(len(TENSORS))
     return names.mapInArrow(make, SCHEMA)
+
+
+#: Elements of a 16-bit fixture, and of its rows (fixed values).
+TYPED_N, ROW_WIDTH = 65_536, 128
+
+
+def typed_words(spark: SparkSession) -> DataFrame:
+    """(fixture, pos, word): the 16-bit fixtures of whole numbers, for the gates of neighbours and of strides, as expressions over a range."""
+    pos = F.col("pos")
+    channel = (pos % ROW_WIDTH) * 101
+
+    def wrapped(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(0xFFFF))
+
+    formulas = {
+        "repeated-rows": wrapped(F.lit(0x3D00) + channel),
+        "drifting-rows": wrapped(F.lit(0x3D00) + channel + F.floor(pos / (ROW_WIDTH * 32))),
+        "adjacent-smooth": wrapped(F.lit(0x3D00) + F.floor(pos / 4)),
+        "twice-each": wrapped(pos),
+    }
+    made = F.array(*[F.struct(F.lit(k).alias("fixture"), v.cast("long").alias("word")) for k, v in formulas.items()])
+    return spark.range(TYPED_N).withColumnRenamed("id", "pos").select("pos", F.explode(made).alias("x")).select("x.fixture", "pos", "x.word")
+
+
+def rounded_bf16(values: np.ndarray) -> np.ndarray:
+    """The 16-bit words of values, rounded to nearest, ties to even."""
+    bits = values.astype(F32).view(np.uint32).astype(np.uint64)
+    return ((bits + 0x7FFF + (bits >> np.uint64(16) & np.uint64(1))) >> np.uint64(16)).astype(np.uint16)
+
+
+def smooth_wave_bf16(n: int = TYPED_N) -> np.ndarray:
+    x = np.arange(n).astype(F32)
+    return rounded_bf16(np.sin(x / F32(97)) * F32(0.5) + np.cos(x / F32(997)) * F32(0.125))
+
+
+def slow_ramp_bf16(n: int = TYPED_N) -> np.ndarray:
+    return rounded_bf16(F32(-1) + F32(2) * np.arange(n).astype(F32) / F32(n))
+
+
+def piecewise_kv_bf16(n: int = TYPED_N) -> np.ndarray:
+    token, channel = (np.arange(n) // ROW_WIDTH).astype(F32), (np.arange(n) % ROW_WIDTH).astype(F32)
+    return rounded_bf16(np.sin(channel / F32(19)) * F32(0.375) + np.cos(token / F32(113)) * F32(0.0625))
+
+
+def random_words(n: int = TYPED_N, state: int = 0x51415451C0DEF00D) -> np.ndarray:
+    """The low halves of a xorshift generator's states."""
+    out = np.empty(n, np.uint16)
+    for i in range(n):
+        state ^= state << 13 & 0xFFFFFFFFFFFFFFFF
+        state ^= state >> 7
+        state ^= state << 17 & 0xFFFFFFFFFFFFFFFF
+        out[i] = state & 0xFFFF
+    return out
