@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 
 def union_find(links: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -65,7 +65,9 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     stars = flat.where("a <> b").mapInArrow(_contract, "a long, b long")
     stars = scratch.write(stars, f"{name}-0")
     before = None
-    for turn in range(1, 64):
+    turn = 0
+    while True:
+        turn += 1
         # large star: every neighbour above a node gets the smallest of the node's neighbourhood
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -139,16 +141,28 @@ def grouped_by_buckets(
 
 
 def member_blocks(items: DataFrame, table: DataFrame, payload: str, name: str, most: int) -> DataFrame:
-    """(pivot, name): the members (pivot, rep, root) with their payload from table (rep, payload), in blocks of about `most` bytes."""
+    """(pivot, part, parts, name): the members (pivot, rep, root) with their payload from table (rep, payload), in blocks of about `most` bytes."""
     sizes = items.join(table.select("rep", F.octet_length(payload).alias("bytes")), "rep")
-    sizes = sizes.groupBy("pivot").agg((F.floor(F.sum("bytes") / most) + 1).alias("parts"))
-    dealt = items.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    sizes = sizes.groupBy("pivot").agg((F.floor(F.sum("bytes") / most) + 1).cast("int").alias("parts"))
+    dealt = items.join(small(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     block = F.collect_list(F.struct("rep", "root", payload)).alias(name)
-    return dealt.join(table.select("rep", payload), "rep").groupBy("pivot", "part").agg(block).drop("part")
+    return dealt.join(table.select("rep", payload), "rep").groupBy("pivot", "part", "parts").agg(block)
 
 
 def compared_blocks(members: DataFrame, table: DataFrame, payload: str, most: int, compare: Callable, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that `compare`, a mapInArrow function, finds in blocks of members outside and of all members of a pivot."""
+    """Links (a, b) that `compare`, a mapInArrow function, finds in blocks of members outside and of all members of a pivot.
+
+    Each pair of blocks is a key of its own, so a pivot of many members is spread over tasks.
+    """
     left = scratch.write(member_blocks(members.where("outside"), table, payload, "lefts", most), "lefts")
     right = scratch.write(member_blocks(members, table, payload, "rights", most), "rights")
-    return left.join(right, "pivot").select("lefts", "rights").mapInArrow(compare, "a long, b long")
+
+    def parts(blocks: DataFrame, name: str) -> DataFrame:
+        return small(blocks.select("pivot", F.col("parts").alias(name)).distinct())
+
+    def every(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    one = left.join(parts(right, "others"), "pivot").select("pivot", F.col("part").alias("l"), every("others").alias("r"), "lefts")
+    two = right.join(parts(left, "others"), "pivot").select("pivot", every("others").alias("l"), F.col("part").alias("r"), "rights")
+    return one.join(two, ["pivot", "l", "r"]).select("lefts", "rights").mapInArrow(compare, "a long, b long")

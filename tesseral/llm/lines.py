@@ -278,60 +278,86 @@ def _verified(apart: int):
 
 def _letter_counts(lines: list[str]) -> np.ndarray:
     """How often each class of characters occurs in each line."""
-    out = np.zeros((len(lines), 64), np.int32)
-    for i, line in enumerate(lines):
-        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % 64
-        out[i] = np.bincount(code, minlength=64)
-    return out
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 64
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(owner * 64 + code, minlength=len(lines) * 64).reshape(len(lines), 64).astype(np.int32)
+
+
+def _candidates(left: list[dict], right: list[dict], apart: int, keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines of two blocks that share a key, are of different roots and whose lengths are near enough."""
+    near = np.zeros((len(left), len(right)), bool)
+    for own, other in zip(keys[0].T, keys[1].T, strict=True):
+        near |= own[:, None] == other[None, :]
+    (n, m), (p, q) = ([np.array([f(x) for x in rows]) for rows in (left, right)] for f in (lambda x: len(x["norm"]), lambda x: x["root"]))
+    near &= p[:, None] != q[None, :]
+    near &= np.abs(n[:, None] - m[None, :]) * 100 <= apart * np.maximum(n[:, None], m[None, :])
+    return np.nonzero(near)
+
+
+#: Bytes of lines whose keys are found, and whose pairs are tried, together.
+LOT_BYTES = 1 << 20
 
 
 def _compared(apart: int):
     """Links between two blocks of lines: for each left line and root of right lines one, if there is any.
 
     Lines that share no key are no candidates. Of each left line and root the
-    first candidate is tried, then, where it isn't alike, some more at a time.
+    first candidate is tried, then, where it isn't alike, some more at a time;
+    many small pairs of blocks are worked on together.
     """
 
+    def links(lot: list[tuple[list[dict], list[dict]]]) -> tuple[list[int], list[int]]:
+        lines = [x for pair in lot for block in pair for x in block]
+        texts = [x["norm"] for x in lines]
+        keys, counts = simhash_blocks(texts), _letter_counts(texts)
+        sizes, reps, roots = np.array([len(t) for t in texts]), np.array([x["rep"] for x in lines]), np.array([x["root"] for x in lines])
+        at, found = 0, []
+        for left, right in lot:
+            middle, end = at + len(left), at + len(left) + len(right)
+            i, j = _candidates(left, right, apart, (keys[at:middle], keys[middle:end]))
+            found.append((i + at, j + middle))
+            at = end
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        most = apart * np.maximum(sizes[i], sizes[j]) // 100
+        # a candidate whose letters alone are too far apart goes before any turn
+        kept = [k + np.flatnonzero(_unlike(counts[i[k : k + PAIRS_AT_ONCE]], counts[j[k : k + PAIRS_AT_ONCE]]) <= most[k : k + PAIRS_AT_ONCE]) for k in range(0, len(i), PAIRS_AT_ONCE)]
+        kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        i, j, most = i[kept], j[kept], most[kept]
+        order = np.lexsort((j, roots[j], i))
+        i, j, most = i[order], j[order], most[order]
+        start = np.ones(len(i), bool)
+        start[1:] = (i[1:] != i[:-1]) | (roots[j[1:]] != roots[j[:-1]])
+        group = np.cumsum(start) - 1
+        done = np.zeros(int(start.sum()), bool)
+        turn, at_once = np.arange(len(i)) - np.flatnonzero(start)[group], 1
+        a, b = [], []
+        while len(i):
+            now = turn < at_once
+            linked = within([(texts[p], texts[q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], most[now].tolist())
+            won = np.flatnonzero(now)[linked]
+            _, first = np.unique(group[won], return_index=True)
+            a += reps[i[won[first]]].tolist()
+            b += reps[j[won[first]]].tolist()
+            done[group[won]] = True
+            rest = ~now & ~done[group]
+            i, j, most, group, turn = i[rest], j[rest], most[rest], group[rest], turn[rest] - at_once
+            at_once *= 4
+        return a, b
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(lot: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(lot)], names=["a", "b"])
+
+        lot, held = [], 0
         for batch in batches:
-            a, b = [], []
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                left, right = one.as_py(), two.as_py()
-                x, y = ([r["norm"] for r in rows] for rows in (left, right))
-                near = np.zeros((len(x), len(y)), bool)
-                for own, other in zip(simhash_blocks(x).T, simhash_blocks(y).T, strict=True):
-                    near |= own[:, None] == other[None, :]
-                roots = np.array([r["root"] for r in right])
-                near &= np.array([r["root"] for r in left])[:, None] != roots[None, :]
-                n, m = (np.array([len(t) for t in texts]) for texts in (x, y))
-                near &= np.abs(n[:, None] - m[None, :]) * 100 <= apart * np.maximum(n[:, None], m[None, :])
-                i, j = np.nonzero(near)
-                # a candidate whose letters alone are too far apart goes before any turn
-                most = apart * np.maximum(n[i], m[j]) // 100
-                one, two = _letter_counts(x), _letter_counts(y)
-                kept = [k + np.flatnonzero(_unlike(one[i[k : k + PAIRS_AT_ONCE]], two[j[k : k + PAIRS_AT_ONCE]]) <= most[k : k + PAIRS_AT_ONCE]) for k in range(0, len(i), PAIRS_AT_ONCE)]
-                kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                i, j, most = i[kept], j[kept], most[kept]
-                order = np.lexsort((j, roots[j], i))
-                i, j, most = i[order], j[order], most[order]
-                start = np.ones(len(i), bool)
-                start[1:] = (i[1:] != i[:-1]) | (roots[j[1:]] != roots[j[:-1]])
-                group = np.cumsum(start) - 1
-                done = np.zeros(int(start.sum()), bool)
-                turn, at_once = np.arange(len(i)) - np.flatnonzero(start)[group] if len(i) else group, 1
-                while len(i):
-                    now = turn < at_once
-                    linked = within([(x[p], y[q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], most[now].tolist())
-                    won = np.flatnonzero(now)[linked]
-                    _, first = np.unique(group[won], return_index=True)
-                    for k in won[first].tolist():
-                        a.append(left[i[k]]["rep"])
-                        b.append(right[j[k]]["rep"])
-                    done[group[won]] = True
-                    rest = ~now & ~done[group]
-                    i, j, most, group, turn = i[rest], j[rest], most[rest], group[rest], turn[rest] - at_once
-                    at_once *= 4
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                lot.append((one.as_py(), two.as_py()))
+                held += sum(len(x["norm"]) for block in lot[-1] for x in block)
+                if held >= LOT_BYTES:
+                    yield result(lot)
+                    lot, held = [], 0
+        if lot:
+            yield result(lot)
 
     return compare
 
@@ -388,6 +414,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     open_ = open_.join(centre, "pivot", "left").select("pivot", "rep", "root", (F.col("root") != F.coalesce("pr", "pivot")).alias("outside"))
     own = wanted.select(F.col("line").alias("rep"), "norm")
     rest = scratch.write(compared_blocks(scratch.write(open_, "open"), own, "norm", BLOCK_BYTES, _compared(apart), scratch), "links-rest")
+    scratch.drop("members", "named", "open", "lefts", "rights", "wanted")
     if not rest.isEmpty():
         roots = scratch.write(components(links.union(rest), scratch, "stars-rest"), "roots-rest")
 
