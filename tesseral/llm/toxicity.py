@@ -10,11 +10,15 @@ subsequences are known, landmarks and weights then fold into one table with a
 weight for each subsequence, so scoring a string costs a few look-ups for each
 character, however many landmarks there are.
 
-Training is by sentences of labelled documents: all strings of a sentence from a
-document that isn't toxic are negative; in a toxic document at least one string
-of one sentence is positive, and which one is settled in turns with the machine.
+Training is by sentences of labelled documents, string by string: all strings of a
+sentence from a document that isn't toxic are negative; in a toxic document at
+least one string of one sentence is positive, and which one is settled in turns
+with the machine. A string is a word (or letters set apart, joined again), so an
+insult of several words, each of which clean documents hold too, isn't learned.
 A document's score is the largest decision value over the strings of its whole
-text, made a probability by a logistic fit.
+text, by a logistic fit whose even odds are moved further into the gap between
+toxic and clean documents where there is one; it ranks as a probability does,
+but is no calibrated one.
 """
 
 from __future__ import annotations
@@ -48,8 +52,8 @@ TURNS = 3
 RIDGE = 5e-5
 #: The part of the positive side's weight that strings with letters put in have.
 PUT_IN = 0.5
-#: Strings without a label of their own that train a machine, at most.
-HARD = 4000
+#: Strings that train a machine, at most: insults, those of them that get letters put in, and strings of clean documents.
+MOST_INSULTS, MOST_VARIED, HARD = 1000, 80, 4000
 #: A string that only toxic documents hold is an insult where chance would do that less often than this.
 CHANCE = 1e-6
 
@@ -302,13 +306,13 @@ def fit(documents: Iterable[tuple[Iterable[str], bool]]) -> Model | None:
     for turn in range(TURNS):
         found = [i for i, _ in Counter(chosen).most_common()]
         found = [i for i in found if not seen[i]] or found
-        insults = [*sure, *(words[i] for i in found if not is_sure[i])][:1000]
+        insults = [*sure, *(words[i] for i in found if not is_sure[i])][:MOST_INSULTS]
         plain = list(dict.fromkeys(p for w in insults for p in windows(w)))
         if model is not None:  # windows of long words that don't hold the insult aren't positive
             cut = [windows(w) for w in insults]
             value = iter(_scores(model, [p for c in cut for p in c]).tolist())
             plain = list(dict.fromkeys(max([(next(value), p) for p in c])[1] for c in cut))
-        short = [w for w in insults[:80] if len(w) + 3 <= WIDEST]
+        short = [w for w in insults[:MOST_VARIED] if len(w) + 3 <= WIDEST]
         put_in = [p for w in short for v in _variants(w, rng) if v not in known for p in windows(v)]
         put_in = [p for p in dict.fromkeys(put_in) if p not in set(plain)]
         taken = {*plain, *put_in}
@@ -351,7 +355,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """A model from docs with a label of 0 or 1 in labels, by id.
 
     Of each label at most most_toxic and most_clean rows train the model, chosen
-    by a hash of the id; null labels and ids without a document are passed over.
+    by a hash of the id; null labels and ids without a document are passed over;
+    an id with both labels is toxic. Of what these rows hold, at most MOST_INSULTS
+    strings are positive, MOST_VARIED of them with letters put in, and HARD negative in a turn.
     Where a label has no row, there is no model.
     """
     named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null")
@@ -359,7 +365,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         named.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(most)
         for value, most in ((1, most_toxic), (0, most_clean))
     ]
-    chosen = pick[0].unionByName(pick[1]).dropDuplicates(["_id"])
+    # an id that is labelled both ways is toxic
+    chosen = pick[0].unionByName(pick[1]).groupBy("_id").agg(F.max("_label").alias("_label"))
     # at most most_toxic + most_clean rows of two numbers are broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
