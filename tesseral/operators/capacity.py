@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import capacity
 
@@ -37,3 +38,23 @@ def check_certificates(certificates: DataFrame, *, id_col: str = "request_no", t
 
     kind = certificates.schema[id_col].dataType.simpleString()
     return certificates.select(id_col, text_col).mapInArrow(check, f"{id_col} {kind}, verdict string, why string")
+
+
+def corpus(requests: DataFrame, *, id_col: str = "request_no", text_col: str = "request") -> DataFrame:
+    """(id, digest, certificate, sha256) of the requests that are proved infeasible."""
+    found = evaluate_requests(requests, id_col=id_col, text_col=text_col).where("certificate is not null")
+    return found.select(id_col, "digest", "certificate", F.sha2(F.encode("certificate", "utf-8"), 256).alias("sha256"))
+
+
+def reproduced(certificates: DataFrame, again: DataFrame, *, id_col: str = "request_no") -> DataFrame:
+    """(id, verdict, outcome): certificates checked anew and joined by id with a second corpus.
+
+    AGREE where both have the same bytes and the checker, which finds each number
+    another way, says VALID; else DISAGREE, and MISSING where the second has none.
+    """
+    checked = check_certificates(certificates, id_col=id_col).select(id_col, "verdict")
+    second = again.select(id_col, F.col("sha256").alias("_second"))
+    both = certificates.select(id_col, "sha256").join(checked, id_col).join(second, id_col, "left")
+    same = (F.col("sha256") == F.col("_second")) & (F.col("verdict") == "VALID")
+    outcome = F.when(F.col("_second").isNull(), "MISSING").when(same, "AGREE").otherwise("DISAGREE")
+    return both.select(id_col, "verdict", outcome.alias("outcome"))

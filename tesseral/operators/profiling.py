@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
-from . import geometry
+from . import gates, geometry
 
 #: No policy may ask for more than this.
 HARD = {
@@ -96,3 +96,26 @@ def aggregate(report: DataFrame) -> DataFrame:
     by = [F.count_if((F.col("status") == s) & F.col("reason").isNull()).alias(n) for n, s in names]
     out = report.groupBy("capture_id").agg(F.max(rank).alias("_r"), groups.alias("group_count"), *sums, *by)
     return out.select("capture_id", F.element_at(F.array(*map(F.lit, STATUSES)), F.col("_r")).alias("status"), *[c for c in out.columns if c not in ("capture_id", "_r")])
+
+
+#: The ways to part a capture into groups.
+PARTITIONS = ("layer-head-token", "layer-token", "layer-head-chunk")
+
+
+def profile_corpus(spark: SparkSession, captures: dict[str, tuple[str, str]], partitions: tuple[str, ...] = PARTITIONS, policy: Policy = Policy()) -> DataFrame:
+    """The profiles of all captures (name: capture and metadata file) under each partition, with both names."""
+    out = None
+    for name, (capture, metadata) in captures.items():
+        for partition in partitions:
+            found = profile_capture(spark, capture, metadata, replace(policy, partition=partition))
+            found = found.select(F.lit(name).alias("case"), F.lit(partition).alias("partition"), "*")
+            out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("a corpus has a capture at least")
+    return out
+
+
+def corpus_coverage(spark: SparkSession, report: DataFrame, cases: list[str], partitions: tuple[str, ...] = PARTITIONS) -> DataFrame:
+    """Whether a corpus' report covers every case under every partition, and nothing else."""
+    wanted = spark.createDataFrame([(c, p) for c in cases for p in partitions], "`case` string, partition string")
+    return gates.coverage(wanted, report, ["case", "partition"])

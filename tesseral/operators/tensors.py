@@ -62,6 +62,31 @@ def chain_restored(residuals: DataFrame, chunk: str, pos: str) -> DataFrame:
     return residuals.withColumn("restored", F.pmod(F.sum("residual").over(run), F.lit(WORD)))
 
 
+def lifted_values(keys: DataFrame, values: DataFrame, on: list[str], how: str = "xor") -> DataFrame:
+    """on, word, lifted: key words beside value words less them, position by position; how is xor or sub."""
+    both = keys.select(*on, "word").join(values.select(*on, F.col("word").alias("_v")), on)
+    lifted = F.col("_v").bitwiseXOR(F.col("word")) if how == "xor" else F.pmod(F.col("_v") - F.col("word"), F.lit(WORD))
+    return both.select(*on, "word", lifted.alias("lifted"))
+
+
+def restored_values(lifted: DataFrame, on: list[str], how: str = "xor") -> DataFrame:
+    """on, word: the value words of lifted_values."""
+    value = F.col("lifted").bitwiseXOR(F.col("word")) if how == "xor" else F.pmod(F.col("lifted") + F.col("word"), F.lit(WORD))
+    return lifted.select(*on, value.alias("word"))
+
+
+def concatenated(chunks: DataFrame) -> DataFrame:
+    """(tensor_id, dtype, payload): decoded chunks put together in their order. A tensor is gathered in one task, so it must fit there."""
+    parts = chunks.groupBy("tensor_id", "dtype").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "payload"))).alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [b"".join(x["payload"] for x in parts.as_py()) for parts in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["tensor_id", "dtype", "payload"])
+
+    return parts.mapInArrow(join, "tensor_id string, dtype string, payload binary")
+
+
 def byte_planes(words: DataFrame, column: str = "word") -> DataFrame:
     """A row (plane, byte) for each of the four bytes of a word, the highest first."""
     planes = F.array(*[F.struct(F.lit(k).alias("plane"), F.shiftright(column, 24 - 8 * k).bitwiseAND(F.lit(255)).alias("byte")) for k in range(4)])

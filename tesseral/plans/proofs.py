@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import capacity, codec, lossy, research
 from ..operators import capacity as bounds
 from ..operators import gates, geometry, retrieval, tensors
-from ..sources import files
+from ..sources import captures, files
 from ..sources.fixtures import typed_words
 from .queries import CHUNK, NORMS, PAIRS, UNITS, WORDS, event_chunks, lagged, query, rounded, table, unit, vectors
 
@@ -460,16 +460,72 @@ def tampered_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.check_certificates(found.select("request_no", other.alias("certificate"))).select("request_no", "verdict")
 
 
-@query(f"WITH {SPHERES} SELECT request_no, bound::VARCHAR AS claimed, true AS reproduced, bound < states AS decisive FROM o WHERE outcome = 'INFEASIBLE_UNDER_MODEL'")
+@query(f"WITH {SPHERES} SELECT request_no, 'VALID' AS verdict, CASE WHEN request_no % 11 = 0 THEN 'MISSING' WHEN request_no % 13 = 0 THEN 'DISAGREE' ELSE 'AGREE' END AS outcome FROM o WHERE outcome = 'INFEASIBLE_UNDER_MODEL'")
 def reproduced_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Certificates joined by digest with a second evaluation of their requests, from shuffled rows."""
+    """A corpus of certificates against a second one from shuffled requests, of which some are gone and some are changed."""
     requests = sphere_requests(spark, sf_dir)
-    stored = bounds.evaluate_requests(requests).where("certificate is not null")
-    again = bounds.evaluate_requests(requests.repartition(3)).select(F.col("digest").alias("again"), F.col("certificate").alias("second"))
-    both = stored.join(again, stored["digest"] == again["again"], "left")
-    claimed = F.get_json_object("certificate", "$.claimed_upper_bound")
-    states = F.get_json_object("certificate", "$.required_states")
-    return both.select("request_no", claimed.alias("claimed"), F.col("certificate").eqNullSafe(F.col("second")).alias("reproduced"), (claimed.cast("long") < states.cast("long")).alias("decisive"))
+    again = bounds.corpus(requests.where("request_no % 11 <> 0").repartition(3))
+    again = again.withColumn("sha256", F.when(F.col("request_no") % 13 == 0, F.reverse("sha256")).otherwise(F.col("sha256")))
+    return bounds.reproduced(bounds.corpus(requests), again)
+
+
+EXPORTS = (
+    "x AS (SELECT 'cache_' || kind || '_l' || label AS name, kind, 'f16le' AS dtype, 64 AS embedding, count(*) AS cells, count(*) * 128 + CASE WHEN label = 3 THEN 2 ELSE 0 END AS bytes"
+    " FROM embeddings, (VALUES ('k'), ('v')) k(kind) GROUP BY label, kind)"
+)
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as layers of an export, keys and values; the files of label 3 are of a broken length."""
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("active_cells"))
+    rows = rows.withColumn("kind", F.explode(F.array(F.lit("k"), F.lit("v"))))
+    name = F.concat(F.lit("cache_"), "kind", F.lit("_l"), F.col("label").cast("string"))
+    size = F.col("active_cells") * 128 + F.when(F.col("label") == 3, 2).otherwise(0)
+    return rows.select(name.alias("name"), "kind", F.lit("f16le").alias("dtype"), F.lit(64).alias("embedding"), "active_cells", size.alias("bytes"))
+
+
+@query(
+    f"WITH {EXPORTS} SELECT name AS id, regexp_extract(name, '_l([0-9]+)$', 1)::INT AS layer, CASE kind WHEN 'k' THEN 'key' ELSE 'value' END AS kind,"
+    " coalesce(sum(bytes) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_bytes, bytes AS byte_length, cells AS token_count, 4 AS heads, 16::BIGINT AS dimension,"
+    " bytes = cells * 128 AS valid FROM x"
+)
+def capture_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.layout(exported(spark, sf_dir), 4)
+
+
+@query(
+    f"WITH {EXPORTS}, b AS (SELECT CASE kind WHEN 'k' THEN 'keys' ELSE 'values' END AS bundle, name, bytes FROM x UNION ALL SELECT 'all', name, bytes FROM x)"
+    " SELECT bundle, name, coalesce(sum(bytes) OVER (PARTITION BY bundle ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_bytes, bytes AS byte_length FROM b"
+)
+def bundle_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.bundles(exported(spark, sf_dir))
+
+
+@query(
+    "WITH t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS token, embedding FROM embeddings),"
+    " w AS (SELECT label, token, i, (embedding[i + 1]::BIT::BIGINT & 4294967295) AS word FROM t, range(64) r(i))"
+    " SELECT label, count(*) // 64 AS tokens, sum((token + 1) * (i + 1) * (word % 65536))::BIGINT AS weighed FROM w GROUP BY label"
+)
+def transposed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that lie dimension by dimension, turned round, weighed by token and dimension."""
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.array([x["embedding"] for x in rows.as_py()], np.float32) for rows in batch.column(1)]
+            columns = [pa.array([len(x) for x in own], pa.int64()), pa.array([x.shape[1] for x in own], pa.int64()), pa.array([x.T.astype("<f4").tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["tensor_id", "tokens", "dimension", "payload"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tokens, dimension, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                words = np.frombuffer(raw, "<u4").reshape(tokens, dimension).astype(np.int64) % 65536
+                out.append(int((words * np.outer(np.arange(1, tokens + 1), np.arange(1, dimension + 1))).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["label", "tokens", "weighed"])
+
+    laid = rows.mapInArrow(lay, "tensor_id int, tokens long, dimension long, payload binary")
+    return captures.token_major(laid, width=4).mapInArrow(weigh, "label int, tokens long, weighed long")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal = 0 THEN '0' ELSE rtrim(rtrim(printf('%.4f', -abs(c_acctbal) / 10000), '0'), '.') END AS canonical FROM (SELECT c_custkey, trunc(c_acctbal) AS c_acctbal FROM customer) WHERE abs(c_acctbal) < 10000")

@@ -417,16 +417,17 @@ def certificate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH k AS (SELECT o_orderkey, o_custkey, o_totalprice::FLOAT::BIT::BIGINT & 4294967295 AS word FROM orders),"
-    " ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM k)"
-    " SELECT a.o_orderkey, xor(a.word, coalesce(b.word, 0)) AS lifted FROM ranked a LEFT JOIN ranked b ON a.o_custkey = b.o_custkey AND a.i = b.i + 1"
+    "WITH k AS (SELECT o_orderkey, o_totalprice::FLOAT::BIT::BIGINT & 4294967295 AS k, o_custkey::FLOAT::BIT::BIGINT & 4294967295 AS v FROM orders)"
+    " SELECT o_orderkey, xor(v, k) AS by_xor, (v - k + 4294967296) % 4294967296 AS by_sub, v AS restored FROM k"
 )
-def kv_lifting_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    words = tensors.float_words(orders, "o_totalprice", ["o_orderkey", "o_custkey"])
-    lifted = tensors.xor_residuals(words, "o_custkey", "o_orderkey")
-    return lifted.select("o_orderkey", F.col("residual").alias("lifted"))
-
+def kv_lifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined by position, the second lifted by the first, and restored."""
+    rows, on = table(spark, sf_dir, "orders"), ["o_orderkey"]
+    k, v = (tensors.float_words(rows, name, on) for name in ("o_totalprice", "o_custkey"))
+    xor, sub = (tensors.lifted_values(k, v, on, how) for how in ("xor", "sub"))
+    back = tensors.restored_values(sub, on, "sub").withColumnRenamed("word", "restored")
+    both = xor.select(*on, F.col("lifted").alias("by_xor")).join(sub.select(*on, F.col("lifted").alias("by_sub")), on)
+    return both.join(back, on)
 
 
 @query()

@@ -30,7 +30,7 @@ def markdown(df: DataFrame, title: str) -> str:
 
 
 def main(args: list[str] | None = None) -> int:
-    """encode, decode and inspect files; evaluate and check capacity documents; verify bundles."""
+    """encode, decode and inspect files; evaluate, bound and check capacity documents; verify bundles. construct and derive-kv are always refused."""
     parser = argparse.ArgumentParser(prog="tesseral")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("encode", "decode"):
@@ -40,7 +40,7 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--dtype", choices=sorted(codec.WIDTHS), default="f32")
         p.add_argument("--chunk-values", type=int, default=1 << 18)
         p.add_argument("--stride", type=int)
-    for name in ("inspect", "evaluate", "check", "verify"):
+    for name in ("inspect", "evaluate", "bound", "check", "verify", "construct", "derive-kv"):
         commands.add_parser(name).add_argument("input", type=Path)
     commands.choices["evaluate"].add_argument("--bundle", type=Path)
     a = parser.parse_args(args)
@@ -65,6 +65,13 @@ def main(args: list[str] | None = None) -> int:
                 files.write_bundle(a.bundle, {k: v.encode() for k, v in parts.items() if v})
             print(json.dumps(found))
             return found["exit_code"]
+        elif a.command == "bound":
+            found = capacity.evaluate(a.input.read_text())
+            print(json.dumps({k: found[k] for k in ("digest", "upper_bound", "reason")}))
+            return 0 if found["upper_bound"] else capacity.EXIT[found["outcome"]]
+        elif a.command in ("construct", "derive-kv"):
+            print(f"{a.command} is refused: finite bounds only rule out, they never construct", file=sys.stderr)
+            return capacity.EXIT["REFUSED"]
         elif a.command == "check":
             verdict, why = capacity.check_json(a.input.read_text())
             print(verdict, why)

@@ -11,6 +11,7 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,40 @@ def parse_input(spec: str) -> tuple[str, str, str]:
     return label, dtype, path
 
 
+def parse_named_input(spec: str) -> tuple[str, str]:
+    """name:path"""
+    name, _, path = spec.partition(":")
+    if not name or not path:
+        raise ValueError("an input is name:path")
+    return name, path
+
+
+#: Other names of the modes (fixed values).
+MODE_NAMES = {
+    "i4": "lossy-i4", "qatq-i4": "lossy-i4", "f32": "lossless-f32", "exact-f32": "lossless-f32",
+    "standard-turboquant-q4": "turboquant-q4", "tq-q4": "turboquant-q4",
+    "qatq-phase1": "phase1-q4", "qatq-q4": "phase1-q4", "quaternion-q4": "phase1-q4", "qatq-exact": "exact",
+}
+
+
+def parse_mode(text: str) -> str:
+    """A mode by any of its names, in any case."""
+    name = text.strip().lower()
+    name = MODE_NAMES.get(name, name)
+    if name not in codec.MODES or text.strip().lower() == "exact":
+        raise ValueError(f"no mode {text!r}")
+    return name
+
+
+def parse_seed(text: str) -> int:
+    """An unsigned number of 64 bits, decimal or, after 0x, hexadecimal."""
+    m = re.fullmatch(r"0[xX]([0-9a-fA-F]+)|\+?([0-9]+)", text, re.ASCII)
+    value = -1 if not m else int(m[1], 16) if m[1] else int(m[2])
+    if not 0 <= value < 1 << 64:
+        raise ValueError(f"no seed {text!r}")
+    return value
+
+
 # Manifests: blocks of key = "value" under [fixture].
 
 KEYS = ("group", "name", "path", "shape", "notes")
@@ -247,28 +282,33 @@ def check_capture(meta: dict, size: int) -> None:
 
 def read_capture(spark: SparkSession, capture: str, metadata: str) -> DataFrame:
     """(tensor_id, layer, kind, heads, dimension, token, vec): one row for each token of each tensor, its heads side by side."""
-    import numpy as np
-
     text = spark.read.text(metadata, wholetext=True).first().value
     meta = json.loads(text, object_pairs_hook=_unique)
     files = spark.read.format("binaryFile").load(capture)
     check_capture(meta, files.select("length").first().length)
-    tensors = spark.createDataFrame([(t["id"], t["layer"], t["kind"], t["offset_bytes"], t["byte_length"], t["heads"], t["dimension"], t["token_start"]) for t in meta["tensors"]], "tensor_id string, layer int, kind string, at long, size long, heads int, dimension int, first long")
-    dtype = meta["dtype"]
-    cut = files.select("content").join(F.broadcast(tensors)).withColumn("payload", F.expr("substring(content, int(at + 1), int(size))")).drop("content", "at", "size")
+    dtype, tensors = meta["dtype"], meta["tensors"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = np.frombuffer(r["payload"], "<u2" if dtype != "f32" else "<f4")
-                values = raw.view("<f2").astype(np.float64) if dtype == "f16" else (raw.astype(np.uint32) << 16).view(np.float32).astype(np.float64) if dtype == "bf16" else raw.astype(np.float64)
-                tokens = values.reshape(-1, r["heads"] * r["dimension"])
-                n = len(tokens)
-                columns = [pa.array([r[k]] * n, t) for k, t in (("tensor_id", pa.string()), ("layer", pa.int32()), ("kind", pa.string()), ("heads", pa.int32()), ("dimension", pa.int32()))]
-                columns += [pa.array(range(n), pa.int64()), pa.array(tokens.tolist(), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["tensor_id", "layer", "kind", "heads", "dimension", "token", "vec"])
-
-    return cut.mapInArrow(rows, "tensor_id string, layer int, kind string, heads int, dimension int, token long, vec array<double>")
+            for content in batch.column(0):
+                data = content.as_buffer()  # tensors are cut from it without a copy
+                for t in tensors:
+                    raw = np.frombuffer(data, "<u2" if dtype != "f32" else "<f4", t["byte_length"] // codec.WIDTHS[dtype], t["offset_bytes"])
+                    values = raw.view("<f2").astype(np.float64) if dtype == "f16" else (raw.astype(np.uint32) << 16).view(np.float32).astype(np.float64) if dtype == "bf16" else raw.astype(np.float64)
+                    tokens = values.reshape(-1, t["heads"] * t["dimension"])
+                    n = len(tokens)
+                    columns = [pa.array([t[k]] * n, kind) for k, kind in (("id", pa.string()), ("layer", pa.int32()), ("kind", pa.string()), ("heads", pa.int32()), ("dimension", pa.int32()))]
+                    columns += [pa.array(range(n), pa.int64()), pa.array(tokens.tolist(), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tensor_id", "layer", "kind", "heads", "dimension", "token", "vec"])
+
+    return files.select("content").mapInArrow(rows, "tensor_id string, layer int, kind string, heads int, dimension int, token long, vec array<double>")
+
+
+def capture_digests(spark: SparkSession, capture: str, metadata: str) -> DataFrame:
+    """(capture_bytes, capture_sha256, metadata_sha256) of a capture and its description."""
+    one = spark.read.format("binaryFile").load(capture).select(F.col("length").alias("capture_bytes"), F.sha2("content", 256).alias("capture_sha256"))
+    two = spark.read.format("binaryFile").load(metadata).select(F.sha2("content", 256).alias("metadata_sha256"))
+    return one.join(F.broadcast(two))  # one row each
 
 
 def _unique(pairs: list) -> dict:
