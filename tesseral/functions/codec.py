@@ -480,13 +480,19 @@ def container(payloads: list[bytes]) -> bytes:
     return head + struct.pack(">Q", fnv1a64(body, OFFSET)) + body
 
 
-def payloads(data: bytes, most_chunks: int = 1 << 20, most_total: int = 1 << 32) -> list[bytes]:
-    """The payloads of a container, after all that its headers and its checksum say has been checked."""
+def container_head(data: bytes, most_chunks: int = 1 << 20, most_total: int = 1 << 32) -> tuple[int, int, int]:
+    """(values, chunks, checksum) of a container, from its first 32 bytes."""
     if len(data) < 32 or data[:4] != CONTAINER_MAGIC or data[4] != CONTAINER_VERSION or data[5] != MODES["exact"]:
         raise CodecError("not a container of this version")
     total, many = struct.unpack_from(">QI", data, 8)
     if data[6:8] != b"\0\0" or data[20:24] != b"\0\0\0\0" or not 0 < many <= most_chunks or total > most_total:
         raise CodecError("a container's header is not valid")
+    return total, many, struct.unpack_from(">Q", data, 24)[0]
+
+
+def payloads(data: bytes, most_chunks: int = 1 << 20, most_total: int = 1 << 32) -> list[bytes]:
+    """The payloads of a container, after all that its headers and its checksum say has been checked."""
+    total, many, checksum = container_head(data, most_chunks, most_total)
     out, at = [], 32
     for _ in range(many):
         size = struct.unpack_from(">I", data, at)[0] if at + 4 <= len(data) else len(data)
@@ -496,7 +502,7 @@ def payloads(data: bytes, most_chunks: int = 1 << 20, most_total: int = 1 << 32)
         at += 4 + size
     if at != len(data):
         raise CodecError("bytes after the last chunk")
-    if fnv1a64(data[32:]) != struct.unpack_from(">Q", data, 24)[0]:
+    if fnv1a64(data[32:]) != checksum:
         raise CodecError("the container's checksum differs")
     if len({describe(p)[2] for p in out}) != 1 or sum(read_header(p).count for p in out) != total:
         raise CodecError("chunks are of several types or of another length in all")

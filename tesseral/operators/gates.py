@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,3 +117,36 @@ def payload_sizes(tensors: DataFrame, modes: list[str]) -> DataFrame:
 def size_pivot(sizes: DataFrame, modes: list[str]) -> DataFrame:
     """One row for each dataset, with the bytes of each codec in a column of its name."""
     return sizes.groupBy("dataset").pivot("codec", modes).agg(F.sum("bytes"))
+
+
+def timed(tensors: DataFrame, runs: int = 5) -> DataFrame:
+    """(tensor_id, n, strategy, ratio, exact_bits, encode_us, decode_us, decode_ns_per_value): the best of several runs, on one core."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                payload, encode = best(lambda raw=raw: codec.encode_exact(raw))
+                (back, _), decode = best(lambda payload=payload: codec.decode_exact(payload))
+                n = len(raw) // 4
+                rows.append((name, n, codec.describe(payload)[1], len(payload) / len(raw) if raw else 1.0, back == raw, encode, decode, decode * 1000 / max(1, n)))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), *[pa.float64()] * 3]
+            names = ["tensor_id", "n", "strategy", "ratio", "exact_bits", "encode_us", "decode_us", "decode_ns_per_value"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def best(work):
+        least = float("inf")
+        for _ in range(max(1, runs)):
+            start = time.perf_counter()
+            out = work()
+            least = min(least, (time.perf_counter() - start) * 1e6)
+        return out, least
+
+    schema = "tensor_id string, n long, strategy string, ratio double, exact_bits boolean, encode_us double, decode_us double, decode_ns_per_value double"
+    return tensors.select("tensor_id", "payload").mapInArrow(measure, schema)
+
+
+def rolled_up(sizes: DataFrame) -> DataFrame:
+    """(candidate, chunks, bytes, selected, best_bytes): each candidate of predictor_sizes, how often it is the smallest and what that gives."""
+    by = sizes.groupBy("candidate")
+    return by.agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.count_if("selected").alias("selected"), F.sum(F.when(F.col("selected"), F.col("bytes")).otherwise(0)).alias("best_bytes"))

@@ -116,6 +116,9 @@ def through(records: DataFrame, mode: str) -> DataFrame:
     return records.select("vec_id", "vec").mapInArrow(change, "vec_id long, vec array<float>")
 
 
+# Fixed values below: the places of the queries, and the numbers in the probes.
+
+
 def query_places(n: int) -> list[int]:
     """Seven fixed places of n, without repetition."""
     return list(dict.fromkeys([0, min(1, n - 1), n // 4, n // 2, 3 * n // 4, max(0, n - 2), n - 1])) if n else []

@@ -29,6 +29,37 @@ def markdown(df: DataFrame, title: str) -> str:
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
 
 
+def _payloads(path: Path):
+    """The payloads of a container file, or the one that a file is."""
+    with open(path, "rb") as data:
+        magic = data.read(4)
+    return files.container_payloads(path) if magic == codec.CONTAINER_MAGIC else [path.read_bytes()]
+
+
+def evidence(request: str, found: dict) -> dict[str, bytes]:
+    """The five files of an outcome's bundle."""
+    told = {k: v for k, v in found.items() if k != "certificate"}
+    normalized = capacity.normalize(capacity.parse(request)) if found["digest"] else None
+    lines = [f"# {found['outcome']}", "", *(f"* {k}: {v}" for k, v in told.items() if v is not None and k != "outcome")]
+    parts = {"request.normalized.json": normalized, "outcome.json": told, "metrics.json": normalized and normalized["resource_limits"]}
+    out = {name: (json.dumps(value, indent=2) + "\n").encode() for name, value in parts.items()}
+    return out | {"certificate.json": (found["certificate"] or "null").encode(), "report.md": ("\n".join(lines) + "\n").encode()}
+
+
+def profile_files(report: DataFrame, meta: dict, policy: object) -> dict[str, bytes]:
+    """The five files of a profile's bundle: the capture, the groups, their summary, the sampling plan and the totals."""
+    from ..operators import profiling
+
+    groups = [r.asDict() for r in report.orderBy("group_id").limit(MOST_ROWS + 1).collect()]
+    if len(groups) > MOST_ROWS:
+        raise ValueError(f"a report has at most {MOST_ROWS} groups")
+    plan = {"seed": policy.seed, "max_pairs": policy.max_pairs, "exact_vector_threshold": policy.exact_vector_threshold, "groups": [{"group_id": g["group_id"], "evaluated_pairs": g["evaluated_pairs"], "status": g["status"]} for g in groups]}
+    totals = profiling.aggregate(report).first().asDict()
+    parts = {"capture-manifest.json": meta, "geometry.json": groups, "sampling-plan.json": plan, "metrics.json": totals}
+    summary = markdown(report.select("group_id", "status", "vector_count", "finite_vector_count", "evaluated_pairs", "mean_cosine"), "Geometry")
+    return {name: (json.dumps(value, indent=2) + "\n").encode() for name, value in parts.items()} | {"summary.md": summary.encode()}
+
+
 def main(args: list[str] | None = None) -> int:
     """encode, decode and inspect files; evaluate, bound and check capacity documents; verify bundles. construct and derive-kv are always refused."""
     parser = argparse.ArgumentParser(prog="tesseral")
@@ -46,23 +77,18 @@ def main(args: list[str] | None = None) -> int:
     a = parser.parse_args(args)
     try:
         if a.command == "encode":
-            parts = codec.chunks(a.input.read_bytes(), a.dtype, a.chunk_values)
-            files.write_atomic(a.output, [codec.container([codec.encode_exact(p, a.dtype, a.stride) for p in parts])])
+            files.encode_file(a.input, a.output, dtype=a.dtype, chunk_values=a.chunk_values, stride=a.stride)
         elif a.command == "decode":
-            data = a.input.read_bytes()
-            parts = codec.payloads(data) if data[:4] == codec.CONTAINER_MAGIC else [data]
-            files.write_atomic(a.output, [codec.decode_exact(p)[0] for p in parts])
+            files.write_atomic(a.output, (codec.decode_exact(p)[0] for p in _payloads(a.input)))
         elif a.command == "inspect":
-            data = a.input.read_bytes()
-            for p in codec.payloads(data) if data[:4] == codec.CONTAINER_MAGIC else [data]:
+            for p in _payloads(a.input):
                 header, strategy, dtype = codec.describe(p)
                 print(json.dumps({"values": header.count, "strategy": strategy, "dtype": dtype, "bytes": len(p)}))
         elif a.command == "evaluate":
             text = a.input.read_text()
             found = capacity.evaluate(text)
             if a.bundle:
-                parts = {"request.json": text, "outcome.json": json.dumps({k: v for k, v in found.items() if k != "certificate"}), "certificate.json": found["certificate"]}
-                files.write_bundle(a.bundle, {k: v.encode() for k, v in parts.items() if v})
+                files.write_bundle(a.bundle, evidence(text, found))
             print(json.dumps(found))
             return found["exit_code"]
         elif a.command == "bound":

@@ -102,6 +102,7 @@ def parse_seed(text: str) -> int:
 
 # Manifests: blocks of key = "value" under [fixture].
 
+#: The keys of a fixture in a manifest.
 KEYS = ("group", "name", "path", "shape", "notes")
 
 
@@ -160,20 +161,74 @@ def write_atomic(path: str | Path, parts: Iterator[bytes] | list[bytes]) -> None
         raise
 
 
-def write_container(encoded: DataFrame, path: str | Path) -> None:
-    """One container file of encoded chunks (chunk_id, encoded), in their order; a few chunks are held at a time.
+def encode_file(source: str | Path, target: str | Path, *, dtype: str = "f32", chunk_values: int = 1 << 18, stride: int | None = None) -> int:
+    """A container of a raw tensor file, which is read chunk by chunk; the number of chunks."""
+
+    def parts() -> Iterator[bytes]:
+        size = chunk_values * codec.WIDTHS[dtype]
+        with open(source, "rb") as raw:
+            part = raw.read(size)
+            while True:
+                yield codec.encode_exact(part, dtype, stride)
+                part = raw.read(size)
+                if not part:
+                    return
+
+    if not 0 < chunk_values <= codec.MOST_VALUES:
+        raise codec.CodecError("a chunk's size is out of range")
+    return _write_parts(parts(), target)
 
-    The checksum comes before the chunks it is of, so the file is finished by writing it last.
+
+def container_payloads(path: str | Path, *, checked: bool = True) -> Iterator[bytes]:
+    """The payloads of a container file, one held at a time.
+
+    With `checked` the file is read twice: lengths, counts and checksum are
+    settled before the first payload is given.
     """
     from ..functions.fnv import fnv1a64
 
+    def walk() -> Iterator[bytes]:
+        with open(path, "rb") as data:
+            data.seek(32)
+            for _ in range(many):
+                head = data.read(4)
+                payload = data.read(int.from_bytes(head, "big")) if len(head) == 4 else b""
+                if len(head) < 4 or len(payload) != int.from_bytes(head, "big"):
+                    raise codec.CodecError("a container breaks off")
+                yield payload
+            if data.read(1):
+                raise codec.CodecError("bytes after the last chunk")
+
+    with open(path, "rb") as data:
+        total, many, checksum = codec.container_head(data.read(32))
+    if checked:
+        state, count, kinds = None, 0, set()
+        for payload in walk():
+            part = len(payload).to_bytes(4, "big") + payload
+            state = fnv1a64(part) if state is None else fnv1a64(part, state)
+            header, _, dtype = codec.describe(payload)
+            count, kinds = count + header.count, kinds | {dtype}
+        if state != checksum or count != total or len(kinds) != 1:
+            raise codec.CodecError("a container's checksum, length or types differ")
+    yield from walk()
+
+
+def write_container(encoded: DataFrame, path: str | Path) -> None:
+    """One container file of encoded chunks (chunk_id, encoded), in their order; a few chunks are held at a time."""
+    rows = encoded.select("chunk_id", "encoded").orderBy("chunk_id").toLocalIterator()
+    _write_parts((bytes(r.encoded) for r in rows), path)
+
+
+def _write_parts(payloads: Iterator[bytes], path: str | Path) -> int:
+    """A container file of payloads. The checksum comes before the chunks it is of, so the file is finished by writing it last."""
+    from ..functions.fnv import fnv1a64
+
     target, many, total, state = Path(path), 0, 0, None
     handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
     try:
         with os.fdopen(handle, "wb") as out:
             out.write(b"\0" * 32)
-            for row in encoded.select("chunk_id", "encoded").orderBy("chunk_id").toLocalIterator():
-                payload = bytes(row.encoded)
+            for payload in payloads:
                 part = len(payload).to_bytes(4, "big") + payload
                 state = fnv1a64(part) if state is None else fnv1a64(part, state)
                 total, many = total + codec.read_header(payload, "exact").count, many + 1
@@ -187,6 +242,7 @@ def write_container(encoded: DataFrame, path: str | Path) -> None:
     except BaseException:
         Path(name).unlink(missing_ok=True)
         raise
+    return many
 
 
 def container_rows(files: DataFrame, *, id_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -258,6 +314,7 @@ def verify_bundle(folder: str | Path) -> list[str]:
 
 # Captures: tensors at offsets of one file, described by strict JSON.
 
+#: The fields of a capture's description and of its tensors.
 CAPTURE = {"schema_version", "capture_id", "model", "model_family", "runtime", "runtime_version", "prompt_class", "prompt_sha256", "context_length", "dtype", "tensors"}
 TENSOR = {"id", "offset_bytes", "byte_length", "layer", "kind", "rope_stage", "token_start", "token_count", "heads", "dimension", "layout"}
 

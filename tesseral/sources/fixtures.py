@@ -26,6 +26,9 @@ def _upper_half(values: np.ndarray) -> np.ndarray:
     return (values.astype(F32).view(np.uint32) & np.uint32(0xFFFF0000)).view(F32)
 
 
+# The numbers in the generators below are fixed values: the published sizes and checksums depend on them.
+
+
 def ramp(n: int = 8192) -> np.ndarray:
     state = _congruential(n, 0x51415451, False)
     base = (state >> 16).astype(F32) / F32(65535) * F32(2) - F32(1)

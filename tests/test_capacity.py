@@ -6,6 +6,7 @@ import pytest
 from tesseral.functions import capacity
 from tesseral.operators.capacity import check_certificates, evaluate_requests
 
+#: Published bounds and digests.
 GOLDEN = [
     (64, 8, 421688057462785),
     (64, 16, 26184380591),
@@ -17,6 +18,7 @@ GOLDEN = [
     (256, 64, 12071934357881141822097984615890981597),
     (256, 96, 13683528021137272041170604),
 ]
+#: The published sample request.
 EXAMPLE = {
     "schema_version": 1,
     "request_id": "binary-128-d48-48bit",

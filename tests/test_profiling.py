@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from tesseral.operators import profiling
+from tesseral.plans import reports
+from tesseral.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +52,19 @@ def test_samples_and_refusals(spark, capture):
 def test_policies(bad):
     with pytest.raises(ValueError):
         profiling.Policy(**bad)
+
+
+def test_the_bundle_of_a_profile(spark, capture, tmp_path):
+    kv, meta, _ = capture
+    report = profiling.profile_capture(spark, kv, meta)
+    parts = reports.profile_files(report, json.loads(open(meta).read()), profiling.Policy())
+    files.write_bundle(tmp_path / "b", parts)
+    assert files.verify_bundle(tmp_path / "b") == [] and set(parts) == {"capture-manifest.json", "geometry.json", "summary.md", "sampling-plan.json", "metrics.json"}
+    assert [g["group_id"] for g in json.loads(parts["geometry.json"])] == ["l0.k:head:0", "l0.k:head:1"]
+    assert json.loads(parts["metrics.json"])["group_count"] == 2
+
+
+def test_status_of_groups_that_are_sampled_for_their_pairs(spark, capture):
+    kv, meta, _ = capture
+    some = profiling.profile_capture(spark, kv, meta, profiling.Policy(max_pairs=100, max_spectral_dimension=1)).collect()
+    assert {r.status for r in some} == {"DETERMINISTIC_SAMPLE"}

@@ -26,6 +26,7 @@ def test_capacity_on_the_command_line(tmp_path, capsys):
     request, bundle = tmp_path / "r.json", tmp_path / "bundle"
     request.write_text(json.dumps(EXAMPLE))
     assert main(["evaluate", str(request), "--bundle", str(bundle)]) == 1
+    assert {p.name for p in bundle.iterdir()} == {"manifest.json", "request.normalized.json", "outcome.json", "certificate.json", "report.md", "metrics.json"}
     assert main(["verify", str(bundle)]) == 0 and main(["check", str(bundle / "certificate.json")]) == 0
     assert main(["evaluate", str(request), "--bundle", str(bundle)]) == 5
     (bundle / "certificate.json").write_text("{}")
@@ -50,3 +51,11 @@ def test_gates(spark):
     found = {r.tensor_id: r for r in gates.competitive(fixtures.fixtures(spark)).collect()}
     assert found["bf16-kv-ramp-64x8x16"].zstd_bytes == 15285 and found["bf16-kv-wave-128x8x16"].zstd_bytes == 19003
     assert found["f32-noisy-pass-through-64x12x16"].zstd_bytes == 44539 and all(r.exact_bits for r in found.values())
+
+
+def test_timings_and_the_policies_over_them(spark):
+    found = gates.timed(fixtures.fixtures(spark).where("grp = 'public'"), runs=2)
+    rows = found.collect()
+    assert len(rows) == 4 and all(r.exact_bits and r.encode_us > 0 and r.decode_ns_per_value > 0 for r in rows)
+    slow = gates.limited(found, max_ns_per_value=1e9, policy="production-kv").collect()
+    assert all(r.passed for r in slow) and not any(r.passed for r in gates.limited(found, max_decode_us=1e-9).collect() if r.strategy != "raw-bits")
