@@ -341,7 +341,7 @@ def partitioned(tensors: DataFrame, mode: str, chunk_tokens: int = 256) -> DataF
     return heads.select(name.alias("group_id"), F.col("token").alias("pos"), F.slice("vec", F.col("head") * F.col("dimension") + 1, F.col("dimension")).alias("vec"))
 
 
-def profile(vectors: DataFrame, *, exact_vectors: int = EXACT_VECTORS, most_pairs: int = MOST_PAIRS, seed: int = SEED, near: float = NEAR_DUPLICATE, thresholds: tuple[float, ...] = (0.0,)) -> DataFrame:
+def profile(vectors: DataFrame, *, exact_vectors: int = EXACT_VECTORS, most_pairs: int = MOST_PAIRS, seed: int = SEED, near: float = NEAR_DUPLICATE, thresholds: tuple[float, ...] = (0.0,), spectral_dimension: int = SPECTRAL_DIMENSION) -> DataFrame:
     """One row for each group: counts, duplicates, pairs, nearest neighbours, spectrum, binary collisions and status.
 
     Groups of at most exact_vectors vectors and most_pairs pairs are compared in
@@ -353,7 +353,7 @@ def profile(vectors: DataFrame, *, exact_vectors: int = EXACT_VECTORS, most_pair
     out = out.join(classes(unit.withColumn("key", F.to_json("vec")), "key").withColumnsRenamed({"classes": "exact_duplicate_classes", "members": "exact_duplicate_vectors"}), "group_id", "left")
     out = out.join(pair_metrics(pairs, near).select("group_id", "evaluated_pairs", "near_duplicate_pairs", "near_duplicate_rate", F.col("mean").alias("mean_cosine"), F.col("max").alias("max_cosine")), "group_id", "left")
     out = out.join(nearest_in_policy(unit, exact_vectors, most_pairs, seed).groupBy("group_id").agg(F.avg("cosine").alias("mean_nearest_cosine")), "group_id", "left")
-    out = out.join(spectrum(unit).drop("n"), "group_id", "left")
+    out = out.join(spectrum(unit, spectral_dimension).drop("n"), "group_id", "left")
     for name, threshold in (("sign", None), *((f"threshold_{t:g}", t) for t in thresholds)):
         found = classes(unit.withColumn("key", binary_code(F.col("vec"), threshold)), "key")
         out = out.join(found.withColumnsRenamed({"classes": f"{name}_collision_classes", "members": f"{name}_colliding_vectors"}), "group_id", "left")

@@ -83,7 +83,7 @@ def profile_capture(spark: SparkSession, capture: str, metadata: str, policy: Po
     if why:
         return spark.createDataFrame([(meta["capture_id"], "REFUSED", why)], "capture_id string, status string, reason string")
     vectors = geometry.partitioned(files.read_capture(spark, capture, metadata), policy.partition, policy.chunk_tokens)
-    report = geometry.profile(vectors, exact_vectors=policy.exact_vector_threshold, most_pairs=policy.max_pairs, seed=policy.seed, near=policy.near_duplicate_cosine, thresholds=policy.thresholds)
+    report = geometry.profile(vectors, exact_vectors=policy.exact_vector_threshold, most_pairs=policy.max_pairs, seed=policy.seed, near=policy.near_duplicate_cosine, thresholds=policy.thresholds, spectral_dimension=policy.max_spectral_dimension)
     return report.withColumn("capture_id", F.lit(meta["capture_id"])).withColumn("reason", F.lit(None).cast("string"))
 
 
