@@ -66,8 +66,38 @@ def test_rows_that_repeat(spark):
     assert [r.component_id for r in minhash.near_duplicates(again).collect()] == [1] * 4
     assert mixing.schedule(again).count() == sharding.kd_shards(again, shards=2).count() == 4
     assert secrets.scan(again, None).count() == 4
+    model = toxicity.train([("you idiot", True), ("total idiot you are", True), ("fine words here", False), ("a clean day", False)] * 3)
+    scores = {(r.doc_id, r.score) for r in toxicity.score_toxicity(again.union(again), model).collect()}
+    assert len(scores) == 2
 
 
+def test_exact_copies_under_one_id(spark, tmp_path):
+    rows = [(1, "a"), (1, "b"), (1, "a"), (2, "A"), (None, "b"), (None, "b")]
+    got = exact.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), exact.DigestIndex(spark, str(tmp_path / "again"), 2)).collect()
+    assert len(got) == len(rows) and {r.group_size for r in got} == {3}
+    assert {r.keep_id for r in got if r.text_sha256 == exact_digest("a")} == {2}
+
+
+def exact_digest(text):
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_an_id_with_both_labels_is_toxic(spark):
+    docs = spark.createDataFrame([(i, "you idiot" if i % 2 else "fine words here") for i in range(20)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(20)] + [(1, 0), (3, 0)]
+    one = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    two = toxicity.fit_toxicity(docs, spark.createDataFrame([x for x in labels if x not in ((1, 0), (3, 0))], "doc_id long, toxic int"))
+    assert one.offset == two.offset and (one.weights == two.weights).all()
+
+
+def test_a_pipeline_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
 def test_pages_without_an_id(spark, folder):
     got = sorted(r.text for r in pages.extract(spark.read.parquet(f"{folder}/pages.parquet")).collect())
     assert got == ["", "", "text", "text"]
