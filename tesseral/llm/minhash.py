@@ -238,3 +238,22 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options)
     gone = near_duplicates(docs, id_col=id_col, **options).where("not kept")
     return docs.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
 
+
+#: For shingles of two words: all pairs that share any, without signatures.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM texts
+), shingles AS (
+  SELECT doc_id, unnest(s) AS s FROM sets
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT m.a, m.b FROM met m JOIN sets x ON x.doc_id = m.a JOIN sets y ON y.doc_id = m.b WHERE 100 * shared >= 80 * (len(x.s) + len(y.s) - shared)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
+FROM sets LEFT JOIN roots ON a = doc_id
+"""

@@ -80,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": minhash.ORACLE_SQL,
     "op3_exact": exact.ORACLE_SQL,
     "op6_decontam": decontam.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
