@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,16 @@ class Scratch:
     """Tables written under the shared folder, to cut lineage and to survive lost executors.
 
     `drop` deletes a table as soon as nothing reads it any more; the rest goes
-    when the driver ends, as a lazy result may still read it.
+    when the driver ends, as a lazy result may still read it, or at the end of
+    a `released` block.
     """
 
+    _open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch._open.append(self)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +69,19 @@ class Scratch:
             pass
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes at its end what was written by operators called inside; their results must have been written or collected by then."""
+    before = len(Scratch._open)
+    try:
+        yield
+    finally:
+        for scratch in Scratch._open[before:]:
+            atexit.unregister(scratch.close)
+            scratch.close()
+        del Scratch._open[before:]
+
+
 #: Rows of a few numbers that a join may send to all tasks.
 SMALL_ROWS = 250_000
 
