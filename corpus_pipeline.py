@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm import decontam, minhash, mixing, sharding, toxicity
-from tesseral.llm.common import Scratch
+from tesseral.llm.common import Scratch, released
 
 SHARDS = 8
 
@@ -54,7 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with released():
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
