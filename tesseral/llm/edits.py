@@ -52,6 +52,31 @@ def trimmed(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+#: Words that are skipped on both sides together, at most, until two lines go on alike.
+SKIPPED = 4
+#: (words of one, words of the other) that may be skipped, the fewest first.
+SKIPS = [(p, n - p) for n in range(1, SKIPPED + 1) for p in sorted(range(n + 1), key=lambda p, n=n: abs(2 * p - n))]
+
+
+def surely_within(a: str, b: str, most: int) -> bool:
+    """Whether replacing, word by word, what differs takes at most `most` edits; if not, fewer may still do."""
+    one, two = a.split(" "), b.split(" ")
+    i, j, n, m, total = 0, 0, len(one), len(two), 0
+    while i < n and j < m:
+        if one[i] == two[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(((p, q) for p, q in SKIPS if (one[i + p] == two[j + q] if i + p < n and j + q < m else (i + p, j + q) == (n, m))), (0, 0))
+        if not p and not q:
+            return False
+        total += max(p + sum(map(len, one[i : i + p])), q + sum(map(len, two[j : j + q])))
+        if total > most:
+            return False
+        i, j = i + p, j + q
+    total += max(n - i + sum(map(len, one[i:])), m - j + sum(map(len, two[j:])))
+    return total <= most
+
+
 def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
     """Whether the edit distance of each pair is at most its limit.
 
@@ -64,7 +89,7 @@ def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
         if abs(len(a) - len(b)) > k:
             continue
         a, b = trimmed(a, b)
-        if max(len(a), len(b)) <= k:
+        if max(len(a), len(b)) <= k or a and b and surely_within(a, b, k):
             out[i] = True
         elif a and b:
             rest.append((i, a, b, k) if len(a) <= len(b) else (i, b, a, k))

@@ -140,10 +140,11 @@ def grouped_by_buckets(
     return scratch.write(components(links.union(rest), scratch, "stars-rest"), "roots-rest")
 
 
-def member_blocks(items: DataFrame, table: DataFrame, payload: str, name: str, most: int) -> DataFrame:
+def member_blocks(items: DataFrame, table: DataFrame, payload: str, name: str, most: int, scratch: Scratch) -> DataFrame:
     """(pivot, part, parts, name): the members (pivot, rep, root) with their payload from table (rep, payload), in blocks of about `most` bytes."""
     sizes = items.join(table.select("rep", F.octet_length(payload).alias("bytes")), "rep")
     sizes = sizes.groupBy("pivot").agg((F.floor(F.sum("bytes") / most) + 1).cast("int").alias("parts"))
+    sizes = scratch.write(sizes, f"{name}-sizes")
     dealt = items.join(small(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     block = F.collect_list(F.struct("rep", "root", payload)).alias(name)
     return dealt.join(table.select("rep", payload), "rep").groupBy("pivot", "part", "parts").agg(block)
@@ -154,8 +155,8 @@ def compared_blocks(members: DataFrame, table: DataFrame, payload: str, most: in
 
     Each pair of blocks is a key of its own, so a pivot of many members is spread over tasks.
     """
-    left = scratch.write(member_blocks(members.where("outside"), table, payload, "lefts", most), "lefts")
-    right = scratch.write(member_blocks(members, table, payload, "rights", most), "rights")
+    left = scratch.write(member_blocks(members.where("outside"), table, payload, "lefts", most, scratch), "lefts")
+    right = scratch.write(member_blocks(members, table, payload, "rights", most, scratch), "rights")
 
     def parts(blocks: DataFrame, name: str) -> DataFrame:
         return small(blocks.select("pivot", F.col("parts").alias(name)).distinct())

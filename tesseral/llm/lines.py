@@ -295,7 +295,7 @@ def _candidates(left: list[dict], right: list[dict], apart: int, keys: tuple[np.
 
 
 #: Bytes of lines whose keys are found, and whose pairs are tried, together.
-LOT_BYTES = 1 << 20
+LOT_BYTES = 4 << 20
 
 
 def _compared(apart: int):
