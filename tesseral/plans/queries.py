@@ -351,7 +351,8 @@ def codec_ratio_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def competitive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.competitive(fixtures(spark))
+    chunks = event_chunks(spark, sf_dir).selectExpr("concat('events-', chunk_id) AS tensor_id", "payload")
+    return gates.competitive(fixtures(spark).select("tensor_id", "payload").union(chunks))
 
 
 @query(
