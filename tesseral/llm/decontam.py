@@ -104,15 +104,22 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     same_row = touched["doc_id"].eqNullSafe(rows["doc_id"]) & (touched["row"] == rows["row"])
     own = rows.join(touched, same_row, "left_semi").groupBy("doc_id", "row").agg(F.first("text").alias("text"))
     own = scratch.write(own.select(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row"), tokens(F.col("text")).alias("ours")), "texts")
-    both = hits.join(own, hits["doc_id"].eqNullSafe(own["own_id"]) & (hits["row"] == own["own_row"]))
+    # a document's words are cut for all of its hits at once, so no hit carries a whole document
+    sized = hits.join(items.select("item_id", F.size("words").alias("many")), "item_id")
+    listed_hits = sized.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "diagonal", "many")).alias("hits"))
+    both = listed_hits.join(own, listed_hits["doc_id"].eqNullSafe(own["own_id"]) & (listed_hits["row"] == own["own_row"]))
+
+    def cut(hit: Column) -> Column:
+        low = F.greatest(F.lit(0), -hit["diagonal"])
+        n = F.least(hit["many"], F.size("ours") - hit["diagonal"]) - low
+        need = F.least(F.lit(least), hit["many"])
+        mine = F.when(n >= need, F.slice("ours", hit["diagonal"] + low + 1, F.greatest(n, F.lit(0))))
+        return F.struct(hit["item_id"].alias("item_id"), hit["diagonal"].alias("diagonal"), low.alias("low"), n.alias("n"), need.alias("need"), mine.alias("mine"))
+
+    both = both.select("doc_id", "row", F.explode(F.transform("hits", cut)).alias("x")).select("doc_id", "row", "x.*").where("mine is not null")
     both = both.join(items.withColumnRenamed("words", "theirs"), "item_id")
-    need = F.least(F.lit(least), F.size("theirs"))
-    low = F.greatest(F.lit(0), -F.col("diagonal"))
-    both = both.withColumn("need", need).withColumn("low", low)
-    both = both.withColumn("n", F.least(F.size("theirs"), F.size("ours") - F.col("diagonal")) - F.col("low")).where("n >= need")
-    mine = F.slice("ours", F.col("diagonal") + F.col("low") + 1, F.col("n"))
     other = F.slice("theirs", F.col("low") + 1, F.col("n"))
-    same = F.zip_with(mine, other, lambda a, b: (a == b).cast("int"))
+    same = F.zip_with("mine", other, lambda a, b: (a == b).cast("int"))
     percent = F.when(F.size("theirs") < SPAN, 100).otherwise(agree)
     both = both.select("doc_id", "row", "item_id", "diagonal", "low", "n", "need", percent.alias("percent"), same.alias("same"))
     enough = F.aggregate("same", F.lit(0), lambda s, x: s + x) * 100 >= F.col("need") * F.col("percent")
