@@ -32,7 +32,7 @@ def brute(rows):
 
     for i, a in enumerate(forms):
         for j in range(i):
-            if keys[i] & keys[j] and distance(a, forms[j]) * 100 <= 20 * max(len(a), len(forms[j])):
+            if keys[i] & keys[j] and edits.edit_distance(a, forms[j]) * 100 <= 20 * max(len(a), len(forms[j])):
                 root[find(i)] = find(j)
     groups = {}
     for place in sorted(at):

@@ -105,4 +105,5 @@ def test_pages_without_an_id(spark, folder):
 
 def test_pipeline(spark, folder):
     found = corpus_pipeline.run(spark, folder).collect()
-    assert len(found) >= 3 and len({(r.shard, r.slot) for r in found}) == len(found)
+    # what holds the benchmark's passage goes, with or without an id; texts without words are served no time
+    assert [(r.doc_id, r.size, r.shard, r.slot) for r in found] == [(None, 1, 0, 0)]
