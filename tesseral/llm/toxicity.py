@@ -343,12 +343,23 @@ def _scores(model: Model, parts: list[str]) -> np.ndarray:
     return np.bincount(who, model.weights[what] * weight, len(parts)) + model.bias
 
 
-def decide_texts(model: Model, texts: list[str]) -> np.ndarray:
-    """The largest decision value over the strings of each text; each distinct string is scored once."""
+#: Strings whose decision values a task keeps from one slice of documents to the next, at most.
+REMEMBERED = 400_000
+
+
+def decide_texts(model: Model, texts: list[str], known: dict[str, float] | None = None) -> np.ndarray:
+    """The largest decision value over the strings of each text; each distinct string is scored once.
+
+    known holds the values of strings seen before, and gets those of the others.
+    """
+    known = {} if known is None else known
+    if len(known) > REMEMBERED:
+        known.clear()
     raw = [strings(t) for t in texts]
-    known = {w: i for i, w in enumerate(set().union(*raw))} if raw else {}
-    value = model.decide([normal(w) for w in known]).tolist() if known else []
-    return np.array([max((value[known[w]] for w in d), default=-1.0) for d in raw])
+    fresh = [w for w in set().union(*raw) if w not in known] if raw else []
+    if fresh:
+        known.update(zip(fresh, model.decide([normal(w) for w in fresh]).tolist(), strict=True))
+    return np.array([max(map(known.__getitem__, d), default=-1.0) for d in raw])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = TRAIN_TOXIC, most_clean: int = TRAIN_CLEAN) -> Model | None:
@@ -398,13 +409,14 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, id_col: str = "doc_i
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
                 if model is None:
                     out = np.zeros(len(part))
                 else:
-                    out = model.probability(decide_texts(model, fill(part.column(1)).to_pylist()))
+                    out = model.probability(decide_texts(model, fill(part.column(1)).to_pylist(), known))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -417,10 +429,11 @@ def drop_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
-                score = model.probability(decide_texts(model, fill(part.column(at)).to_pylist()))
+                score = model.probability(decide_texts(model, fill(part.column(at)).to_pylist(), known))
                 yield part.filter(pa.array(score < threshold))
 
     return docs if model is None else docs.mapInArrow(keep, schema)
