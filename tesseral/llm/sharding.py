@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from .common import Scratch, small
 
-#: Bins into which a pass cuts the range that still holds a node's median.
-BINS = 1024
+#: Bins into which a pass cuts the ranges that still hold the nodes' medians, all together, and those of a node at least.
+BINS, NODE_BINS = 1 << 16, 1024
 #: A cut may miss its share by this part of the node's bytes; below it, only where one document is larger.
 TOLERANCE = 1e-4
 #: A group of equal texts is cut only where it holds more than this part of a shard's bytes.
@@ -53,12 +53,12 @@ class _Cut:
         self.node, self.leaves, self.dim, self.total = node, leaves, dim, total
         self.want = total * (leaves // 2) / leaves
         self.found: list[int] = []  # the value, and the group, that hold the cut
-        self.lo, self.hi = lo, hi
+        self.lo, self.hi, self.bins = lo, hi, 1
         self.done: tuple[int, int, int] | None = None
 
     @property
     def width(self) -> int:
-        return max(1, math.ceil((self.hi - self.lo + 1) / BINS))
+        return max(1, math.ceil((self.hi - self.lo + 1) / self.bins))
 
     def row(self) -> tuple:
         return (self.node, self.dim, *[*self.found, None, None][:2], self.lo, self.width, self.want)
@@ -90,6 +90,9 @@ def _split_level(rows: DataFrame, dims: list[str], leaves: dict[int, int], spans
         cuts.append(_Cut(r.node, leaves[r.node], dim, r[f"lo_{dim}"], r[f"hi_{dim}"], r.total))
     value = F.element_at(F.array(*dims), F.col("dim") + 1)
     while open_ := [c for c in cuts if c.done is None]:
+        bins = max(min(BINS, NODE_BINS), BINS // len(open_))
+        for c in open_:
+            c.bins = bins
         # one row for each open node: no more than there are shards
         state = F.broadcast(rows.sparkSession.createDataFrame([c.row() for c in open_], NODE).withColumnRenamed("node", "n"))
         held = rows.join(state, rows["node"] == state["n"]).withColumn("value", value)
@@ -97,7 +100,7 @@ def _split_level(rows: DataFrame, dims: list[str], leaves: dict[int, int], spans
         below = (F.col("value") < pinned) | ((F.col("value") == pinned) & (F.col("group") < own))
         at = F.when(pinned.isNull(), F.col("value")).when(F.coalesce(below, F.col("value") < pinned), F.lit(-1))
         at = at.when((F.col("value") == pinned) & own.isNull(), F.col("group")).when((F.col("value") == pinned) & (F.col("group") == own), F.col("tie"))
-        bin_ = F.when(at < F.col("lo"), F.lit(-1)).otherwise(F.least(F.floor((at - F.col("lo")) / F.col("width")), F.lit(BINS)))
+        bin_ = F.when(at < F.col("lo"), F.lit(-1)).otherwise(F.least(F.floor((at - F.col("lo")) / F.col("width")), F.lit(bins)))
         sums = held.withColumn("bin", bin_).where("bin is not null").groupBy("node", "bin", "want").agg(F.sum("size").alias("inside"))
         running = Window.partitionBy("node").orderBy("bin")
         sums = sums.withColumn("until", F.sum("inside").over(running))
