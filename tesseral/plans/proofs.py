@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import capacity, codec, lossy, research
@@ -15,7 +14,7 @@ from ..operators import capacity as bounds
 from ..operators import gates, geometry, retrieval, tensors
 from ..sources import captures, files
 from ..sources.fixtures import typed_words
-from .queries import CHUNK, NORMS, PAIRS, UNITS, WORDS, event_chunks, lagged, query, rounded, table, unit, vectors
+from .queries import CHUNK, UNITS, WORDS, event_chunks, query, rounded, table, unit
 
 #: Chunks of one container.
 CONTAINED = 64
