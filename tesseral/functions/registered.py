@@ -47,6 +47,10 @@ def hamming_bound(n: pd.Series, distance: pd.Series) -> pd.Series:
     return pd.Series([str(capacity.hamming_bound(int(a), int(b))) for a, b in zip(n, distance, strict=True)])
 
 
+def rankin_bound(n: pd.Series, inner_product: pd.Series) -> pd.Series:
+    return pd.Series([capacity.rankin_bound(int(a), capacity.canonical_real(s)) for a, s in zip(n, inner_product, strict=True)])
+
+
 def check_certificate(text: pd.Series) -> pd.Series:
     return text.map(lambda t: capacity.check_json(t or "")[0])
 
@@ -68,6 +72,7 @@ FUNCTIONS = {
     tq_inner_product: "float",
     fnv1a64: "string",
     hamming_bound: "string",
+    rankin_bound: "long",
     check_certificate: "string",
 }
 

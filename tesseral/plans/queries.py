@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import capacity
+from ..functions import capacity, registered
 from ..functions.fnv import fnv1a64_column
 from ..operators import capacity as bounds
 from ..operators import gates, geometry, retrieval, tensors
@@ -384,14 +384,14 @@ def inner_product_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT n, d, ((1::HUGEINT << n::INT) // v)::VARCHAR AS bound FROM volume"
 )
 def hamming_bound_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = [(n, d, str(capacity.hamming_bound(n, d))) for n in range(8, 49, 8) for d in range(3, 8, 2)]
-    return spark.createDataFrame(cells, "n long, d long, bound string")
+    cells = spark.range(8, 49, 8).select(F.col("id").alias("n"), F.explode(F.array(*[F.lit(d).cast("long") for d in (3, 5, 7)])).alias("d"))
+    return cells.withColumn("bound", F.pandas_udf(registered.hamming_bound, "string")("n", "d"))
 
 
 @query("SELECT n, k, CASE WHEN k = 0 THEN 2 * n ELSE 1 + 100 // k END AS bound FROM range(2, 20) a(n), range(0, 101, 5) b(k)")
 def rankin_bound_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = [(n, k, capacity.rankin_bound(n, capacity.canonical_real(f"-{k / 100:.2f}"))) for n in range(2, 20) for k in range(0, 101, 5)]
-    return spark.createDataFrame(cells, "n long, k long, bound long")
+    cells = spark.range(2, 20).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"), F.lit(5).cast("long"))).alias("k"))
+    return cells.withColumn("bound", F.pandas_udf(registered.rankin_bound, "long")("n", F.format_number(-F.col("k") / 100, 2)))
 
 
 def requests(spark: SparkSession) -> DataFrame:
