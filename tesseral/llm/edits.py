@@ -6,8 +6,8 @@ import numpy as np
 
 #: Pairs that are compared together, and cells of their table of letters, at most.
 PAIRS_AT_ONCE, LETTER_CELLS = 2048, 1 << 21
-#: Strings beyond so many characters, and pairs fewer than FEW in a batch, are compared one by one.
-LONG, FEW = 4096, 6
+#: Strings beyond so many characters, and pairs fewer than FEW for each 64 rows of a batch's band, are compared one by one.
+LONG, FEW = 4096, 40
 ONES = np.uint64((1 << 64) - 1)
 
 
@@ -32,6 +32,55 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+#: Columns between two looks at whether a limit can still be kept, and rows between the cells that are looked at.
+LOOK = 32
+
+
+def at_most(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most `most`: `edit_distance` until no cell of a column leads to an end within it."""
+    n, m = len(b), len(a)
+    if abs(n - m) > most or not a or not b:
+        return max(n, m) <= most
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, up, down, get = (1 << m) - 1, (1 << m) - 1, 0, places.get
+    for start in range(0, n, LOOK):
+        for c in b[start : start + LOOK]:
+            same = get(c, 0)
+            diagonal = (((same & up) + up) ^ up) | same | down
+            right = (down | full & ~(diagonal | up)) << 1 | 1
+            up = (up & diagonal) << 1 | ~(diagonal | right)
+            up &= full
+            down = right & diagonal & full
+        if not _can_end(up, down, min(start + LOOK, n), m, n, most):
+            return False
+    return n + up.bit_count() - down.bit_count() <= most
+
+
+def _can_end(up: int, down: int, j: int, m: int, n: int, most: int) -> bool:
+    """Whether some cell of column j may lie on a way of at most `most` edits.
+
+    Rows further than `most` from the diagonal are not on one. Rows beside each other differ by 1
+    at most, so two cells tell the least between them; from a cell on, the rests' lengths tell the least.
+    """
+    i, high, before = max(0, j - most), min(m, j + most), -1
+    while True:
+        mask = (1 << i) - 1
+        cell, skew = j + (up & mask).bit_count() - (down & mask).bit_count(), n - j - m + i
+        if before < 0:
+            if cell + abs(skew) <= most:
+                return True
+        else:
+            away = 0 if skew - step <= 0 <= skew else min(abs(skew - step), abs(skew))
+            if before + cell - step <= 2 * (most - away):
+                return True
+        if i == high:
+            return False
+        step, before = min(LOOK, high - i), cell
+        i += step
+
+
 def same_length(a: str, b: str) -> int:
     """How many characters both begin with, by halving."""
     low, high = 0, min(len(a), len(b))
@@ -104,15 +153,15 @@ def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
         while stop < len(rest) and stop - start < room and -(-len(rest[stop][1]) // 64) <= most_words and len(rest[stop][1]) <= LONG:
             stop += 1
         batch = rest[start:stop]
-        if len(batch) >= FEW:
+        if len(batch) >= FEW * min(most_words, 1 + max(x[3] for x in batch) // 32):
             found = _together([_codes(x[1]) for x in batch], [_codes(x[2]) for x in batch], np.array([x[3] for x in batch]))
             out[[x[0] for x in batch]] = found
         else:
             for i, a, b, k in batch:
-                out[i] = edit_distance(a, b) <= k
+                out[i] = at_most(a, b, k)
         start = stop
     for i, a, b, k in rest[start:]:
-        out[i] = edit_distance(a, b) <= k
+        out[i] = at_most(a, b, k)
     return out
 
 

@@ -20,7 +20,7 @@ BLOCKS = 4
 #: MinHash keys beside them, over its pairs of neighbouring words: for each of ANCHORS a minimum with the words at two
 #: places (from 0, or from the end), and FREE bands of ROWS minima wherever words stand.
 ANCHORS = ((0, 1), (2, 3), (0, 2), (1, 3), (-1, -2), (-3, -4), (-1, -3), (-2, -4))
-FREE, ROWS = 4, 3
+FREE, ROWS = 5, 3
 KEYS = BLOCKS + len(ANCHORS) + FREE
 #: Bytes that are kept of a key.
 KEY_BYTES = 6
@@ -91,10 +91,14 @@ def _majority(words: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> np.ndarra
 MINIMA_AT_ONCE = 1 << 16
 
 
-def _bands(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+#: Of pairs of words, those of fewer bytes than this come last in the order of a lane: short words are in most lines.
+RARE = 8
+
+
+def _bands(words: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """32 bits of each MinHash key of each line (words from at[i] to at[i + 1]); both ends of a line count as words.
 
-    A lane orders the pairs of words by their hash times an odd number of its own.
+    A lane orders the pairs of words by their hash times an odd number of its own, pairs of short words behind the others.
     """
     sizes = np.diff(at)
     lanes = stream64(len(ANCHORS) + FREE * ROWS, 5) | np.uint64(1)
@@ -106,14 +110,17 @@ def _bands(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     inner = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
     after[inner], before[inner + 1] = words, words
     pairs = mix64(mix64(before) * np.uint64(3) + after)
+    size = np.zeros((2, len(before)), np.int64)
+    size[0, inner + 1], size[1, inner] = lengths, lengths
+    short = np.where(size.sum(axis=0) < RARE, np.uint64(1 << 63), np.uint64(0))
     least = np.empty((len(sizes), len(lanes)), np.uint64)
     ends = starts + sizes + 1
     first = 0
     while first < len(sizes):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + MINIMA_AT_ONCE, side="right")))
-        own = pairs[starts[first] : ends[last - 1]]
+        own, behind = pairs[starts[first] : ends[last - 1]], short[starts[first] : ends[last - 1]]
         for k, lane in enumerate(lanes):
-            least[first:last, k] = np.minimum.reduceat(own * lane, starts[first:last] - starts[first])
+            least[first:last, k] = np.minimum.reduceat(own * lane >> np.uint64(1) | behind if k < len(ANCHORS) else own * lane, starts[first:last] - starts[first])
         first = last
     out = np.zeros((len(sizes), len(ANCHORS) + FREE), np.uint64)
     words = np.append(words, edge)
@@ -159,7 +166,7 @@ def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
     at = np.searchsorted(both, np.arange(len(lines) + 1, dtype=np.uint64) << low)
     bits = _majority(both & ((np.uint64(1) << low) - np.uint64(1)), at, stream64(BLOCKS // 2, 77))
-    keys = np.hstack([np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64), _bands(words, starts_of)])
+    keys = np.hstack([np.ascontiguousarray(bits).view(np.uint32).astype(np.uint64), _bands(words, ends - starts, starts_of)])
     return whole.view(np.int64), mix64(keys ^ (np.arange(1, KEYS + 1, dtype=np.uint64) << np.uint64(32))) >> np.uint64(64 - 8 * KEY_BYTES)
 
 
@@ -190,12 +197,57 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*places, pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(blocks, pa.binary())], names=["doc_id", "row", "line_no", "line", "blocks"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Parts that keys are dealt to, at least, and keys in a part beyond which there are more parts.
+PARTS, PART_KEYS = 1024, 1 << 20
+#: Lines whose keys are dealt together.
+DEALT_AT_ONCE = 1 << 14
+
+
+def _dealt(parts: int):
+    """Of rows (line, blocks) the keys with their lines, packed: a row for each part that has any."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), DEALT_AT_ONCE):
+                batch = whole.slice(start, DEALT_AT_ONCE)
+                packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+                keys = np.zeros((len(packed), 8), np.uint8)
+                keys[:, :KEY_BYTES] = packed
+                keys = keys.view(np.int64).reshape(-1)
+                part = (keys % parts).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                both = np.stack([keys, np.repeat(batch.column(0).to_numpy(), KEYS)], axis=1)[order]
+                names, first = np.unique(part[order], return_index=True)
+                blobs = [both[p:q].tobytes() for p, q in zip(first.tolist(), [*first[1:].tolist(), len(both)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["part", "keys"])
+
+    return deal
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, keys) in the order of parts, the (key, rep) of each part in order, without keys that occur once."""
+    part, held = None, []
+
+    def sorted_keys() -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+        keys, reps = both[:, 0], both[:, 1]
+        order = np.argsort(keys)
+        keys = keys[order]
+        same = keys[1:] == keys[:-1]
+        again = np.append(same, False) | np.append(False, same)
+        keys, reps = keys[again], reps[order[again]]
+        order = np.lexsort((reps, keys))
+        return pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(reps[order])], names=["key", "rep"])
+
     for batch in batches:
-        packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
-        keys = np.zeros((len(packed), 8), np.uint8)
-        keys[:, :KEY_BYTES] = packed
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), KEYS))], names=["key", "rep"])
+        for own, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and own != part:
+                yield sorted_keys()
+                held.clear()
+            part = own
+            held.append(keys)
+    if held:
+        yield sorted_keys()
 
 
 def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +335,22 @@ def _letter_counts(lines: list[str]) -> np.ndarray:
     return np.bincount(owner * 64 + code, minlength=len(lines) * 64).reshape(len(lines), 64).astype(np.int32)
 
 
-def _candidates(left: list[dict], right: list[dict], apart: int, keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the lines of two blocks that share a key, are of different roots and whose lengths are near enough."""
-    near = np.zeros((len(left), len(right)), bool)
-    for own, other in zip(keys[0].T, keys[1].T, strict=True):
-        near |= own[:, None] == other[None, :]
-    (n, m), (p, q) = ([np.array([f(x) for x in rows]) for rows in (left, right)] for f in (lambda x: len(x["norm"]), lambda x: x["root"]))
-    near &= p[:, None] != q[None, :]
-    near &= np.abs(n[:, None] - m[None, :]) * 100 <= apart * np.maximum(n[:, None], m[None, :])
-    return np.nonzero(near)
+#: Comparisons of keys that are made in one step.
+KEYS_AT_ONCE = 1 << 18
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, apart: int, keys: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the lines left and right that share a key, are of different roots and whose lengths are near enough."""
+    found, step = [], max(1, KEYS_AT_ONCE // (len(right) * keys.shape[1]))
+    n, m = sizes[left], sizes[right]
+    near = (np.abs(n[:, None] - m[None, :]) * 100 <= apart * np.maximum(n[:, None], m[None, :])) & (roots[left][:, None] != roots[right][None, :])
+    own, other = keys[left], keys[right]
+    i, j = np.nonzero(near)
+    for k in range(0, len(i), step * len(right)):
+        p, q = i[k : k + step * len(right)], j[k : k + step * len(right)]
+        found.append(np.flatnonzero((own[p] == other[q]).any(axis=1)) + k)
+    at = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return left[i[at]], right[j[at]]
 
 
 #: Bytes of lines whose keys are found, and whose pairs are tried, together.
@@ -299,34 +358,36 @@ LOT_BYTES = 4 << 20
 
 
 def _compared(apart: int):
-    """Links between two blocks of lines: for each left line and root of right lines one, if there is any.
+    """Links between two blocks of lines: for each two roots of lines that have any, at least one.
 
-    Lines that share no key are no candidates. Of each left line and root the
-    first candidate is tried, then, where it isn't alike, some more at a time;
-    many small pairs of blocks are worked on together.
+    Lines that share no key are no candidates. Of two roots' candidates the
+    first is tried, then, where it isn't alike, some more at a time; many small
+    pairs of blocks are worked on together, a line or pair that several have once.
     """
 
     def links(lot: list[tuple[list[dict], list[dict]]]) -> tuple[list[int], list[int]]:
         lines = [x for pair in lot for block in pair for x in block]
-        texts = [x["norm"] for x in lines]
+        reps, first, which = np.unique(np.array([x["rep"] for x in lines]), return_index=True, return_inverse=True)
+        texts = [lines[k]["norm"] for k in first.tolist()]
         keys, counts = simhash_blocks(texts), _letter_counts(texts)
-        sizes, reps, roots = np.array([len(t) for t in texts]), np.array([x["rep"] for x in lines]), np.array([x["root"] for x in lines])
-        at, found = 0, []
+        sizes, roots = np.array([len(t) for t in texts]), np.array([lines[k]["root"] for k in first.tolist()])
+        at, found = 0, [np.zeros(0, np.int64)]
         for left, right in lot:
             middle, end = at + len(left), at + len(left) + len(right)
-            i, j = _candidates(left, right, apart, (keys[at:middle], keys[middle:end]))
-            found.append((i + at, j + middle))
+            i, j = _candidates(which[at:middle], which[middle:end], apart, keys, sizes, roots)
+            found.append(np.minimum(i, j) * len(texts) + np.maximum(i, j))
             at = end
-        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        i, j = np.divmod(np.unique(np.concatenate(found)), len(texts))
         most = apart * np.maximum(sizes[i], sizes[j]) // 100
         # a candidate whose letters alone are too far apart goes before any turn
         kept = [k + np.flatnonzero(_unlike(counts[i[k : k + PAIRS_AT_ONCE]], counts[j[k : k + PAIRS_AT_ONCE]]) <= most[k : k + PAIRS_AT_ONCE]) for k in range(0, len(i), PAIRS_AT_ONCE)]
         kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
         i, j, most = i[kept], j[kept], most[kept]
-        order = np.lexsort((j, roots[j], i))
-        i, j, most = i[order], j[order], most[order]
+        low, high = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
+        order = np.lexsort((high, low))
+        i, j, most, low, high = i[order], j[order], most[order], low[order], high[order]
         start = np.ones(len(i), bool)
-        start[1:] = (i[1:] != i[:-1]) | (roots[j[1:]] != roots[j[:-1]])
+        start[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         group = np.cumsum(start) - 1
         done = np.zeros(int(start.sum()), bool)
         turn, at_once = np.arange(len(i)) - np.flatnonzero(start)[group], 1
@@ -387,9 +448,10 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = scratch.write(rows.mapInArrow(_occurrences, "doc_id long, row long, line_no int, line long, blocks binary"), "found")
     forms = found.groupBy("line").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("many"))
     forms = scratch.write(forms, "forms")
-    keys = found.where("blocks is not null").select("line", "blocks").mapInArrow(_keys, "key long, rep long")
-    ordered = keys.repartition("key").sortWithinPartitions("key", "rep")
-    members = scratch.write(ordered.mapInArrow(_company, "key long, rep long, pivot long"), "members")
+    parts = max(PARTS, forms.count() * KEYS // PART_KEYS)
+    dealt = found.where("blocks is not null").select("line", "blocks").mapInArrow(_dealt(parts), "part int, keys binary")
+    dealt = dealt.repartition("part").sortWithinPartitions("part")
+    members = scratch.write(dealt.mapInArrow(lambda batches: _company(_ordered(batches)), "key long, rep long, pivot long"), "members")
 
     # only lines with company are read again, from the text of their first place
     asked = members.select(F.col("rep").alias("line")).distinct().join(forms, "line")

@@ -188,3 +188,43 @@ def test_rows_that_repeat(spark):
     got = sorted((r.doc_id or -1, r.n_lines, r.n_repeated, r.dropped) for r in lines.summary(docs).collect())
     assert got == [(-1, 1, 0, ""), (1, 1, 0, ""), (1, 2, 2, ""), (1, 2, 2, ""), (2, 1, 1, "0"), (3, 0, 0, "")]
     assert sorted((r.doc_id or -1, r.text or "") for r in lines.drop_duplicate_lines(docs).collect()) == sorted((i or -1, "" if i == 2 else t or "") for i, t in rows)
+
+
+def test_distances_up_to_a_limit():
+    rng = random.Random(5)
+    for n in (0, 1, 31, 32, 33, 64, 150):
+        for _ in range(60):
+            a = "".join(rng.choice("abc") for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randrange(0, 40)):
+                p, what = rng.randrange(len(b) + 1), rng.randrange(3)
+                b[p : p + (what > 0)] = [rng.choice("abc")] if what < 2 else []
+            b = "".join(b) if rng.random() < 0.8 else "".join(rng.choice("abc") for _ in range(rng.randrange(150)))
+            d = distance(a, b)
+            assert all(edits.at_most(a, b, k) == (d <= k) for k in {0, max(0, d - 1), d, d + 1, rng.randrange(150)})
+
+
+def test_packed_keys_give_the_members_of_each_key():
+    rng = random.Random(7)
+    rows = [(i % 37, [rng.choice((5, -8, rng.randrange(-(1 << 46), 1 << 46))) for _ in range(lines.KEYS)]) for i in range(90)]
+    blocks = [b"".join((k % (1 << 48)).to_bytes(6, "little") for k in keys) for _, keys in rows]
+    batch = lines.pa.RecordBatch.from_arrays([lines.pa.array([r for r, _ in rows], lines.pa.int64()), lines.pa.array(blocks, lines.pa.binary())], names=["line", "blocks"])
+    by = {}
+    for rep, keys in rows:
+        for k in keys:
+            by.setdefault(k % (1 << 48), set()).add(rep)
+    want = sorted((k, r, min(v)) for k, v in by.items() if len(v) > 1 for r in v)
+    dealt = sorted((x for b in lines._dealt(8)(iter([batch.slice(0, 50), batch.slice(50)])) for x in b.to_pylist()), key=lambda x: x["part"])
+    parts = lines.pa.RecordBatch.from_pylist(dealt, schema=lines.pa.schema([("part", lines.pa.int32()), ("keys", lines.pa.binary())]))
+    got = sorted(tuple(r.values()) for b in lines._company(lines._ordered(iter([parts.slice(0, 3), parts.slice(3)]))) for r in b.to_pylist())
+    assert got == want
+
+
+def test_unrelated_lines_of_common_words_are_rarely_candidates():
+    """Lines that begin and end alike and have the same short words, but nothing else in common."""
+    rng = random.Random(9)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    texts = ["of the " + " ".join(rare() + " of the" for _ in range(12)) for _ in range(60)]
+    keys = lines.simhash_blocks(texts)
+    shared = sum(bool((keys[i] == keys[j]).any()) for i in range(60) for j in range(i))
+    assert shared < 0.05 * 60 * 59 / 2
