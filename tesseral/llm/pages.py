@@ -2,10 +2,10 @@
 
 Pages of one host are paired by URL path. The text lines of a pair are aligned
 by a longest common subsequence; lines that both share are the site's own
-furniture and are deleted. Where a page marks its article, the marks decide what
-is the article, as two pages may well share a paragraph of it, and furniture
-that differs from page to page (adverts, menus of the day) is left out by its
-markup.
+furniture and are deleted. Where a page marks its article, the marks tell where
+it is, and furniture that differs from page to page (adverts, menus of the day)
+is left out by its markup; two pages may well share a paragraph of an article,
+so of its lines those are deleted that most pages of the host share.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fill
+from .common import Scratch, fill, small
 
 #: A comment, a tag, a tag that is broken or breaks off, a declaration, text. Quotes end at the next "<" at
 #: the latest, so that no input is read more than a few times.
@@ -278,14 +278,14 @@ def page_blocks(html: str) -> list[tuple[int, str]]:
 def main_text(blocks: list[tuple[int, str]], shared: frozenset[int] | set[int]) -> str:
     """The article of a page from its blocks and the positions of those that its partner shares.
 
-    A page that marks its article keeps all of it. In other pages shared lines
-    go, unless nothing else is left: then the page is a copy of its partner.
+    Shared lines go, unless nothing else is left: then the page is a copy of its
+    partner. A page that marks its article consists of that; there they stay
+    where they are half of it or more.
     """
-    marked = [t for z, t in blocks if z == ARTICLE]
-    if marked:
-        return "\n".join(marked)
-    own = [t for i, (_, t) in enumerate(blocks) if i not in shared]
-    return "\n".join(own or [t for _, t in blocks])
+    marked = [(i, t) for i, (z, t) in enumerate(blocks) if z == ARTICLE]
+    whole = marked or [(i, t) for i, (_, t) in enumerate(blocks)]
+    own = [t for i, t in whole if i not in shared]
+    return "\n".join(own if own and (not marked or 2 * len(own) > len(whole)) else [t for _, t in whole])
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +307,28 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The positions of the lines that each page shares with its partner, and their hashes."""
     for batch in batches:
-        found = [common_lines(a.as_py() or [], b.as_py() or []) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["own", "shared"])
+        lines = [x.as_py() or [] for x in batch.column(2)]
+        found = [common_lines(a, b.as_py() or []) for a, b in zip(lines, batch.column(3), strict=True)]
+        same = [[a[i] for i in at] for a, at in zip(lines, found, strict=True)]
+        columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(same, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["own", "marked", "shared", "same"])
+
+
+#: Pages of a host, and more than half of them, that share a line with their partners where it goes from marked articles.
+VOTES = 3
+
+
+def voted(found: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(own, shared): of shared lines of marked pages those that most pages of the host share; found is what `_shared` gives."""
+    each = F.explode(F.arrays_zip("shared", "same")).alias("x")
+    hosts = keys.select(F.col("page_id").alias("own"), "host")
+    at = found.where("marked").join(hosts, "own").select("own", "host", each).select("own", "host", F.col("x.shared").alias("at"), F.col("x.same").alias("line"))
+    at = scratch.write(at, "at")
+    many = at.select("host", "line", "own").distinct().groupBy("host", "line").agg(F.count("*").alias("many")).where(F.col("many") >= VOTES)
+    votes = many.join(hosts.groupBy("host").agg(F.count("*").alias("pages")), "host").where("2 * many > pages").select("host", "line")
+    return at.join(small(scratch.write(votes, "votes")), ["host", "line"]).groupBy("own").agg(F.collect_set("at").alias("shared"))
 
 
 def nearest_pages(keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -357,13 +376,15 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
     keys = rows.where("url is not null").select(F.col("key").alias("page_id"), host.alias("host"), path.alias("path")).where("host <> ''")
-    pairs = scratch.write(nearest_pages(keys.dropDuplicates(["page_id"]), scratch), "pairs")
+    keys = keys.dropDuplicates(["page_id"])
+    pairs = scratch.write(nearest_pages(keys, scratch), "pairs")
     lines = scratch.write(rows.select("key", "html").mapInArrow(_line_hashes, "key long, marked boolean, lines array<long>"), "lines")
-    # a page that marks its article needs no partner
-    own = lines.where("not marked").select(F.col("key").alias("page_id"), "lines").dropDuplicates(["page_id"])
+    own = lines.select(F.col("key").alias("page_id"), "marked", "lines").dropDuplicates(["page_id"])
     other = lines.select(F.col("key").alias("partner"), F.col("lines").alias("theirs")).dropDuplicates(["partner"])
-    both = pairs.join(own, "page_id").join(other, "partner").select("page_id", "lines", "theirs")
-    shared = scratch.write(both.mapInArrow(_shared, "own long, shared array<int>").where("size(shared) > 0"), "shared")
+    both = pairs.join(own, "page_id").join(other, "partner").select("page_id", "marked", "lines", "theirs")
+    found = both.mapInArrow(_shared, "own long, marked boolean, shared array<int>, same array<long>").where("size(shared) > 0")
+    found = scratch.write(found, "found")
+    shared = scratch.write(found.where("not marked").select("own", "shared").union(voted(found, keys, scratch)), "shared")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

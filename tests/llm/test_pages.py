@@ -149,3 +149,13 @@ def test_rows_that_repeat(spark):
     rows = [(1, "http://h.example/a", page.format("one")), (1, "http://h.example/b", page.format("two")), (1, "http://h.example/a", page.format("one")), (None, "http://h.example/c", page.format("three")), (2, None, None)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id or -1, r.text) for r in got) == [(-1, "three"), (1, "one"), (1, "one"), (1, "two"), (2, "")]
+
+
+def test_lines_that_most_pages_share_go_from_marked_articles(spark):
+    page = "<nav>x</nav><article><h1>{0}</h1><p>{1}</p><p>{0} more</p><p>{0} end</p><p>Read our other stories</p></article>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"t{i}", "common" if i < 2 else f"own {i}")) for i in range(5)]
+    rows += [(10 + i, f"http://copy.example/{i}", page.format("same", "same text")) for i in range(3)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"t{i}\n{'common' if i < 2 else f'own {i}'}\nt{i} more\nt{i} end"
+    assert {got[10 + i] for i in range(3)} == {"same\nsame text\nsame more\nsame end\nRead our other stories"}
