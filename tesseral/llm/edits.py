@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pairs that are compared together, and cells of their table of letters, at most.
-PAIRS_AT_ONCE, LETTER_CELLS = 2048, 1 << 21
-#: Strings beyond so many characters, and pairs fewer than FEW for each 64 rows of a batch's band, are compared one by one.
-LONG, FEW = 4096, 40
+#: Pairs that are compared together, characters of them, and cells of their table of letters, at most.
+PAIRS_AT_ONCE, CHARACTERS_AT_ONCE, LETTER_CELLS = 2048, 1 << 20, 1 << 21
+#: Microseconds of one column, of pairs together and of a pair of its own, the latter also for each row.
+TOGETHER, ALONE, ALONE_ROW = 30.0, 0.8, 0.0007
 ONES = np.uint64((1 << 64) - 1)
 
 
@@ -34,6 +34,8 @@ def edit_distance(a: str, b: str) -> int:
 
 #: Columns between two looks at whether a limit can still be kept, and rows between the cells that are looked at.
 LOOK = 32
+#: Looks at a pair of its own, at most.
+LOOKS = 64
 
 
 def at_most(a: str, b: str, most: int) -> bool:
@@ -45,15 +47,16 @@ def at_most(a: str, b: str, most: int) -> bool:
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full, up, down, get = (1 << m) - 1, (1 << m) - 1, 0, places.get
-    for start in range(0, n, LOOK):
-        for c in b[start : start + LOOK]:
+    look = max(LOOK, -(-n // LOOKS))
+    for start in range(0, n, look):
+        for c in b[start : start + look]:
             same = get(c, 0)
             diagonal = (((same & up) + up) ^ up) | same | down
             right = (down | full & ~(diagonal | up)) << 1 | 1
             up = (up & diagonal) << 1 | ~(diagonal | right)
             up &= full
             down = right & diagonal & full
-        if not _can_end(up, down, min(start + LOOK, n), m, n, most):
+        if not _can_end(up, down, min(start + look, n), m, n, most):
             return False
     return n + up.bit_count() - down.bit_count() <= most
 
@@ -129,8 +132,7 @@ def surely_within(a: str, b: str, most: int) -> bool:
 def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
     """Whether the edit distance of each pair is at most its limit.
 
-    The bit columns of many pairs of about one length move on together, 64 rows
-    to a number; rows further from the diagonal than the largest limit are left out.
+    The bit columns of many pairs move on together; the longest pairs go one by one where they are too few for that.
     """
     out = np.zeros(len(pairs), bool)
     rest: list[tuple[int, str, str, int]] = []
@@ -142,26 +144,21 @@ def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
             out[i] = True
         elif a and b:
             rest.append((i, a, b, k) if len(a) <= len(b) else (i, b, a, k))
-    rest.sort(key=lambda x: (len(x[1]), len(x[2])))
+    rest.sort(key=lambda x: -len(x[2]))
     start = 0
     while start < len(rest):
-        size = len(rest[start][1])
-        if size > LONG:
-            break
-        stop, most_words = start, -(-size // 64) + 1 + size // 512
-        room = min(PAIRS_AT_ONCE, max(1, LETTER_CELLS // (most_words * 48)))
-        while stop < len(rest) and stop - start < room and -(-len(rest[stop][1]) // 64) <= most_words and len(rest[stop][1]) <= LONG:
+        stop, held = start, 0
+        while stop < len(rest) and stop - start < PAIRS_AT_ONCE and held < CHARACTERS_AT_ONCE:
+            held += len(rest[stop][1]) + len(rest[stop][2])
             stop += 1
         batch = rest[start:stop]
-        if len(batch) >= FEW * min(most_words, 1 + max(x[3] for x in batch) // 32):
-            found = _together([_codes(x[1]) for x in batch], [_codes(x[2]) for x in batch], np.array([x[3] for x in batch]))
-            out[[x[0] for x in batch]] = found
-        else:
-            for i, a, b, k in batch:
-                out[i] = at_most(a, b, k)
+        m, n = (np.array([len(x[k]) for x in batch], np.float64) for k in (1, 2))
+        alone = int(np.argmin(np.concatenate([[0], np.cumsum(n * (ALONE + ALONE_ROW * m))]) + TOGETHER * np.append(n, 0)))
+        for i, a, b, k in batch[:alone]:
+            out[i] = at_most(a, b, k)
+        if alone < len(batch):
+            out[[x[0] for x in batch[alone:]]] = _together(batch[alone:])
         start = stop
-    for i, a, b, k in rest[start:]:
-        out[i] = at_most(a, b, k)
     return out
 
 
@@ -169,64 +166,109 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _together(rows: list[np.ndarray], columns: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    many = len(rows)
-    m, n = np.array([len(x) for x in rows]), np.array([len(x) for x in columns])
-    words, limit = -(-int(m.max()) // 64), int(most.max())
-    flat = np.concatenate(rows)
-    letters = np.unique(flat)
-    pair, place = np.repeat(np.arange(many), m), np.arange(len(flat)) - np.repeat(np.cumsum(m) - m, m)
-    # bits of the places of each letter in each row string; the last letter stands for all that aren't there
-    kinds = len(letters) + 1
-    places = np.zeros(words * many * kinds, np.uint64)
-    at = ((place >> 6) * many + pair) * kinds + np.searchsorted(letters, flat)
-    np.bitwise_or.at(places, at, np.uint64(1) << (place & 63).astype(np.uint64))
-    places = places.reshape(words, many * kinds)
-    flat = np.concatenate(columns)
-    kind = np.minimum(np.searchsorted(letters, flat), kinds - 2)
-    kind = np.where(letters[kind] == flat, kind, kinds - 1)
-    text = np.full((int(n.max()), many), kinds - 1, np.int64)
-    text[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(many), n)] = kind
-    text += np.arange(many) * kinds
-    up, down = np.full((words, many), ONES), np.zeros((words, many), np.uint64)
-    one, high = np.uint64(1), np.uint64(63)
-    rows_in = np.clip(m[None, :] - 64 * np.arange(words)[:, None], 0, 64)
-    valid = np.where(rows_in == 64, ONES, (one << (rows_in & 63).astype(np.uint64)) - one)
-    ends = set(n.tolist())
-    first, base, out, who = 0, np.zeros(many, np.int64), np.zeros(many, bool), np.arange(many)
-    for j in range(1, len(text) + 1):
-        while first + 1 < words and 64 * first + 64 < j - limit:
-            base += _heights(up[first], down[first])
-            first += 1
-        last = min(words - 1, (j + limit - 1) // 64)
-        column = text[j - 1]
-        # the row above the first word grows by 1 with each column
-        right, left = np.full(len(who), one), np.zeros(len(who), np.uint64)
-        for w in range(first, last + 1):
-            own, under = up[w], down[w]
-            same = places[w][column]
+def _together(batch: list[tuple[int, str, str, int]]) -> np.ndarray:
+    """`within` for rows (_, a, b, most), a not empty nor longer than b, and b longer by `most` at most.
+
+    The rows of a table are cut into pieces of 64. A piece is one column behind the piece above it, from
+    which it takes how its upper edge rises, so all pieces of all pairs move on in one step. It begins and ends where a
+    way of `most` edits can't be before or after; what lies outside counts as steps along its edge, which is never too little.
+    """
+    rows, columns = (_codes("".join(x[k] for x in batch)) for k in (1, 2))
+    kind = np.zeros(1 + max(int(rows.max()), int(columns.max())), np.int64)
+    kind[rows] = 1
+    kinds = 1 + int(kind.sum())
+    kind *= np.cumsum(kind)  # 0: no letter of any row
+    m, n, most = (np.array(x, np.int64) for x in zip(*[(len(a), len(b), k) for _, a, b, k in batch], strict=True))
+    many = -(-m // 64)
+    if int(many.sum()) * kinds > LETTER_CELLS:
+        if len(batch) == 1:
+            return np.array([at_most(*batch[0][1:])])
+        half = len(batch) // 2
+        return np.concatenate([_together(batch[:half]), _together(batch[half:])])
+    last = np.cumsum(many) - 1
+    pair = np.repeat(np.arange(len(batch)), many)
+    turn = np.arange(len(pair)) - (last - many + 1)[pair]
+    begin = 64 * turn
+    size = np.minimum(64, m[pair] - begin)
+    slack = (most - (n - m)) // 2
+    first = (np.maximum(0, begin - slack[pair]) + turn) // LOOK * LOOK  # the steps of a piece, from its column `first - turn` on
+    until = np.minimum(n[pair], begin + 65 + (n - m + slack)[pair]) - 1 + turn
+    # columns before the first hold no letter and change nothing
+    text = np.zeros(len(columns) + LOOK * (len(batch) + 2), np.int64)
+    text_at = np.cumsum(n) - n + LOOK * np.arange(1, len(batch) + 1)
+    text[np.arange(len(columns)) + np.repeat(LOOK * np.arange(1, len(batch) + 1), n)] = kind[columns]
+    rows, rows_at = kind[rows], (np.cumsum(m) - m)[pair] + begin
+    one, table = np.uint64(1), np.arange(len(pair)) * kinds
+    places = np.zeros(len(pair) * kinds, np.uint64)
+    for k in range(int(size.max())):
+        who = np.flatnonzero(size > k)
+        places[table[who] + rows[rows_at[who] + k]] |= one << np.uint64(k)
+    edge = (size - 1).astype(np.uint64)
+    valid = ONES >> (np.uint64(63) - edge)
+    up, down, score = np.full(len(pair), ONES), np.zeros(len(pair), np.uint64), begin + size
+    rose, fell = np.zeros(len(pair), np.uint64), np.zeros(len(pair), np.uint64)
+    ends, out, open_ = n - 1 + turn[last], np.zeros(len(batch), bool), np.ones(len(batch), bool)
+    for start in range(0, int(ends.max()) + 1, LOOK):
+        now = np.flatnonzero((first <= start) & (until >= start) & open_[pair])
+        new = now[(first[now] == start) & (start > turn[now])]
+        score[new] = score[new - 1] - (rose[new - 1].view(np.int64) - fell[new - 1].view(np.int64)) + size[new]
+        # of a piece's cells none is below the mean of its ends less half its rows; the lengths that are left add to that
+        skew = (n - m)[pair[now]] - (start - turn[now]) + begin[now]
+        least = 2 * score[now] - _heights(up[now] & valid[now], down[now] & valid[now]) - size[now] + 2 * np.maximum(0, np.maximum(skew, -skew - size[now]))
+        near = np.zeros(len(batch), bool)
+        near[pair[now[least <= 2 * most[pair[now]]]]] = True
+        open_ &= near
+        if not open_.any():
+            break
+        now = now[near[pair[now]]]
+        linked = np.append(False, now[1:] == now[:-1] + 1) & (turn[now] > 0)
+        mask, free = np.where(linked, ONES, np.uint64(0)), np.where(linked, np.uint64(0), one)
+        above, under, height, bottom, letters = up[now], down[now], score[now], edge[now], table[now]
+        spot = text_at[pair[now]] + start - turn[now]
+        same, high, more, less, into_more, into_less = np.empty((6, len(now)), np.uint64)
+        out_more, out_less = np.append(np.uint64(0), rose[now]), np.append(np.uint64(0), fell[now])
+        at = same.view(np.int64)
+        ending = np.flatnonzero(open_ & (ends >= start) & (ends < start + LOOK))
+        found, when = np.searchsorted(now, last[ending]), ends[ending] - start
+        steps = set(when.tolist())
+        for step in range(LOOK):
+            np.take(text, spot, out=at, mode="clip")
+            at += letters
+            spot += 1
+            same = np.take(places, at, mode="clip")
+            np.bitwise_and(out_more[:-1], mask, out=into_more)
+            into_more |= free
+            np.bitwise_and(out_less[:-1], mask, out=into_less)
             vertical = same | under
-            same = same | left
-            diagonal = (((same & own) + own) ^ own) | same
-            more, less = under | ~(diagonal | own), own & diagonal
-            next_right, next_left = more >> high, less >> high
-            more, less = more << one | right, less << one | left
-            up[w] = less | ~(vertical | more)
-            down[w] = more & vertical
-            right, left = next_right, next_left
-        if j in ends:
-            p = np.flatnonzero(n == j)
-            out[who[p]] = base[p] + j + _heights(up[first:, p] & valid[first:, p], down[first:, p] & valid[first:, p]).sum(axis=0) <= most[p]
-        if j % 64 == 0:
-            # within a word a column falls at most 32 below the mean of its ends; pairs whose column is above their limit go
-            bottoms = base + j + np.cumsum(_heights(up[first : last + 1], down[first : last + 1]), axis=0)
-            tops = np.concatenate([(base + j)[None, :], bottoms[:-1]])
-            rest = np.flatnonzero((((tops + bottoms - 64) / 2).min(axis=0) <= most) & (n > j))
-            if not len(rest):
-                break
-            if 4 * len(rest) < 3 * len(who):
-                up, down, valid, text = up[:, rest], down[:, rest], valid[:, rest], text[:, rest]
-                n, most, base, who = n[rest], most[rest], base[rest], who[rest]
+            same |= into_less
+            np.bitwise_and(same, above, out=high)
+            high += above
+            high ^= above
+            high |= same
+            np.bitwise_and(above, high, out=less)
+            high |= above
+            np.invert(high, out=more)
+            more |= under
+            rise, fall = out_more[1:], out_less[1:]
+            np.right_shift(more, bottom, out=rise)
+            rise &= one
+            np.right_shift(less, bottom, out=fall)
+            fall &= one
+            height += rise.view(np.int64)
+            height -= fall.view(np.int64)
+            more <<= one
+            more |= into_more
+            less <<= one
+            less |= into_less
+            np.bitwise_and(more, vertical, out=under)
+            more |= vertical
+            np.invert(more, out=above)
+            above |= less
+            if step in steps:
+                p = when == step
+                out[ending[p]] = height[found[p]] <= most[ending[p]]
+        up[now], down[now], score[now], rose[now], fell[now] = above, under, height, out_more[1:], out_less[1:]
+        open_[ending] = False
     return out
 
 

@@ -39,7 +39,9 @@ def normal_lines(text: str) -> list[bytes]:
     plain = text.lower().encode("utf-8", "surrogatepass").translate(PLAIN)
     if b"00" in plain:
         plain = ZEROS.sub(b"0", plain)
-    return [b" ".join(line.split()) for line in plain.split(b"\n")]
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    return [line.strip(b" ") for line in plain.split(b"\n")]
 
 
 def normal_line(line: str) -> str:
@@ -197,10 +199,73 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*places, pa.array(number, pa.int32()), pa.array(hashes[which]), pa.array(blocks, pa.binary())], names=["doc_id", "row", "line_no", "line", "blocks"])
 
 
-#: Parts that keys are dealt to, at least, and keys in a part beyond which there are more parts.
+#: Parts that keys and places are dealt to, at least, and rows in a part beyond which there are more parts.
 PARTS, PART_KEYS = 1024, 1 << 20
-#: Lines whose keys are dealt together.
-DEALT_AT_ONCE = 1 << 14
+#: Lines whose keys, and occurrences whose places, are dealt together.
+DEALT_AT_ONCE, PLACES_AT_ONCE = 1 << 14, 1 << 16
+
+
+def _by_part(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of numbers, packed: a row for each part that has any, by the first number."""
+    part = (rows[:, 0] % parts).astype(np.uint16 if parts <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    blobs = [rows[p:q].tobytes() for p, q in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True)] if len(rows) else []
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "keys"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Of packed rows in the order of parts all rows of each part."""
+    part, held = None, []
+    for batch in batches:
+        for own, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and own != part:
+                yield np.frombuffer(b"".join(held), np.int64).reshape(-1, width)
+                held.clear()
+            part = own
+            held.append(rows)
+    if held:
+        yield np.frombuffer(b"".join(held), np.int64).reshape(-1, width)
+
+
+def _first_places(rows: np.ndarray) -> np.ndarray:
+    """Of rows (line, doc_id, row, line_no, many) the first of each line with the sum of many."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)])
+    out = rows[start]
+    if len(out):
+        out[:, 4] = np.add.reduceat(rows[:, 4], start)
+    return out
+
+
+def _places(parts: int):
+    """Of occurrences (line, doc_id, row, line_no) the first place of each line of many, with their number, packed."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            rows = np.ones((len(batch), 5), np.int64)
+            for k in range(4):
+                rows[:, k] = batch.column(k).to_numpy()
+            held.append(rows)
+            many += len(rows)
+            if many >= PLACES_AT_ONCE:
+                yield _by_part(_first_places(np.concatenate(held)), parts)
+                held, many = [], 0
+        if held:
+            yield _by_part(_first_places(np.concatenate(held)), parts)
+
+    return deal
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, doc_id, row, line_no, many) of each line, from what `_places` dealt, in the order of parts."""
+    for rows in _parts(batches, 5):
+        out = _first_places(rows)
+        columns = [pa.array(np.ascontiguousarray(out[:, k])) for k in range(5)]
+        columns[3] = columns[3].cast(pa.int32())
+        yield pa.RecordBatch.from_arrays(columns, names=["line", "doc_id", "row", "line_no", "many"])
 
 
 def _dealt(parts: int):
@@ -213,23 +278,14 @@ def _dealt(parts: int):
                 packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
                 keys = np.zeros((len(packed), 8), np.uint8)
                 keys[:, :KEY_BYTES] = packed
-                keys = keys.view(np.int64).reshape(-1)
-                part = (keys % parts).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                both = np.stack([keys, np.repeat(batch.column(0).to_numpy(), KEYS)], axis=1)[order]
-                names, first = np.unique(part[order], return_index=True)
-                blobs = [both[p:q].tobytes() for p, q in zip(first.tolist(), [*first[1:].tolist(), len(both)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["part", "keys"])
+                yield _by_part(np.stack([keys.view(np.int64).reshape(-1), np.repeat(batch.column(0).to_numpy(), KEYS)], axis=1), parts)
 
     return deal
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (part, keys) in the order of parts, the (key, rep) of each part in order, without keys that occur once."""
-    part, held = None, []
-
-    def sorted_keys() -> pa.RecordBatch:
-        both = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+    for both in _parts(batches, 2):
         keys, reps = both[:, 0], both[:, 1]
         order = np.argsort(keys)
         keys = keys[order]
@@ -237,17 +293,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.append(same, False) | np.append(False, same)
         keys, reps = keys[again], reps[order[again]]
         order = np.lexsort((reps, keys))
-        return pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(reps[order])], names=["key", "rep"])
-
-    for batch in batches:
-        for own, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held and own != part:
-                yield sorted_keys()
-                held.clear()
-            part = own
-            held.append(keys)
-    if held:
-        yield sorted_keys()
+        yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(reps[order])], names=["key", "rep"])
 
 
 def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,16 +343,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alike(pairs: list[tuple[str, str]], apart: int) -> np.ndarray:
-    """Whether 100 * edit distance <= apart * length of the longer string, for each pair.
-
-    The distance is at least the number of characters that only one of two has.
-    """
+    """Whether 100 * edit distance <= apart * length of the longer string, for each pair."""
     linked = np.zeros(len(pairs), bool)
     for start in range(0, len(pairs), PAIRS_AT_ONCE):
         part = pairs[start : start + PAIRS_AT_ONCE]
-        most = np.array([apart * max(len(a), len(b)) // 100 for a, b in part])
-        near = np.flatnonzero(_unlike(*(_letter_counts([p[k] for p in part]) for k in (0, 1))) <= most)
-        linked[near + start] = within([part[i] for i in near.tolist()], most[near].tolist())
+        linked[start : start + len(part)] = within(part, [apart * max(len(a), len(b)) // 100 for a, b in part])
     return linked
 
 
@@ -357,6 +398,19 @@ def _candidates(left: np.ndarray, right: np.ndarray, apart: int, keys: np.ndarra
 LOT_BYTES = 4 << 20
 
 
+#: (rep of each line of a block, its root, its normal form)
+Members = tuple[np.ndarray, np.ndarray, list[str]]
+
+
+def _members(column: pa.ListArray) -> Iterator[Members]:
+    """The lines of each block, a list of structs (rep, root, norm)."""
+    lines, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy())
+    reps, roots, norms = (lines.field(k) for k in range(3))
+    reps, roots, norms = reps.to_numpy(), roots.to_numpy(), norms.to_pylist()
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield reps[start:end], roots[start:end], norms[start:end]
+
+
 def _compared(apart: int):
     """Links between two blocks of lines: for each two roots of lines that have any, at least one.
 
@@ -365,15 +419,16 @@ def _compared(apart: int):
     pairs of blocks are worked on together, a line or pair that several have once.
     """
 
-    def links(lot: list[tuple[list[dict], list[dict]]]) -> tuple[list[int], list[int]]:
-        lines = [x for pair in lot for block in pair for x in block]
-        reps, first, which = np.unique(np.array([x["rep"] for x in lines]), return_index=True, return_inverse=True)
-        texts = [lines[k]["norm"] for k in first.tolist()]
+    def links(lot: list[tuple[Members, Members]]) -> tuple[list[int], list[int]]:
+        blocks = [block for pair in lot for block in pair]
+        norms = [x for block in blocks for x in block[2]]
+        reps, first, which = np.unique(np.concatenate([b[0] for b in blocks]), return_index=True, return_inverse=True)
+        texts = [norms[k] for k in first.tolist()]
         keys, counts = simhash_blocks(texts), _letter_counts(texts)
-        sizes, roots = np.array([len(t) for t in texts]), np.array([lines[k]["root"] for k in first.tolist()])
+        sizes, roots = np.array([len(t) for t in texts]), np.concatenate([b[1] for b in blocks])[first]
         at, found = 0, [np.zeros(0, np.int64)]
         for left, right in lot:
-            middle, end = at + len(left), at + len(left) + len(right)
+            middle, end = at + len(left[0]), at + len(left[0]) + len(right[0])
             i, j = _candidates(which[at:middle], which[middle:end], apart, keys, sizes, roots)
             found.append(np.minimum(i, j) * len(texts) + np.maximum(i, j))
             at = end
@@ -411,9 +466,9 @@ def _compared(apart: int):
 
         lot, held = [], 0
         for batch in batches:
-            for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                lot.append((one.as_py(), two.as_py()))
-                held += sum(len(x["norm"]) for block in lot[-1] for x in block)
+            for pair in zip(_members(batch.column(0)), _members(batch.column(1)), strict=True):
+                lot.append(pair)
+                held += sum(len(x) for block in pair for x in block[2])
                 if held >= LOT_BYTES:
                     yield result(lot)
                     lot, held = [], 0
@@ -446,8 +501,11 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text <> ''").select("doc_id", row_key(F.col("text")).alias("row"), "text")
     found = scratch.write(rows.mapInArrow(_occurrences, "doc_id long, row long, line_no int, line long, blocks binary"), "found")
-    forms = found.groupBy("line").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("many"))
-    forms = scratch.write(forms, "forms")
+    parts = max(PARTS, found.count() // PART_KEYS)
+    dealt = found.select("line", "doc_id", "row", "line_no").mapInArrow(_places(parts), "part int, keys binary")
+    dealt = dealt.repartition("part").sortWithinPartitions("part")
+    forms = scratch.write(dealt.mapInArrow(_forms, "line long, doc_id long, row long, line_no int, many long"), "forms")
+    forms = forms.select("line", F.struct("doc_id", "row", "line_no").alias("first"), "many")
     parts = max(PARTS, forms.count() * KEYS // PART_KEYS)
     dealt = found.where("blocks is not null").select("line", "blocks").mapInArrow(_dealt(parts), "part int, keys binary")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
@@ -480,7 +538,10 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if not rest.isEmpty():
         roots = scratch.write(components(links.union(rest), scratch, "stars-rest"), "roots-rest")
 
-    grouped = forms.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    # a line that occurs once and is linked with none is in no group of more
+    linked = roots.select(F.col("node").alias("line"), "root").union(roots.select(F.col("root").alias("line"), "root").distinct())
+    grouped = forms.join(linked, "line", "left").where("many > 1 or root is not null").withColumn("root", F.coalesce("root", "line"))
+    grouped = scratch.write(grouped, "grouped")
     groups = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("many").alias("total")).where("total > 1")
     keepers = grouped.join(groups, "root").select("line", "keep.doc_id", "keep.row", "keep.line_no", "root", "total")
     return found.select("doc_id", "row", "line_no", "line"), scratch.write(keepers, "keepers")

@@ -228,3 +228,33 @@ def test_unrelated_lines_of_common_words_are_rarely_candidates():
     keys = lines.simhash_blocks(texts)
     shared = sum(bool((keys[i] == keys[j]).any()) for i in range(60) for j in range(i))
     assert shared < 0.05 * 60 * 59 / 2
+
+
+def test_some_long_pairs_are_compared_together(monkeypatch):
+    """A hundred pairs of several hundred characters need no table of their own, and limits around the distance decide alike."""
+    rng = random.Random(11)
+    pairs, most = [], []
+    for n in [rng.randrange(65, 700) for _ in range(100)]:
+        a = "".join(rng.choice("abcdefgh é漢") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randrange(1, max(2, n // 3))):
+            p, what = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[p : p + (what > 0)] = [rng.choice("abcz")] if what < 2 else []
+        pairs.append((a, "".join(b) if rng.random() < 0.8 else "".join(rng.choice("abcdefgh ") for _ in range(n))))
+        most.append(max(0, edits.edit_distance(*pairs[-1]) + rng.choice((-40, -1, 0, 1, 40))))
+    want = [edits.edit_distance(a, b) <= k for (a, b), k in zip(pairs, most, strict=True)]
+    alone = []
+    monkeypatch.setattr(edits, "at_most", lambda a, b, k: alone.append(a) or edits.edit_distance(a, b) <= k)
+    assert edits.within(pairs, most).tolist() == want
+    assert len(alone) <= 10
+
+
+def test_places_give_the_first_of_each_line():
+    rng = random.Random(13)
+    rows = [(rng.choice((3, -4, rng.randrange(-99, 99))), rng.randrange(-3, 3), rng.randrange(-2, 2), rng.randrange(3)) for _ in range(300)]
+    types = [lines.pa.int64()] * 3 + [lines.pa.int32()]
+    batches = [lines.pa.RecordBatch.from_arrays([lines.pa.array([r[k] for r in rows[i : i + 70]], types[k]) for k in range(4)], names=["line", "doc_id", "row", "line_no"]) for i in range(0, 300, 70)]
+    dealt = sorted((x for b in lines._places(8)(iter(batches)) for x in b.to_pylist()), key=lambda x: x["part"])
+    parts = lines.pa.RecordBatch.from_pylist(dealt, schema=lines.pa.schema([("part", lines.pa.int32()), ("keys", lines.pa.binary())]))
+    got = sorted(tuple(r.values()) for b in lines._forms(iter([parts.slice(0, 3), parts.slice(3)])) for r in b.to_pylist())
+    assert got == sorted((x, *min(r[1:] for r in rows if r[0] == x), sum(r[0] == x for r in rows)) for x in {r[0] for r in rows})
