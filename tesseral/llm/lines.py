@@ -136,6 +136,33 @@ def _bands(words: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray
     return out >> np.uint64(32)
 
 
+#: Words that are hashed at a time, as more don't stay in the processor's cache, and bytes of a word beyond which it goes the common way.
+WORDS_AT_ONCE, WORD_BYTES = 1 << 13, 64
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """`segment_hashes` of seed 31, with one table of what each byte adds at each place."""
+    power = np.full(WORD_BYTES, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    table = (power[:, None] * stream64(256, 31)).ravel()
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(0, len(starts), WORDS_AT_ONCE):
+        begin, end = starts[k : k + WORDS_AT_ONCE], ends[k : k + WORDS_AT_ONCE]
+        sizes = end - begin
+        if sizes.max() > WORD_BYTES:
+            out[k : k + len(begin)] = segment_hashes(data, begin, end, seed=31)
+            continue
+        first = np.cumsum(sizes) - sizes
+        byte = np.arange(int(sizes.sum()))
+        place = byte - np.repeat(first, sizes)
+        byte += np.repeat(begin - first, sizes)
+        place <<= 8
+        place |= np.take(data, byte)
+        out[k : k + len(begin)] = mix64(np.add.reduceat(np.take(table, place), first) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
 #: A line's number and a word's hash share 64 bits while a line's words are told apart.
 LINE_BITS = 20
 
@@ -150,7 +177,7 @@ def hashed_lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([h for h, _ in parts]), np.concatenate([k for _, k in parts])
     data, offsets = raw_bytes(lines)
     starts, ends, starts_of = words_of(data, offsets)
-    words = segment_hashes(data, starts, ends, seed=31)
+    words = _word_hashes(data, starts, ends)
     at = starts_of
     sizes = np.diff(at)
     line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
@@ -182,12 +209,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, 2, 4 << 20):
             seen: dict[bytes, int] = {}
             row, number, which = [], [], []
-            for i, text in enumerate(fill(batch.column(2))):
-                for k, norm in enumerate(normal_lines(text.as_py())):
-                    if norm:
-                        row.append(i)
-                        number.append(k)
-                        which.append(seen.setdefault(norm, len(seen)))
+            for i, text in enumerate(fill(batch.column(2)).to_pylist()):
+                norms = normal_lines(text)
+                full = [k for k, norm in enumerate(norms) if norm]
+                row += [i] * len(full)
+                number += full
+                which += [seen.setdefault(norms[k], len(seen)) for k in full]
             hashes, keys = hashed_lines(pa.array(list(seen), pa.binary()))
             packed = np.ascontiguousarray(keys).view(np.uint8).reshape(len(seen), KEYS, 8)[:, :, :KEY_BYTES].tobytes()
             which, row = np.array(which, np.int64), np.array(row, np.int64)

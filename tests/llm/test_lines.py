@@ -258,3 +258,11 @@ def test_places_give_the_first_of_each_line():
     parts = lines.pa.RecordBatch.from_pylist(dealt, schema=lines.pa.schema([("part", lines.pa.int32()), ("keys", lines.pa.binary())]))
     got = sorted(tuple(r.values()) for b in lines._forms(iter([parts.slice(0, 3), parts.slice(3)])) for r in b.to_pylist())
     assert got == sorted((x, *min(r[1:] for r in rows if r[0] == x), sum(r[0] == x for r in rows)) for x in {r[0] for r in rows})
+
+
+def test_word_hashes_are_those_of_segments():
+    rng = random.Random(17)
+    for sizes in ([], [1], [64, 1, 63], [65, 2], [rng.randrange(1, 70) for _ in range(9000)], [rng.randrange(1, 65) for _ in range(9000)]):
+        data, offsets = lines.raw_bytes(lines.pa.array([" ".join("".join(chr(rng.randrange(33, 127)) for _ in range(n)) for n in sizes)]))
+        starts, ends, _ = lines.words_of(data, offsets)
+        assert len(starts) == len(sizes) and (lines._word_hashes(data, starts, ends) == lines.segment_hashes(data, starts, ends, seed=31)).all()
