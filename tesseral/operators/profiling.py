@@ -71,6 +71,14 @@ def refusal(meta: dict, size: int, policy: Policy) -> str | None:
     return f"partitioned vector count {vectors} exceeds policy maximum {policy.max_vectors}" if vectors > policy.max_vectors else None
 
 
+def stated_pairs(unit: DataFrame, policy: Policy) -> DataFrame:
+    """geometry.paired for a capture: of groups beyond the vectors or pairs that its policy states, a fixed sample of pairs."""
+    sizes = unit.groupBy("group_id").agg(F.count("*").alias("_n"))
+    full = (F.col("_n") <= policy.exact_vector_threshold) & (F.col("_n") * (F.col("_n") - 1) / 2 <= policy.max_pairs)
+    small, large = (unit.join(sizes.where(which), "group_id", "left_semi") for which in (full, ~full))
+    return geometry.paired(small, policy.near_duplicate_cosine).union(geometry.paired_in_sample(large, policy.max_pairs, policy.seed, policy.near_duplicate_cosine))
+
+
 def profile_capture(spark: SparkSession, capture: str, metadata: str, policy: Policy = Policy()) -> DataFrame:
     """The geometry of each group of a capture; one row of status REFUSED, with its reason, where the policy refuses it."""
     text = spark.read.text(metadata, wholetext=True).first().value
@@ -83,7 +91,8 @@ def profile_capture(spark: SparkSession, capture: str, metadata: str, policy: Po
     if why:
         return spark.createDataFrame([(meta["capture_id"], "REFUSED", why)], "capture_id string, status string, reason string")
     vectors = geometry.partitioned(files.read_capture(spark, capture, metadata), policy.partition, policy.chunk_tokens)
-    report = geometry.profile(vectors, exact_vectors=policy.exact_vector_threshold, most_pairs=policy.max_pairs, seed=policy.seed, near=policy.near_duplicate_cosine, thresholds=policy.thresholds, spectral_dimension=policy.max_spectral_dimension)
+    pairs = stated_pairs(geometry.normalized(vectors), policy)
+    report = geometry.profile(vectors, near=policy.near_duplicate_cosine, thresholds=policy.thresholds, spectral_dimension=policy.max_spectral_dimension, pairs=pairs)
     return report.withColumn("capture_id", F.lit(meta["capture_id"])).withColumn("reason", F.lit(None).cast("string"))
 
 
