@@ -56,8 +56,8 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(x, y) / F.sqrt(size))
 
 
-#: Queries that are searched for together; each lot reads the records once.
-QUERIES_AT_ONCE = 10_000
+#: Queries that are searched for together; each lot reads the records once. Queries and records of one product of a task.
+QUERIES_AT_ONCE, QUERY_TILE, RECORD_TILE = 10_000, 256, 1_024
 
 
 def top1(queries: DataFrame, records: DataFrame, skip_same: bool = False) -> DataFrame:
@@ -85,33 +85,42 @@ def _best_of(rows: list, skip_same: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, where = np.full(len(ids), -2.0), np.zeros(len(ids), np.int64)
         for batch in batches:
-            places, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(np.float64)
-            if not len(places) or not len(ids):
+            if not len(batch) or not len(ids):
                 continue
-            x = x.reshape(len(places), -1)
-            for start in range(0, len(places), 1024):
-                part, at = x[start : start + 1024], places[start : start + 1024]
-                size = own[:, None] * np.sqrt((part * part).sum(axis=1))[None, :]
-                score = np.round(np.divide(q @ part.T, size, out=np.zeros(size.shape), where=size > 0), 12)
-                if skip_same:
-                    score[ids[:, None] == at[None, :]] = -2.0
-                top = score.max(axis=1)
-                first = np.where(score == top[:, None], at[None, :], np.iinfo(np.int64).max).min(axis=1)
-                wins = (top > best) | ((top == best) & (first < where))
-                best, where = np.where(wins, top, best), np.where(wins, first, where)
+            for start in range(0, len(batch), RECORD_TILE):
+                some = batch.slice(start, RECORD_TILE)
+                at, part = some.column(0).to_numpy(), some.column(1).flatten().to_numpy().astype(np.float64).reshape(len(some), -1)
+                sizes = np.sqrt((part * part).sum(axis=1))
+                for first in range(0, len(ids), QUERY_TILE):
+                    _improve(best, where, ids, q, own, slice(first, first + QUERY_TILE), at, part, sizes, skip_same)
         seen = best > -2
         yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(where[seen]), pa.array(best[seen])], names=["query_id", "vec_id", "score"])
 
     return search
 
 
+def _improve(best: np.ndarray, where: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, some: slice, at: np.ndarray, part: np.ndarray, sizes: np.ndarray, skip_same: bool) -> None:
+    """Puts into best and where, of some queries, the records that are better than what is there."""
+    size = own[some, None] * sizes[None, :]
+    score = np.round(np.divide(q[some] @ part.T, size, out=np.zeros(size.shape), where=size > 0), 12)
+    if skip_same:
+        score[ids[some, None] == at[None, :]] = -2.0
+    top = score.max(axis=1)
+    first = np.where(score == top[:, None], at[None, :], np.iinfo(np.int64).max).min(axis=1)
+    wins = (top > best[some]) | ((top == best[some]) & (first < where[some]))
+    best[some], where[some] = np.where(wins, top, best[some]), np.where(wins, first, where[some])
+
+
 def through(records: DataFrame, mode: str) -> DataFrame:
-    """records (vec_id, vec) with each vector encoded and decoded."""
+    """records (vec_id, vec) with each vector encoded and decoded, RECORD_TILE at a time."""
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [codec.decode(codec.encode(np.array(v.as_py(), np.float32), mode)).tolist() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["vec_id", "vec"])
+        for whole in batches:
+            for start in range(0, len(whole), RECORD_TILE):
+                batch = whole.slice(start, RECORD_TILE)
+                found = [codec.decode(codec.encode(v.values.to_numpy(zero_copy_only=False).astype(np.float32), mode)) for v in batch.column(1)]
+                vectors = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(np.concatenate(found), pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["vec_id", "vec"])
 
     return records.select("vec_id", "vec").mapInArrow(change, "vec_id long, vec array<float>")
 
