@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, research
+from .tensors import few
 
 
 def baselines(tensors: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def baselines(tensors: DataFrame) -> DataFrame:
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 payload = codec.encode_exact(raw)

@@ -189,6 +189,17 @@ def codec_errors(tensors: DataFrame, modes: list[str] | None = None) -> DataFram
     return tensors.select(F.col("tensor_id").cast("string"), "payload").mapInArrow(measure, schema)
 
 
+#: Chunks that a task turns into Python objects together.
+CHUNKS_AT_ONCE = 32
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, CHUNKS_AT_ONCE to a batch, so what is made of them doesn't grow with a task's share."""
+    for batch in batches:
+        for start in range(0, len(batch), CHUNKS_AT_ONCE):
+            yield batch.slice(start, CHUNKS_AT_ONCE)
+
+
 def float_chunks(df: DataFrame, chunk: str, pos: str, value: str) -> DataFrame:
     """(tensor_id, chunk_id, dtype, payload): the values of each chunk in the order of pos as f32 bytes.
 
@@ -198,8 +209,8 @@ def float_chunks(df: DataFrame, chunk: str, pos: str, value: str) -> DataFrame:
     gathered = rows.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("values"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.array(v.as_py(), np.float32).astype("<f4").tobytes() for v in batch.column(1)]
+        for batch in few(batches):
+            raw = [v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() for v in batch.column(1)]
             n = len(raw)
             yield pa.RecordBatch.from_arrays([pa.array(["t"] * n), batch.column(0).cast(pa.int64()), pa.array(["f32"] * n), pa.array(raw, pa.binary())], names=["tensor_id", "chunk_id", "dtype", "payload"])
 
